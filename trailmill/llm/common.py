@@ -114,3 +114,23 @@ def gapless(df: DataFrame, groups: list[str], order: list[str], out: str, rows_p
     inside = Window.partitionBy(*groups, "__b").orderBy(*order)
     ranked = keyed.withColumn("__r", F.row_number().over(inside) - 1)
     return ranked.join(offsets, [*groups, "__b"]).withColumn(out, (F.col("__off") + F.col("__r")).cast("bigint")).drop("__b", "__r", "__off")
+
+
+def grouped(batches, col: int = 0):
+    """From record batches sorted by a bigint column: (batch, starts, ends) with whole groups of equal values only."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        key = t.column(col).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(key, key[-1], "left")) if key[0] != key[-1] else 0
+        if cut:
+            edge = np.flatnonzero(np.diff(key[:cut])) + 1
+            yield t.slice(0, cut), np.concatenate([[0], edge]), np.concatenate([edge, [cut]])
+        held = t.slice(cut)
+    if held is not None:
+        yield held, np.array([0]), np.array([held.num_rows])
