@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, pieces, pii, simhash
+from . import decontam, langid, neardup_vectors, pieces, pii, sharding, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
+        "op2_embedding_near_dedup": neardup_vectors.op2_embedding_near_dedup,
+        "op3_sharding": sharding.op3_sharding,
+        "op5_warc": warc.op5_warc,
         "op6_pii": pii.op6_pii,
         "op7_language_id": langid.op7_language_id,
         "op8_sentencepiece": pieces.op8_sentencepiece,
@@ -16,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": decontam.SQL}
+    return {"op1_benchmark_decontamination": decontam.SQL, "op5_warc": warc.SQL}
