@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, neardup_vectors, pieces, pii, sharding, simhash, warc
+from . import decontam, langid, lm_score, neardup_vectors, pieces, pii, sharding, simhash, training_order, warc
 
 
 def queries() -> dict:
@@ -10,10 +10,12 @@ def queries() -> dict:
         "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
         "op2_embedding_near_dedup": neardup_vectors.op2_embedding_near_dedup,
         "op3_sharding": sharding.op3_sharding,
+        "op4_training_order": training_order.op4_training_order,
         "op5_warc": warc.op5_warc,
         "op6_pii": pii.op6_pii,
         "op7_language_id": langid.op7_language_id,
         "op8_sentencepiece": pieces.op8_sentencepiece,
+        "op9_lm_score": lm_score.op9_lm_score,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     }
 
