@@ -39,8 +39,11 @@ def matches_histogram(df: DataFrame, by: list[str], text: Column, pattern: str,
 def capped_counts(df: DataFrame, by: list[str], value: str, position: list[str], cap: int = 20) -> DataFrame:
     """Counts of the first ``cap`` distinct values in order of first appearance, with rank by count."""
     first = df.groupBy(*by, value).agg(F.count("*").alias("n"), F.min(F.struct(*position)).alias("__p"))
-    w = Window.partitionBy(*by).orderBy("__p") if by else Window.orderBy("__p")
-    kept = first.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= cap)
+    if by:
+        kept = first.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("__p"))).where(F.col("__r") <= cap)
+    else:  # a bounded sort; what the windows see then are ``cap`` rows
+        kept = first.orderBy("__p").limit(cap)
+        kept = kept.withColumn("__r", F.row_number().over(Window.orderBy("__p")))
     r = Window.partitionBy(*by).orderBy(F.desc("n"), "__r") if by else Window.orderBy(F.desc("n"), "__r")
     return kept.withColumn("rank", F.row_number().over(r)).drop("__p", "__r")
 
