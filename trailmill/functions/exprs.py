@@ -55,7 +55,8 @@ def severity(level: Column, icon: Column, platform: Column | None = None) -> Col
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # least() skips nulls, so a missing position must be kept null here
+    return F.when(a.isNotNull(), 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(a))))
 
 
 def seconds_between(a: Column, b: Column) -> Column:

@@ -125,7 +125,7 @@ _SESS = FIX + """, r AS (SELECT *, sum(CASE WHEN (us - before) / 1e6 >= 1200 THE
 k AS (SELECT *, count(*) OVER (PARTITION BY day, run) AS size FROM r),
 s AS (SELECT *, dense_rank() OVER (PARTITION BY day ORDER BY run) - 1 AS session FROM k WHERE size >= 2),
 h AS (SELECT *, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0 FROM s WINDOW w AS (PARTITION BY day, session ORDER BY us, event_id)),
-q AS (SELECT day, session, min(us) AS start_us, max(us) AS end_us, count(*) AS n, sum(coalesce(2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2)))), 0)) AS distance_m FROM h GROUP BY day, session)"""
+q AS (SELECT day, session, min(us) AS start_us, max(us) AS end_us, count(*) AS n, sum(CASE WHEN lat0 IS NULL THEN 0 ELSE 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2)))) END) AS distance_m FROM h GROUP BY day, session)"""
 
 
 def _sessions(spark, d) -> DataFrame:

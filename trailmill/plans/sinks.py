@@ -1,0 +1,153 @@
+"""Outputs: a Markdown digest, JSON, GeoJSON layers and a self-contained map page.
+
+Result tables are written by Spark. Only the digest and the page, which are documents for people, are put together on
+the driver, from tables that are cut to ``CAPS`` rows per section first."""
+
+from __future__ import annotations
+
+import json
+import os
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+
+#: Rows per section of the digest.
+CAPS = {"errors": 20, "warnings": 12, "segments": 30, "lane": 16, "gaps": 40, "connectivity": 10, "urls": 12, "power": 10, "heartbeats": 20, "auth": 8}
+CAVEAT = "Absence of evidence here means only that it does not appear in the capture."
+
+
+def json_rows(df: DataFrame) -> DataFrame:
+    """One JSON document per row, nulls kept."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def geojson(features: DataFrame) -> DataFrame:
+    """(capture_id, layer, feature): GeoJSON feature text per row, ready for a partitioned write."""
+    f = F.concat(F.lit('{"type":"Feature","geometry":{"type":"'), F.col("geometry"), F.lit('","coordinates":'), F.col("coordinates"), F.lit('},"properties":'), F.col("props"), F.lit("}"))
+    return features.select("capture_id", "layer", "seq", f.alias("feature"))
+
+
+def write_geojson(features: DataFrame, path: str) -> None:
+    """Feature lines, one folder per capture and layer."""
+    geojson(features).sortWithinPartitions("capture_id", "layer", "seq").write.partitionBy("capture_id", "layer").mode("overwrite").parquet(path)
+
+
+def layer_document(features: DataFrame, capture_id: str) -> dict:
+    """{layer: FeatureCollection} of one capture; empty layers are left out."""
+    out: dict = {}
+    for r in geojson(features.where(F.col("capture_id") == capture_id)).orderBy("layer", "seq").toLocalIterator():
+        out.setdefault(r.layer, {"type": "FeatureCollection", "features": []})["features"].append(json.loads(r.feature))
+    return out
+
+
+def _cell(v) -> str:
+    if v is None:
+        return "—"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return f"{v:,}"
+    if isinstance(v, float):
+        return f"{v:,.2f}"
+    return str(v).replace("|", "\\|").replace("\n", " ⏎ ")
+
+
+def _table(rows: list, columns: list[str]) -> list[str]:
+    if not rows:
+        return ["_none in the capture_", ""]
+    out = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    return [*out, *("| " + " | ".join(_cell(r[c]) for c in columns) + " |" for r in rows), ""]
+
+
+def _head(df: DataFrame, capture_id: str, n: int, *order) -> list:
+    return df.where(F.col("capture_id") == capture_id).orderBy(*order).limit(n).collect()
+
+
+def digest(tables: dict[str, DataFrame], capture_id: str) -> str:
+    """Markdown of one capture; the same tables give the same bytes."""
+    t = {k: v for k, v in tables.items() if v is not None}
+    out = [f"# Capture {capture_id}", "", f"> {CAVEAT}", ""]
+
+    def section(title, name, columns, n, *order, level="##"):
+        if name in t:
+            out.extend([f"{level} {title}", "", *_table(_head(t[name], capture_id, n, *order), columns)])
+
+    section("Header", "header", ["platform", "device", "app_id", "first_ts", "last_ts", "records"], 1, "capture_id")
+    section("Configuration", "config", ["key", "value"], 40, "key")
+    section("Process lifetimes", "segments", ["segment", "first_seq", "last_seq", "version", "start", "end", "launched_headless"], CAPS["segments"], "segment")
+    section("App state", "lane", ["interval", "state", "first_seq", "last_seq", "start", "end"], CAPS["lane"], "interval")
+    section("Silences", "gaps", ["seq", "start", "gap_s", "kind"], CAPS["gaps"], "seq")
+    if "dedup" in t:
+        cols = ["n", "tag_class", "tag_method", "first_ts", "last_ts", "shape"]
+        out += ["## Errors", "", *_table(_head(t["dedup"].where("severity = 'error'"), capture_id, CAPS["errors"], F.desc("n"), "first_seq"), cols)]
+        out += ["## Warnings", "", *_table(_head(t["dedup"].where("severity = 'warning'"), capture_id, CAPS["warnings"], F.desc("n"), "first_seq"), cols)]
+    section("Uploads", "http", ["post_try", "flush_try", "retries", "watch_armed", "watch_fired", "final_queue_depth"], 1, "capture_id")
+    section("Connectivity", "connectivity", ["seq", "ts", "connected", "flushes"], CAPS["connectivity"], "seq", level="###")
+    section("URLs", "urls", ["rank", "url", "class", "n"], CAPS["urls"], "rank", level="###")
+    section("Positions kept and sent", "parity", ["persisted", "posted", "destroyed", "task_start", "task_stop", "imbalance"], 1, "capture_id")
+    section("Pairs", "pairs", ["pair", "firsts", "seconds", "paired", "unpaired", "orphans"], 10, "pair")
+    section("Fences", "geofence", ["enter", "exit", "dwell", "spurious", "fence_add", "fence_drop", "max_registered", "availability_flaps"], 1, "capture_id")
+    section("Motion", "motion", ["median_confidence", "low_confidence", "flips", "moving_ratio", "stop_on", "stop_fired", "stop_off"], 1, "capture_id")
+    section("Authorization", "auth", ["seq", "ts", "line", "total"], CAPS["auth"], "seq")
+    section("Power", "power", ["seq", "ts", "kind", "power_hint"], CAPS["power"], "seq")
+    section("Heartbeats", "heartbeats", ["segment", "n", "median_s", "max_s"], CAPS["heartbeats"], "segment")
+    section("Duty cycle", "duty", ["span_h", "active_h", "fixes_per_h"], 1, "capture_id")
+    section("State at the end", "end_state", ["last_enabled", "last_moving", "last_connected", "last_queue_depth", "abrupt_end"], 1, "capture_id")
+    section("Anomalies", "anomalies", ["severity", "kind", "seq", "detail"], 100, "sev_rank", "rule_ord", "seq")
+    section("Coverage", "coverage", ["total", "matched", "drift", "unknown", "unknown_rate"], 1, "capture_id")
+    section("Unknown lines", "unknown", ["status", "seq", "line"], 10, "status", "seq")
+    section("Missing evidence", "missing", ["ask"], 10, "ask")
+    return "\n".join([*out, "---", "_end of digest_", ""])
+
+
+_PAGE = """<!doctype html><meta charset="utf-8"><title>__TITLE__</title>
+<style>body{margin:0;font:14px sans-serif;display:flex}svg{flex:1;height:100vh;background:#f4f4f0}aside{width:16em;padding:1em}label{display:block}</style>
+<svg id="m" viewBox="0 0 1000 1000"></svg><aside id="s"></aside>
+<script id="d" type="application/json">__DATA__</script>
+<script>
+const D=JSON.parse(document.getElementById('d').textContent),S=document.getElementById('m'),B=[1e9,1e9,-1e9,-1e9],N='http://www.w3.org/2000/svg';
+const P=c=>[(c[0]+180)/360,.5-Math.log(Math.tan(Math.PI/4+c[1]*Math.PI/360))/(2*Math.PI)];
+const each=(g,f)=>g.type=='Point'?f(g.coordinates):g.coordinates.forEach(f);
+for(const l in D)D[l].features.forEach(x=>each(x.geometry,c=>{const p=P(c);B[0]=Math.min(B[0],p[0]);B[1]=Math.min(B[1],p[1]);B[2]=Math.max(B[2],p[0]);B[3]=Math.max(B[3],p[1])}));
+const k=960/Math.max(B[2]-B[0],B[3]-B[1],1e-9),Q=c=>{const p=P(c);return[20+(p[0]-B[0])*k,20+(p[1]-B[1])*k]};
+Object.keys(D).forEach((l,i)=>{const g=document.createElementNS(N,'g'),h=`hsl(${i*47},70%,45%)`;S.append(g);
+D[l].features.forEach(x=>{const t=x.geometry.type=='Point',e=document.createElementNS(N,t?'circle':'polyline');
+if(t){const p=Q(x.geometry.coordinates);e.setAttribute('cx',p[0]);e.setAttribute('cy',p[1]);e.setAttribute('r',4);e.setAttribute('fill',h)}
+else{e.setAttribute('points',x.geometry.coordinates.map(Q).join(' '));e.setAttribute('fill','none');e.setAttribute('stroke',h)}
+const n=document.createElementNS(N,'title');n.textContent=JSON.stringify(x.properties,null,1);e.append(n);g.append(e)});
+const b=document.createElement('label'),c=document.createElement('input');c.type='checkbox';c.checked=D[l].features.length<=120;g.style.display=c.checked?'':'none';
+c.onchange=()=>g.style.display=c.checked?'':'none';b.append(c,` ${l} (${D[l].features.length})`);b.style.color=h;document.getElementById('s').append(b)});
+</script>
+"""
+
+
+def map_page(layers: dict, title: str) -> str:
+    """A page that loads nothing from elsewhere."""
+    data = json.dumps(layers, ensure_ascii=False).replace("</", "<\\/")
+    safe = title.replace("&", "&amp;").replace("<", "&lt;")
+    return _PAGE.replace("__TITLE__", safe).replace("__DATA__", data)
+
+
+def output_dir(path: str) -> bool:
+    """Make a folder that git ignores, if it isn't there; True if this made it."""
+    if os.path.isdir(path):
+        return False
+    os.makedirs(path)
+    with open(os.path.join(path, ".gitignore"), "w") as f:
+        f.write("*\n")
+    return True
+
+
+def worth_a_map(features: DataFrame, capture_id: str) -> bool:
+    f = features.where(F.col("capture_id") == capture_id)
+    return bool(f.where("layer = 'track'").limit(1).count()) or f.where("layer = 'fixes'").limit(5).count() >= 5
+
+
+def cut_lines(lines: list[str], n: int) -> list[str]:
+    return lines if len(lines) <= n else [*lines[:n], f"+{len(lines) - n} more lines"]
+
+
+def iso(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: X.iso_text(F.col(c)) for c in columns})
