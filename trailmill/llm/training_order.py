@@ -116,7 +116,7 @@ def write_shards(docs: DataFrame, out: str, key: int = 0, length: int = 512, id_
                 for k, lo in enumerate(range(0, len(raw), length)):
                     ids.append(i.as_py())
                     parts.append(k)
-                    pieces.append(raw[lo : lo + length])
+                    pieces.append(zlib.compress(raw[lo : lo + length], 6, -15))  # only for the way through the shuffle
                 if len(ids) > 20_000:
                     yield flush()
             if ids:
@@ -138,6 +138,7 @@ def write_shards(docs: DataFrame, out: str, key: int = 0, length: int = 512, id_
                     shard, body, start = s, [], s * per_shard
                 if slot != start + len(body):
                     raise ValueError(f"slot {slot} where {start + len(body)} is due: the input changed between the passes")
+                tokens = zlib.decompress(tokens, -15)
                 body.append(struct.pack(HEAD, i or 0, part | (1 << 31) * (i is None), len(tokens)) + tokens.ljust(length, bytes([PAD])))
         if shard is not None:
             yield close()
