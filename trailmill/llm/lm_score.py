@@ -200,7 +200,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     asked = src.mapInArrow(ask, "q int, block bigint, k int, h binary, c binary")
     told = asked.repartitionById(parts, F.col("q")).mapInArrow(answer, "block bigint, k int, q int, chars bigint, total binary")
-    scored = told.repartition("block").sortWithinPartitions("block").mapInArrow(finish, "id bigint, n bigint, s double")
+    scored = told.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(finish, "id bigint, n bigint, s double")
     # documents without characters still need a row
     every = src.select("id", F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("s"))
     out_df = scored.union(every).groupBy("id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))

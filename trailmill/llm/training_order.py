@@ -175,7 +175,9 @@ def training_order(docs: DataFrame, key: int = 0, length: int = 512, id_col: str
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["slot", "shard", "byte_offset", id_col, "part", "n_tokens", "tokens_crc32"])
 
-    return manifest.select("shard", "path").repartition(F.col("shard")).mapInArrow(read, f"slot bigint, shard int, byte_offset bigint, `{id_col}` bigint, part int, n_tokens int, tokens_crc32 bigint")
+        # a number, or adaptive execution would put a small manifest's shards into one task
+    spread = manifest.select("shard", "path").repartition(min(10_000, max(1, -(-total // per_shard))), "shard")
+    return spread.mapInArrow(read, f"slot bigint, shard int, byte_offset bigint, `{id_col}` bigint, part int, n_tokens int, tokens_crc32 bigint")
 
 
 def op4_training_order(spark, sf_dir):

@@ -270,7 +270,9 @@ def convert_archives(index: DataFrame, out: str, min_bytes: int = 0) -> DataFram
                 counts.append(len(members))
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64())], names=["warc", "records"])
 
-    return per.mapInArrow(run, "warc string, records bigint")
+    # a number, or adaptive execution would put the small index' archives into one task
+    n = max(1, min(10_000, index.select("arc").distinct().count()))
+    return per.repartition(n, "arc").mapInArrow(run, "warc string, records bigint")
 
 
 def read_archives(warcs: DataFrame, id_col: str) -> DataFrame:
@@ -305,8 +307,7 @@ def pages_to_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     out = new_path(spark, "archives")
     index = materialize(write_arcs(pages, f"{out}/arc", id_col, url_col, text_col), "arc-index")
     warcs = materialize(convert_archives(index, f"{out}/warc", min_bytes), "warcs")
-    # few, equal archives per task; the list of archives is small
-    return read_archives(warcs.repartition(F.col("warc")), id_col)
+    return read_archives(warcs.repartition(max(1, min(10_000, warcs.count())), "warc"), id_col)
 
 
 def op5_warc(spark, sf_dir):
