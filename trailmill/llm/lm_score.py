@@ -46,8 +46,7 @@ class Grams:
         cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         lens = np.array([len(t) for t in texts], dtype=np.int64)
         self.lens = lens
-        start = np.repeat(np.cumsum(lens) - lens, lens)
-        depth = np.arange(len(cps)) - start
+        depth = np.arange(len(cps), dtype=np.int32) - np.repeat((np.cumsum(lens) - lens).astype(np.int32), lens)
         alphabet, code = _numbered(cps, int(cps.max()) + 1 if len(cps) else 1)
         a = max(1, len(alphabet))
         chars = _hash(alphabet.astype(np.uint64) + np.uint64(1))
@@ -105,7 +104,7 @@ def score_block(grams: Grams, totals: list[np.ndarray], n_all: int, min_count: i
     return np.bincount(owner, weights=best, minlength=len(grams.lens)) if len(grams.lens) else np.zeros(0)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 5, alpha: float = 0.4, min_count: int = 2, block_chars: int = 8_000_000, partitions: int | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 5, alpha: float = 0.4, min_count: int = 2, block_chars: int = 3_000_000, partitions: int | None = None) -> DataFrame:
     """(id_col, n_chars_scored, log_score, avg_log_score): one row per distinct id of ``docs``."""
     spark = docs.sparkSession
     out = new_path(spark, "lm-blocks")
