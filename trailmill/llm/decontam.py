@@ -35,10 +35,10 @@ def word_array(text):
 
 
 def _words_from_one(text):
-    """'' and then the words, so that the first word is at index 1; cheaper than filtering out empty strings."""
+    """'' and then the words, so that the first word is at index 1, and one more '' if the text ends in no word. Cheaper
+    than filtering out empty strings."""
     lower = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    # with a separator in front the split begins with '', and a separator run at the end is cut first
-    return F.split(F.concat(F.lit(" "), F.regexp_replace(lower, NOT_WORD + "\\z", "")), NOT_WORD)
+    return F.split(F.concat(F.lit(" "), lower), NOT_WORD, -1)
 
 
 def windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
@@ -65,14 +65,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     # (1) one pass over the documents. Row 0 of each document is kept for its word count.
     words = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), _words_from_one(F.col(text_col)).alias("w"))
+    words = words.withColumn("n", F.size("w") - 1 - (F.element_at("w", -1) == "").cast("int"))
     sizes = sorted(r[0] for r in grams.select("g").distinct().collect())
     sentinel = 0
     parts = []
     for i, size in enumerate(sizes or [shingle]):
-        here = words.select("uid", "id", "w", F.posexplode("w").alias("pos", "first"))
+        here = words.select("uid", "id", "n", "w", F.posexplode("w").alias("pos", "first"))
         gw = F.array("first", *(F.get("w", F.col("pos") + j) for j in range(1, size)))
         key = F.xxhash64(F.lit(7), gw)
-        usable = (F.col("pos") > 0) & (F.col("pos") + size <= F.size("w"))
+        usable = (F.col("pos") > 0) & (F.col("pos") + size - 1 <= F.col("n"))
         probe = F.when(F.col("pos") == 0, F.lit(sentinel)).when(usable, key)
         table = grams.where(F.col("g") == size).select("gram", "gw").distinct().select("gram", F.concat_ws(" ", "gw").alias("gt"))
         if i == 0:
@@ -80,7 +81,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         same = (F.col("pos") == 0) | (F.concat_ws(" ", gw) == F.col("gt"))
         found = here.where(probe.isNotNull()).join(maybe(table), (probe == F.col("gram")) & same)
         parts.append(
-            found.select("uid", "id", (F.size("w") - 1).alias("n_words"), "pos", "gram", F.when(F.col("pos") > 0, F.concat_ws(" ", F.slice("w", F.col("pos") + 1, window))).alias("ahead"))
+            found.select("uid", "id", F.col("n").alias("n_words"), "pos", "gram", F.when(F.col("pos") > 0, F.concat_ws(" ", F.slice("w", F.col("pos") + 1, window))).alias("ahead"))
         )
     matches = parts[0]
     for p in parts[1:]:
