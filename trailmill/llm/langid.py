@@ -99,15 +99,16 @@ class CrossParser:
         for seq in seqs:
             auto = SuffixAutomaton(self.lut[seq].tolist())
             n, width = len(auto.next), self.symbols
-            root = base * width
-            t = np.full((n, width), -1, dtype=np.int64)
+            t = np.full((n + 1, width), -1, dtype=np.int64)
             for s, m in enumerate(auto.next):
                 if m:
                     t[s, list(m)] = [(base + x) * width for x in m.values()]
-            first = np.where(t[0] < 0, root, t[0])  # a letter that never occurs is a phrase of its own
+            # the last row stands between phrases: the next letter begins one. A letter that never occurs leads back to it
+            between = (base + n) * width
+            first = np.where(t[0] < 0, between, t[0])
             rows.append(np.where(t < 0, first[None, :] | int(_FLAG), t).astype(np.uint32))
-            roots.append(root)
-            base += n
+            roots.append(between)
+            base += n + 1
         self.table = np.concatenate(rows).ravel() if rows else np.zeros(0, np.uint32)
         if len(self.table) >= int(_FLAG):
             raise ValueError("the samples are too large for 31-bit states")
@@ -130,7 +131,7 @@ class CrossParser:
         owner, start, size = owner[order], start[order], size[order]
         active = len(size) - np.searchsorted(size[::-1], np.arange(1, int(size[0]) + 1), "left")
         state = np.repeat(self.roots[:, None], len(size), axis=1)
-        count = np.ones(state.shape, dtype=np.int32)  # the phrase that a block ends in
+        count = np.zeros(state.shape, dtype=np.int32)
         table = self.table
         for t in range(int(size[0])):
             a = active[t]
