@@ -132,7 +132,6 @@ def _votes() -> dict[str, Column]:
     for kind, p in CONTEXT.items():
         near = near | (of[kind] & F.col("before").rlike(p))
     return {
-        "regex_strict": vote((F.col("base"), 1), (F.lit(True), -1)),
         "regex_shape": vote(
             (of["email"] & low.rlike(r"^[a-z0-9._%+-]{1,64}@[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}\z"), 1), (of["email"], -1),
             (of["ip"] & hit.rlike(r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}\z"), 1), (of["ip"], -1),
@@ -213,7 +212,9 @@ def weak_supervision(spans: DataFrame, threshold: float) -> DataFrame:
     pos, neg = (totals[0] or 0.0), (totals[1] or 0.0)
     # naive Bayes weights per feature value; the values that proposals beyond the base can have are what is joined
     weights = soft_rows.select("soft", F.inline("pairs")).groupBy("f", "v").agg(F.sum("soft").alias("a"), F.sum(1 - F.col("soft")).alias("b"))
-    weights = weights.select("f", "v", (F.log((F.col("a") + 0.5) / (pos + 1.0)) - F.log((F.col("b") + 0.5) / (neg + 1.0))).alias("wt"))
+    # smoothed towards a value's share of all proposals, so that a rare value says little either way
+    share = (F.col("a") + F.col("b")) / max(pos + neg, 1e-9)
+    weights = weights.select("f", "v", (F.log((F.col("a") + share) / (pos + 1.0)) - F.log((F.col("b") + share) / (neg + 1.0))).alias("wt"))
     more = soft_rows.where(~F.col("base"))
     keyed = more.withColumn("sid", F.xxhash64("uid", "k", "start", "stop"))
     scored = keyed.select("sid", F.inline("pairs")).join(weights, ["f", "v"]).groupBy("sid").agg(F.sum("wt").alias("s"))
