@@ -145,7 +145,7 @@ def test_links_are_counted_across_blocks(spark):
     v /= np.linalg.norm(v, axis=1)[:, None]
     rows = [(i, 0, 1 + i % 2, bytearray(x.tobytes())) for i, x in enumerate(v)]
     d = spark.createDataFrame(rows, "rid bigint, comp bigint, mult bigint, unit binary")
-    got = {r.rid: r.n for r in neardup_vectors._count_links(d, 0.93, block=16).collect()}
+    got = {r.rid: r.n for r in neardup_vectors._count_links(d, 0.93, block=16, block_max=16).collect()}
     hit = v @ v.T >= 0.93
     np.fill_diagonal(hit, True)
     want = hit @ np.array([r[2] for r in rows])

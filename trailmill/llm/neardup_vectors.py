@@ -203,7 +203,8 @@ def neighbour_graph(nodes: DataFrame, threshold: float, k: int, k_max: int, tabl
 
 
 def _exact(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) among ``pairs`` whose cosine in doubles is at least the threshold."""
+    """Links (a, b) among ``pairs``, those whose cosine in doubles is at least the threshold. Of a batch's links only a
+    spanning forest is kept: components need no more, and the links are counted elsewhere."""
     x = nodes.select(F.col("rid").alias("a"), F.col("unit").alias("x"))
     y = nodes.select(F.col("rid").alias("b"), F.col("unit").alias("y"))
     both = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).where("a <> b").distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y")
@@ -214,12 +215,31 @@ def _exact(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
             for size in np.unique(lens):
                 part = b.filter(pa.array(lens == size))
                 s = np.einsum("ij,ij->i", _mat(part.column(2), np.float64), _mat(part.column(3), np.float64))
-                yield part.select([0, 1]).filter(pa.array(s >= threshold))
+                hit = part.select([0, 1]).filter(pa.array(s >= threshold))
+                yield hit.filter(pa.array(_forest(hit.column(0).to_pylist(), hit.column(1).to_pylist()), pa.bool_()))
 
     sized = both.where(F.octet_length("x") == F.octet_length("y"))
     return sized.mapInArrow(run, "a bigint, b bigint")
 
 
+def _forest(a: list[int], b: list[int]) -> list[bool]:
+    """Which of the edges join what the edges before them didn't."""
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = parent.setdefault(p, p)
+            x = p
+        return x
+
+    out = []
+    for x, y in zip(map(find, a), b):
+        x, y = find(x), find(y)
+        out.append(x != y)
+        parent[x] = y
+    return out
+
+
 def _audit(nodes: DataFrame, threshold: float, audit: int) -> DataFrame:
     """(u, v): all links of ``audit`` vectors, each compared with all rows, in blocks."""
     chosen = nodes.orderBy(F.xxhash64(F.lit(11), "rid"), "rid").limit(audit).select("rid", "g", "unit").collect()
@@ -245,10 +265,11 @@ def _audit(nodes: DataFrame, threshold: float, audit: int) -> DataFrame:
     return nodes.select("rid", "g", "unit").mapInArrow(run, _EDGE).select("u", "v")
 
 
-def _count_links(members: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
-    """(rid, n): linked vectors, copies included, of each member (rid, comp, mult, unit) inside its component."""
+def _count_links(members: DataFrame, threshold: float, block: int = 256, block_max: int = 8192) -> DataFrame:
+    """(rid, n): linked vectors, copies included, of each member (rid, comp, mult, unit) inside its component. A component
+    is cut in eighths, within the bounds of a block: each member is sent once for every block of its component."""
     size = members.groupBy("comp").agg(F.count("*").alias("m")).where(F.col("m") > 1)
-    sized = members.join(size, "comp").withColumn("nb", F.ceil(F.col("m") / block).cast("int"))
+    sized = members.join(size, "comp").withColumn("nb", F.ceil(F.col("m") / F.greatest(F.lit(block), F.least(F.lit(block_max), F.ceil(F.col("m") / 8)))).cast("int"))
     home = F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int")
     # every block meets itself and, once, each other block
     pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(F.col("home"), o).alias("i"), F.greatest(F.col("home"), o).alias("j")))
