@@ -142,23 +142,30 @@ class CrossParser:
             out[k] = np.bincount(owner, weights=count[k], minlength=len(texts)).astype(np.int64)
         return out
 
-    def predict(self, texts: list[str | None], block: int = 512) -> tuple[list[str], list[float]]:
-        seqs = [_code_points(t or "") for t in texts]
-        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if not self.langs:
-            return langs, scores
-        group, held = [], 0
-        for i, s in enumerate([*seqs, None]):
-            if s is not None and s.any():
-                group.append(i)
-                held += len(s)
-            if group and (s is None or held > 4_000_000):
-                bits = self.phrases([seqs[j] for j in group], block) * self.bits[:, None]
-                best = bits.argmin(axis=0)
-                odds = np.exp2(-np.minimum(bits - bits.min(axis=0), 200.0))
-                for j, b, p in zip(group, best, 1 / odds.sum(axis=0)):
-                    langs[j], scores[j] = self.langs[b], float(p)
-                group, held = [], 0
+    def predict(self, texts, block: int = 512, group_chars: int = 2_000_000) -> tuple[list[str], list[float]]:
+        """Languages and scores of texts (strings or nulls); about ``group_chars`` characters are held at a time."""
+        langs, scores, group, seqs, held = [], [], [], [], 0
+
+        def flush():
+            bits = self.phrases(seqs, block) * self.bits[:, None]
+            odds = np.exp2(-np.minimum(bits - bits.min(axis=0), 200.0))
+            for j, b, p in zip(group, bits.argmin(axis=0), 1 / odds.sum(axis=0)):
+                langs[j], scores[j] = self.langs[b], float(p)
+
+        for i, t in enumerate(texts):
+            langs.append(UNKNOWN)
+            scores.append(0.0)
+            s = _code_points(t or "")
+            if not self.langs or not s.any():
+                continue
+            group.append(i)
+            seqs.append(s)
+            held += len(s)
+            if held >= group_chars:
+                flush()
+                group, seqs, held = [], [], 0
+        if group:
+            flush()
         return langs, scores
 
 
@@ -197,7 +204,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text", o
     def run(batches):
         parser = _parser(model.value)
         for b in batches:
-            langs, scores = parser.predict(b.column(0).to_pylist(), block)
+            langs, scores = parser.predict((x.as_py() for x in b.column(0)), block)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, out_lang, out_score])
 
     schema = src.select(*keep, F.lit("").alias(out_lang), F.lit(0.0).alias(out_score)).schema

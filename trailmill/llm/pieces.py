@@ -73,7 +73,7 @@ def read_model(data: bytes) -> list[tuple[str, float, int]]:
 
 
 class PieceCodec:
-    def __init__(self, data: bytes, cache: int = 500_000, pairs: int = 600_000):
+    def __init__(self, data: bytes, cache: int = 200_000, pairs: int = 400_000):
         pieces = read_model(data)
         self.score = {p: s for p, s, t in pieces if t == _NORMAL}
         self.ids = {p: i for i, (p, _, t) in enumerate(pieces) if t == _NORMAL}
