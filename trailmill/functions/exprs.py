@@ -121,6 +121,7 @@ def number(text: Column) -> Column:
 
 def duration_text(seconds: Column) -> Column:
     """'42 s' below 90 s, '17 min' below 90 min, else '3.4 h'."""
+    seconds = seconds.cast("double")
     return (
         F.when(seconds < 90, F.concat(F.format_string("%.0f", seconds), F.lit(" s")))
         .when(seconds < 5400, F.concat(F.format_string("%.0f", seconds / 60), F.lit(" min")))
@@ -158,7 +159,7 @@ def earliest_direction(text: Column, moving: list[str], stationary: list[str]) -
 def speed_bucket(v: Column, bins: int = 8, top: float = 30.0) -> Column:
     """Bucket 0..bins-1 of a speed; -1 for null."""
     b = F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(top - 0.01)) / top * bins)
-    return F.coalesce(F.least(F.lit(bins - 1), b), F.lit(-1)).cast("int")
+    return F.when(v.isNull(), -1).otherwise(F.least(F.lit(bins - 1), b)).cast("int")  # greatest() skips nulls
 
 
 def mercator(lat: Column, lon: Column, zoom: Column) -> tuple[Column, Column]:
