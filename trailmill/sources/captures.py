@@ -73,13 +73,16 @@ def text_lines(text: Column) -> Column:
 def explode_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per line: line_no from 1, and line."""
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(text_lines(F.col(text))).alias("line_no", "line")).withColumn("line_no", (F.col("line_no") + 1).cast("bigint"))
+    # the split is a column of its own, so that it runs once
+    d = df.select(*keep, F.when(F.col(text) != "", F.split(F.col(text), LINE_END, -1)).alias("__l"))
+    lines = F.when(F.element_at("__l", -1) == "", F.slice("__l", F.lit(1), F.size("__l") - 1)).otherwise(F.col("__l"))
+    return d.select(*keep, F.posexplode(lines).alias("line_no", "line")).withColumn("line_no", (F.col("line_no") + 1).cast("bigint"))
 
 
 def with_platform(df: DataFrame, text: str = "text") -> DataFrame:
     """Add platform: of the first non-blank lines the first that has a header decides; after SNIFF_LINES others the
     format counts as unknown. Works inside each row: nothing is shuffled."""
-    lines = F.slice(F.filter(text_lines(F.coalesce(F.col(text), F.lit(""))), lambda x: F.trim(x) != ""), 1, SNIFF_LINES + 1)
+    lines = F.slice(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), LINE_END, -1), lambda x: F.trim(x) != ""), 1, SNIFF_LINES + 1)
     kinds = F.filter(F.transform(lines, lambda x: F.when(x.rlike(ANDROID_HEADER), "android").when(x.rlike(IOS_HEADER), "ios")), lambda k: k.isNotNull())
     sniffed = F.coalesce(F.get(kinds, F.lit(0)), F.lit("unknown"))
     return df.withColumn("platform", F.coalesce("db_platform", sniffed) if "db_platform" in df.columns else sniffed)

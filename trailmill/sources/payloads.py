@@ -32,20 +32,23 @@ def _non_negative(c: Column) -> Column:
     return F.when(c >= 0, c)
 
 
+def _last_wins(pairs: Column, kind: str) -> Column:
+    """Map of (key, value) pairs; of repeated keys the last wins. The pairs are evaluated once."""
+    empty = F.create_map().cast(f"map<string,{kind}>")
+    return F.aggregate(pairs, empty, lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])))
+
+
 def _android_location(inner: Column, time: Column) -> Column:
     head = "^(\\S+) (-?\\d+(?:\\.\\d+)?),(-?\\d+(?:\\.\\d+)?)"
-    num = lambda *keys: F.coalesce(*(_d(F.regexp_extract(inner, f"(?:^|[\\s,])(?:{k})=({NUM})", 1)) for k in keys))
-    keys = F.regexp_extract_all(inner, F.lit(_EXTRA), F.lit(1))
-    vals = F.transform(F.regexp_extract_all(inner, F.lit(_EXTRA), F.lit(2)), lambda x: x.try_cast("double"))
+    num = lambda *keys: _d(F.regexp_extract(inner, f"(?:^|[\\s,])(?:{'|'.join(keys)})=({NUM})", 1))
+    pairs = F.transform(F.regexp_extract_all(inner, F.lit(_EXTRA), F.lit(0)), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substring_index(x, "=", -1).try_cast("double").alias("v")))
     return F.struct(
         _d(F.regexp_extract(inner, head, 2)).alias("lat"), _d(F.regexp_extract(inner, head, 3)).alias("lon"),
         num("hAcc", "acc").alias("acc"), num("vel").alias("speed"), num("bear").alias("course"), num("alt").alias("alt"),
         extract(inner, head, 1).alias("provider"), F.lower(inner).rlike("\\bmock\\b").alias("mock"),
         duration_ms(F.regexp_extract(inner, "et=\\+?(\\S+)", 1)).alias("et_ms"), F.lit(None).cast("bigint").alias("age_ms"),
         F.lit(None).cast("int").alias("batch_index"), F.nullif(time, F.lit("")).try_cast("bigint").alias("time_ms"), F.lit(None).cast("string").alias("time_text"),
-        num("vAcc").alias("vacc"), num("sAcc").alias("sacc"), num("bAcc").alias("bacc"),
-        # of repeated keys the last wins
-        F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k, F.element_at(vals, (F.size(vals) - F.array_position(F.reverse(keys), k) + 1).cast("int"))))).alias("extras"),
+        num("vAcc").alias("vacc"), num("sAcc").alias("sacc"), num("bAcc").alias("bacc"), _last_wins(pairs, "double").alias("extras"),
     )
 
 
@@ -60,31 +63,37 @@ def _pin_location(hit: Column) -> Column:
     )
 
 
-def locations(raw: Column) -> Column:
-    """All positions of a record; comparison rows (A: and B:) hold none."""
-    bare = F.regexp_replace(raw, "(?m)^\\s*╟?─?\\s*[AB]:\\s*[-\\d].*$", "")
-    inner = F.regexp_extract_all(bare, F.lit(_ANDROID_LOCATION), F.lit(1))
-    times = F.regexp_extract_all(bare, F.lit(_ANDROID_LOCATION), F.lit(2))
-    a = F.when(bare.contains("Location["), F.transform(inner, lambda x, i: _android_location(x, F.get(times, i))))
+def bare_text(raw: Column) -> Column:
+    """A record without comparison rows (A: and B:), which hold no positions of their own."""
+    return F.regexp_replace(raw, "(?m)^\\s*╟?─?\\s*[AB]:\\s*[-\\d].*$", "")
+
+
+def locations(bare: Column) -> Column:
+    """All positions of a record's ``bare_text``."""
+    hits = F.regexp_extract_all(bare, F.lit(_ANDROID_LOCATION), F.lit(0))
+    a = F.when(bare.contains("Location["), F.transform(F.transform(hits, lambda x: F.struct(F.regexp_extract(x, _ANDROID_LOCATION, 1).alias("i"), F.regexp_extract(x, _ANDROID_LOCATION, 2).alias("t"))), lambda x: _android_location(x["i"], x["t"])))
     p = F.when(bare.contains("📍<"), F.transform(F.regexp_extract_all(bare, F.lit(_PIN), F.lit(0)), _pin_location))
-    ok = lambda x: x["lat"].isNotNull() & x["lon"].isNotNull()
-    return F.filter(F.coalesce(a, p), ok)
+    return F.filter(F.coalesce(a, p), lambda x: x["lat"].isNotNull() & x["lon"].isNotNull())
 
 
-def filter_result(raw: Column) -> Column:
-    """decision, reason, metrics of a location filter's line, of either grammar, and everything else as text."""
+def filter_map(raw: Column) -> Column:
+    """Keys and values of a location filter's line, of either grammar; null for other records."""
     kv = "([A-Za-z_]\\w*(?:\\(\\w+\\))?)=('[^']*'|[^,\\s\\])]+)"
     line = F.regexp_extract(raw, "(?m)^.*(?:FilterResult|decision=).*$", 0)
-    keys = F.regexp_extract_all(line, F.lit(kv), F.lit(1))
-    vals = F.transform(F.regexp_extract_all(line, F.lit(kv), F.lit(2)), lambda x: F.regexp_replace(F.regexp_replace(x, "^'|'$", ""), "^(-?\\d+(?:\\.\\d+)?)m$", "$1"))
-    at = lambda k: F.get(vals, F.nullif(F.size(vals) - F.array_position(F.reverse(keys), k), F.size(vals)).cast("int"))
+    clean = lambda x: F.regexp_replace(F.regexp_replace(x, "^'|'$", ""), "^(-?\\d+(?:\\.\\d+)?)m$", "$1")
+    pairs = F.transform(F.regexp_extract_all(line, F.lit(kv), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, kv, 1).alias("k"), clean(F.regexp_extract(x, kv, 2)).alias("v")))
+    return F.when(raw.contains("FilterResult") | raw.contains("decision="), _last_wins(pairs, "string"))
+
+
+def filter_result(found: Column) -> Column:
+    """decision, reason and metrics from a ``filter_map``, and everything in it as text."""
+    at = lambda k: F.try_element_at(found, F.lit(k))
     num = lambda k: at(k).try_cast("double")
-    extras = F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k, F.element_at(vals, (F.size(vals) - F.array_position(F.reverse(keys), k) + 1).cast("int")))))
     s = F.struct(
         at("decision").alias("decision"), at("reason").alias("reason"), num("raw").alias("raw"), num("effective").alias("effective"), at("anomaly").alias("anomaly"),
-        F.coalesce(num("acc(cur)"), num("acc_cur")).alias("acc_cur"), F.coalesce(num("acc(prev)"), num("acc_prev")).alias("acc_prev"), extras.alias("extras"),
+        F.coalesce(num("acc(cur)"), num("acc_cur")).alias("acc_cur"), F.coalesce(num("acc(prev)"), num("acc_prev")).alias("acc_prev"), found.alias("extras"),
     )
-    return F.when((raw.contains("FilterResult") | raw.contains("decision=")) & (F.size(keys) > 0), s)
+    return F.when(F.size(found) > 0, s)
 
 
 def detected_activity(raw: Column) -> Column:
@@ -315,14 +324,14 @@ def _config(raw: pd.Series) -> pd.DataFrame:
 def annotate(records: DataFrame) -> DataFrame:
     """``records`` with ``structs``. Only records that can hold a dump go through Python."""
     raw = F.col("raw")
-    locs = locations(raw)
-    d = records.withColumn("__locs", locs)
+    # what is used more than once is a column of its own, so that it is evaluated once
+    d = records.withColumn("__bare", bare_text(raw)).withColumn("__locs", locations(F.col("__bare"))).withColumn("__filter", filter_map(raw))
     many = (F.size("__locs") > 1) | F.exists("__locs", lambda x: x["batch_index"].isNotNull())
     dump = raw.rlike("(?m)\\{\\s*$") & (raw.rlike('(?m)^  "[^"]+": ?') | raw.rlike('(?m)^\\s+"?[\\w.]+"? = '))
     cfg = F.pandas_udf(_config, "struct<data:string,truncated:boolean>")(F.when(dump, raw))
     structs = F.struct(
-        F.get("__locs", F.lit(0)).alias("location"), F.when(many, F.col("__locs")).alias("locations"), filter_result(raw).alias("filter_result"), detected_activity(raw).alias("detected_activity"),
+        F.get("__locs", F.lit(0)).alias("location"), F.when(many, F.col("__locs")).alias("locations"), filter_result(F.col("__filter")).alias("filter_result"), detected_activity(raw).alias("detected_activity"),
         motion_activity(raw).alias("motion_activity"), intent(raw).alias("intent"), F.when(dump & F.col("__cfg.data").isNotNull(), F.col("__cfg")).alias("config_dump"), http(raw).alias("http"), nserror(raw).alias("nserror"),
         geofence(raw).alias("geofence"), ab_compare(raw).alias("ab_compare"),
     )
-    return d.withColumn("__cfg", cfg).withColumn("structs", structs).drop("__locs", "__cfg")
+    return d.withColumn("__cfg", cfg).withColumn("structs", structs).drop("__bare", "__locs", "__filter", "__cfg")
