@@ -185,7 +185,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     null id stay."""
     found = simhash_dedup(docs, id_col, text_col)
     chosen = materialize(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n")), "simhash-kept")
-    keep = chosen.select(F.col(id_col).alias("__id"))
+    # texts are shuffled once at every size; the ids are the build side, so texts aren't sorted
+    keep = chosen.select(F.col(id_col).alias("__id")).hint("shuffle_hash")
     out = docs.join(keep, F.col(id_col) == F.col("__id"), "left_semi")
     if chosen.where("n > 1").limit(1).count():
         out = out.dropDuplicates([id_col])
