@@ -139,6 +139,42 @@ def test_vector_dedup_empty(spark):
     assert neardup_vectors.vector_dedup(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
 
+def bridged_groups(rng, n=60, dim=24):
+    """Two groups of one label with cosines of about 0.97 inside; only a few pairs across reach 0.93."""
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    c = unit(rng.standard_normal(dim))
+    d = rng.standard_normal(dim)
+    d = unit(d - (d @ c) * c)
+    groups = []
+    for angle in (0.0, 0.47):
+        g = unit(unit(np.cos(angle) * c + np.sin(angle) * d) + 0.17 * rng.standard_normal((n, dim)) / np.sqrt(dim))
+        groups.append(g)
+    return np.concatenate(groups)
+
+
+def brute_links(v, threshold=0.93):
+    hit = v @ v.T >= threshold
+    np.fill_diagonal(hit, False)
+    return hit
+
+
+def test_dense_groups_joined_by_a_bridge(spark):
+    v = bridged_groups(np.random.default_rng(4))
+    v = np.concatenate([v, np.random.default_rng(5).standard_normal((40, 24))])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    hit = brute_links(v)
+    assert 1 <= hit[:60, 60:120].sum() <= 200 and not hit[0, 60] and hit[:60, :60].sum() > 60 * 55
+    comp = components(len(v), list(zip(*np.nonzero(hit))))
+    rows = [(i, x.tolist(), "a") for i, x in enumerate(v)]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")
+    # without an audit, whose own links could be those of the bridge
+    got = {r.vec_id: r for r in neardup_vectors.vector_dedup(d, audit=0).collect()}
+    assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (int(hit[i].sum()), comp[i], comp[i] == i) for i in range(len(v))}
+
+
 def test_links_are_counted_across_blocks(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal(8) + 0.25 * rng.standard_normal((120, 8))

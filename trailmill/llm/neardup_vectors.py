@@ -5,12 +5,14 @@ hyperplane codes: consecutive blocks of a sort are compared inside. (3) NN-desce
 reverse neighbours meet at it and are compared with each other; lists keep the best ``k``. Lists that are full of
 links (saturated) are enlarged, up to ``k_max``. Rounds end when few lists change. (4) Edges at the threshold, checked
 in double precision, give components; one vector per component goes through the graph once more, so that parts of a
-dense group with saturated lists meet. (5) Recall is audited: ``audit`` vectors of least hash are compared with all
+dense group meet cheaply; then each component that holds a saturated list is compared exactly with all other vectors of
+its label, so that no link that a full list had no room for is lost. (5) Recall is audited: ``audit`` vectors of least hash are compared with all
 rows; missed links are added and, if recall is below ``recall``, more rounds with other hyperplanes follow. (6) Links
 are counted inside components, block against block: an exact count for every vector whatever its lists could hold.
 
 A component of m vectors costs m * m multiplications in (6), spread over pairs of blocks; two blocks whose centres and
-radii prove that all their pairs link are counted without comparing. No pair table is made there.
+radii prove that all their pairs link are counted without comparing. No pair table is made there. In (4), the vectors of a label are compared with the centres
+of the blocks (of up to 256 members) of its dense components, and with the members of the blocks whose radius reaches them.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label
 or id, link with nothing and are their own component; vectors of different lengths don't link; equal rows (ids too)
@@ -265,6 +267,128 @@ def _audit(nodes: DataFrame, threshold: float, audit: int) -> DataFrame:
     return nodes.select("rid", "g", "unit").mapInArrow(run, _EDGE).select("u", "v")
 
 
+def _blocks(members: DataFrame, block: int = 256) -> DataFrame:
+    """(bid, rid, g, comp, unit, centre, radius, bcomp) of members (rid, g, comp, unit): blocks of one component of near
+    directions. ``centre``, ``radius`` and ``bcomp`` stand on one row of a block; ``bcomp`` is its component, or null in
+    blocks of single vectors."""
+
+    def run(batches):
+        planes: dict = {}
+        for b in batches:
+            out = []
+            for x in b.column(3):
+                v = np.frombuffer(x.as_py())
+                if len(v) not in planes:
+                    planes[len(v)] = np.random.default_rng([5, len(v)]).standard_normal((len(v), 31))
+                out.append(int((v @ planes[len(v)] > 0) @ (1 << np.arange(30, -1, -1, dtype=np.int64))))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "code"])
+
+    def cut(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, g, of = (b.column(i).to_numpy() for i in (0, 1, 4))
+            single = b.column(5).to_numpy(zero_copy_only=False)
+            lens = np.array([len(x.as_py()) for x in b.column(3)])
+            edge = np.flatnonzero((np.diff(g) != 0) | (np.diff(of) != 0) | (np.diff(lens) != 0) | (single[1:] != single[:-1])) + 1
+            bid, centre, radius, bcomp = np.empty(len(ids), np.int64), [None] * len(ids), [None] * len(ids), [None] * len(ids)
+            for a, z in zip([0, *edge], [*edge, len(ids)]):
+                for lo in range(a, z, block):
+                    hi = min(z, lo + block)
+                    x = _mat(b.column(3).slice(lo, hi - lo), np.float64)
+                    c = x.mean(axis=0)
+                    c /= max(np.linalg.norm(c), 1e-300)
+                    bid[lo:hi] = ids[lo]
+                    centre[lo], radius[lo] = c.tobytes(), float(np.arccos(np.clip((x @ c).min(), -1, 1)))
+                    bcomp[lo] = None if single[lo] else int(of[lo])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bid), *(b.column(i) for i in range(4)), pa.array(centre, pa.binary()), pa.array(radius, pa.float64()), pa.array(bcomp, pa.int64())],
+                names=["bid", "rid", "g", "comp", "unit", "centre", "radius", "bcomp"],
+            )
+
+    single = F.col("single")
+    coded = members.select("rid", "g", "comp", "unit", F.when(single, F.lit(0)).otherwise(F.col("comp")).cast("bigint").alias("of"), single)
+    coded = coded.mapInArrow(run, "rid bigint, g bigint, comp bigint, unit binary, of bigint, single boolean, code bigint")
+    order = ["g", "single", "of", F.octet_length("unit"), "code", "rid"]
+    dealt = coded.repartitionByRange(*order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(cut, "bid bigint, rid bigint, g bigint, comp bigint, unit binary, centre binary, radius double, bcomp bigint")
+
+
+def _across(nodes: DataFrame, comps: DataFrame, dense: DataFrame | None, threshold: float, slice_bytes: int = 32 << 20, part: int = 2048) -> DataFrame:
+    """Links (a, b), exact, between different components: of each component in ``dense`` (comp), or of all vectors if it
+    is None, with all vectors of the label; one link for each vector and component at least. Components go as blocks; a
+    vector is compared with a block's members unless the block's centre and radius prove that it links with none."""
+    own = nodes.join(comps.select(F.col("node").alias("rid"), "component"), "rid", "left")
+    own = own.select("rid", "g", "unit", F.coalesce("component", "rid").alias("comp"), F.col("component").isNull().alias("single"))
+    if dense is None:
+        own = own.withColumn("dense", F.lit(True))
+    else:
+        own = own.join(dense.select("comp", F.lit(True).alias("dense")), "comp", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+    own = materialize(own.select("rid", "g", "comp", "unit", "dense", "single"), "own")
+    blocks = materialize(_blocks(own.where("dense")), "blocks")
+    centres = blocks.where("centre is not null").select("bid", "g", "bcomp", "centre", "radius")
+    size = centres.agg(F.sum(F.octet_length("centre") + 32)).first()[0] or 0
+    slices = -(-size // slice_bytes)
+    limit = float(np.arccos(threshold))
+    found = None
+    for i in range(slices):
+        by: dict[tuple[int, int], list] = {}
+        for r in centres.where(F.pmod(F.xxhash64("bid"), F.lit(slices)) == i).toLocalIterator():
+            by.setdefault((r.g, len(r.centre)), []).append((r.bid, -1 if r.bcomp is None else r.bcomp, r.bcomp is None, r.radius, np.frombuffer(r.centre).astype(np.float32)))
+        table = {k: (np.array([x[0] for x in v]), np.array([x[1] for x in v]), np.array([x[2] for x in v]), np.array([x[3] for x in v], np.float32), np.stack([x[4] for x in v])) for k, v in by.items()}
+        sent = nodes.sparkSession.sparkContext.broadcast(table)
+
+        def run(batches, sent=sent):
+            for b in batches:
+                ids, g, comp = (b.column(c).to_numpy() for c in range(3))
+                dense_row = b.column(4).to_numpy(zero_copy_only=False)
+                lens = np.array([len(x.as_py()) for x in b.column(3)])
+                for (key, width), (bids, bcomp, mixed, radius, c) in sent.value.items():
+                    at = np.flatnonzero((g == key) & (lens == width))
+                    step = max(1, (1 << 22) // len(bids))
+                    for lo in range(0, len(at), step):
+                        rows = at[lo : lo + step]
+                        x = _mat(b.column(3).take(pa.array(rows)), np.float64).astype(np.float32)
+                        near = np.arccos(np.clip(x @ c.T, -1, 1)) <= radius + np.float32(limit + 2e-3)
+                        # two dense components meet once, a component never meets itself
+                        mine = comp[rows][:, None]
+                        near &= mixed | np.where(dense_row[rows][:, None], mine > bcomp, mine != bcomp)
+                        r, q = np.nonzero(near)
+                        if len(r):
+                            yield pa.RecordBatch.from_arrays([pa.array(bids[q]), pa.array(ids[rows[r]])], names=["bid", "rid"])
+
+        # single vectors have no component to be kept from meeting; their blocks meet all
+        rows = own.select("rid", "g", "comp", "unit", (F.col("dense") & ~F.col("single")).alias("dense"))
+        meet = materialize(rows.mapInArrow(run, "bid bigint, rid bigint"), "meet")
+        found = meet if found is None else found.union(meet)
+    if found is None:
+        return nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
+    parts = found.groupBy("bid").agg(F.ceil(F.count("*") / F.lit(part)).cast("int").alias("n"))
+    key = F.xxhash64("bid", "p").alias("key")
+    home = blocks.join(parts, "bid").select("bid", "rid", "comp", "unit", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p"))
+    guest = found.join(parts, "bid").join(own.select("rid", "comp", "unit"), "rid").select("bid", "rid", "comp", "unit", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int").alias("p"))
+    both = home.select(key, "rid", "comp", "unit", F.lit(True).alias("home")).union(guest.select(key, "rid", "comp", "unit", F.lit(False)))
+
+    def compare(batches):
+        for b, starts, ends in grouped(batches):
+            ids, comp, units = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3)
+            side = b.column(4).to_numpy(zero_copy_only=False)
+            for a, z in zip(starts, ends):
+                p, q = a + np.flatnonzero(side[a:z]), a + np.flatnonzero(~side[a:z])
+                if not len(p) or not len(q):
+                    continue
+                x = _mat(units.take(pa.array(p)), np.float64)
+                _, of = np.unique(comp[p], return_inverse=True)
+                for lo in range(0, len(q), 4096):
+                    y = q[lo : lo + 4096]
+                    i, j = np.nonzero((x @ _mat(units.take(pa.array(y)), np.float64).T >= threshold) & (comp[p][:, None] != comp[y]))
+                    _, one = np.unique(of[i] * len(y) + j, return_index=True)
+                    if len(one):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[p[i[one]]]), pa.array(ids[y[j[one]]])], names=["a", "b"])
+
+    return both.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _count_links(members: DataFrame, threshold: float, block: int = 256, block_max: int = 8192) -> DataFrame:
     """(rid, n): linked vectors, copies included, of each member (rid, comp, mult, unit) inside its component. A component
     is cut in eighths, within the bounds of a block: each member is sent once for every block of its component."""
@@ -343,6 +467,13 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         links = links.union(_exact(again.where(F.col("s") >= threshold - _MARGIN), few, threshold))
         links = materialize(links.distinct(), "links")
         comps = materialize(connected_components(links), "components")
+        # lists with k links or more may have lost others: their components meet the rest of the label exactly
+        full = graph.where(F.col("s") >= threshold - _MARGIN).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        dense = comps.join(full, comps.node == full.u, "left_semi").select(F.col("component").alias("comp")).distinct()
+        crossing = materialize(_across(nodes, comps, dense, threshold), "crossing")
+        if crossing.limit(1).count():
+            links = links.union(crossing)
+            comps = materialize(connected_components(links), "components")
         if not n_true:
             break
         # a link counts as found if the graph, without the audit's own links, joins its ends
