@@ -175,6 +175,34 @@ def test_dense_groups_joined_by_a_bridge(spark):
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (int(hit[i].sum()), comp[i], comp[i] == i) for i in range(len(v))}
 
 
+def test_recall_weighs_vectors_and_tables_grow(spark):
+    truth = spark.createDataFrame([(1, i) for i in range(100, 400)] + [(2, 3), (4, 5)], "u bigint, v bigint")
+    comps = spark.createDataFrame([(x, 1) for x in [1, *range(100, 400)]] + [(4, 4), (5, 4)], "node bigint, component bigint")
+    assert abs(neardup_vectors._recall(truth, comps) - 2 / 3) < 1e-9
+    assert neardup_vectors._recall(truth.where("u < 0"), comps) == 1.0
+    sizes = [neardup_vectors._tables_for(n, 0.93, 0.99) for n in (0, 100, 5000, 100_000, 3_000_000)]
+    assert sizes == sorted(sizes) and sizes[0] == 1 and sizes[-1] > 2 * sizes[2]
+
+
+def test_every_turn_is_measured_and_the_last_resort_is_exact(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    v = np.repeat(rng.standard_normal((60, 16)), 2, axis=0) + 0.08 * rng.standard_normal((120, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    hit = brute_links(v)
+    comp = components(120, list(zip(*np.nonzero(hit))))
+    turns = []
+
+    def nothing(nodes, *args):  # a graph that finds no link at all
+        turns.append(args[-1])
+        return spark.createDataFrame([], "u bigint, v bigint, s float")
+
+    monkeypatch.setattr(neardup_vectors, "neighbour_graph", nothing)
+    d = spark.createDataFrame([(i, x.tolist(), "a") for i, x in enumerate(v)], "vec_id bigint, embedding array<double>, label string")
+    got = {r.vec_id: r for r in neardup_vectors.vector_dedup(d, audit=5, tries=2).collect()}
+    assert len(turns) == 4 and hit.sum() > 60
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (int(hit[i].sum()), comp[i]) for i in range(120)}
+
+
 def test_links_are_counted_across_blocks(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal(8) + 0.25 * rng.standard_normal((120, 8))

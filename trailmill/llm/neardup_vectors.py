@@ -6,8 +6,10 @@ reverse neighbours meet at it and are compared with each other; lists keep the b
 links (saturated) are enlarged, up to ``k_max``. Rounds end when few lists change. (4) Edges at the threshold, checked
 in double precision, give components; one vector per component goes through the graph once more, so that parts of a
 dense group meet cheaply; then each component that holds a saturated list is compared exactly with all other vectors of
-its label, so that no link that a full list had no room for is lost. (5) Recall is audited: ``audit`` vectors of least hash are compared with all
-rows; missed links are added and, if recall is below ``recall``, more rounds with other hyperplanes follow. (6) Links
+its label, so that no link that a full list had no room for is lost. (5) Recall is audited in every turn: ``audit`` vectors of least hash are compared
+with all rows, and the share of their links that the graph found without them is averaged over the vectors. Below
+``recall``, a turn with other hyperplanes follows; after ``tries`` turns all vectors of a label are compared, exactly.
+Missed links of the audited vectors are added. The number of sorts grows with the largest label. (6) Links
 are counted inside components, block against block: an exact count for every vector whatever its lists could hold.
 
 A component of m vectors costs m * m multiplications in (6), spread over pairs of blocks; two blocks whose centres and
@@ -389,6 +391,23 @@ def _across(nodes: DataFrame, comps: DataFrame, dense: DataFrame | None, thresho
     return both.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _recall(truth: DataFrame, comps: DataFrame) -> float:
+    """The mean over audited vectors with links of the share of their links whose ends are in one component; 1 without
+    any. Each vector weighs the same, so that a large group doesn't hide isolated pairs."""
+    c1, c2 = (comps.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("u", "v"))
+    met = truth.join(c1, "u", "left").join(c2, "v", "left").select("u", F.coalesce(F.col("cu") == F.col("cv"), F.lit(False)).cast("int").alias("met"))
+    share = met.groupBy("u").agg(F.avg("met").alias("share")).agg(F.avg("share")).first()[0]
+    return 1.0 if share is None else share
+
+
+def _tables_for(rows: int, threshold: float, recall: float, block: int = 128) -> int:
+    """How many sorts bring two vectors at the threshold into one block of a label of ``rows`` at a chance of ``recall``:
+    in one sort about as many leading bits must agree as it takes to part the label into blocks."""
+    bits = max(0.0, np.log2(max(rows, 1) / block))
+    p = (1 - np.arccos(threshold) / np.pi) ** bits
+    return 1 if p >= recall else int(np.ceil(np.log(1 - recall) / np.log1p(-p)))
+
+
 def _count_links(members: DataFrame, threshold: float, block: int = 256, block_max: int = 8192) -> DataFrame:
     """(rid, n): linked vectors, copies included, of each member (rid, comp, mult, unit) inside its component. A component
     is cut in eighths, within the bounds of a block: each member is sent once for every block of its component."""
@@ -451,14 +470,14 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     nodes = nodes.select("rid", key.alias("g"), "mult", "unit", "raw", "label").mapInArrow(halve, "rid bigint, g bigint, mult bigint, unit binary, raw binary, label string, half binary")
     nodes = materialize(nodes, "nodes")
-    truth = materialize(_audit(nodes, threshold, audit), "audit")
-    n_true = truth.count()
-    links = truth.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    truth = materialize(_audit(nodes, threshold, audit).distinct(), "audit")
+    largest = nodes.groupBy("g").count().agg(F.max("count")).first()[0] or 1
+    tables = max(tables, _tables_for(largest, threshold, recall))
+    links = nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
     for turn in range(tries):
         graph = neighbour_graph(nodes, threshold, k, k_max, tables, rounds, seed + 101 * turn)
         found = _exact(graph.where(F.col("s") >= threshold - _MARGIN), nodes, threshold)
-        own = materialize(found, "links")
-        links = links.union(own)
+        links = materialize(links.union(found), "links")
         comps = materialize(connected_components(links), "components")
         # parts of dense groups: one vector per component through the graph once more
         leaders = comps.where("node = component").select(F.col("node").alias("rid"))
@@ -474,13 +493,17 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         if crossing.limit(1).count():
             links = links.union(crossing)
             comps = materialize(connected_components(links), "components")
-        if not n_true:
-            break
-        # a link counts as found if the graph, without the audit's own links, joins its ends
-        got = materialize(connected_components(own), "components") if turn == 0 else comps
-        c1, c2 = (got.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("u", "v"))
-        if truth.join(c1, "u").join(c2, "v").where("cu = cv").count() >= recall * n_true:
+        # none of these links is the audit's own
+        share = _recall(truth, comps)
+        if share >= recall:
             break
+    else:
+        links = links.union(materialize(_across(nodes, comps, None, threshold), "crossing"))
+        comps = materialize(connected_components(links), "components")
+        share = 1.0
+    if share < 1:
+        links = links.union(truth.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
+        comps = materialize(connected_components(links), "components")
     comp = nodes.join(comps, nodes.rid == comps.node, "inner").select("rid", F.col("component").alias("comp"), "mult", "unit")
     counts = materialize(_count_links(comp, threshold), "counts")
     per = nodes.select("rid", "mult", "raw", "label").join(comps.select(F.col("node").alias("rid"), "component"), "rid", "left").join(counts, "rid", "left")
