@@ -1,7 +1,7 @@
 """A corpus pipeline: each stage takes (spark, docs, sf_dir) and returns the documents that the next one gets.
 
-Language identification drops texts without any letter; near-duplicate groups keep their smallest doc_id; documents
-that hold a window of a benchmark item go; personal data is masked in place; what is left is encoded.
+Language identification drops texts without any letter; near-duplicate groups keep their smallest doc_id; rows
+that hold a window of a benchmark item go, other rows of their doc_id stay; personal data is masked in place; what is left is encoded.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = materialize(found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    # rows leave by id and text hash: ids can be null or repeated, and a row goes for its own text only
+    keyed = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    key = F.struct("doc_id", "__th")
+    found = decontam.contamination(keyed.select(key.alias("key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
+    bad = materialize(found.where("contaminated").select(F.col("key.doc_id").alias("__id"), F.col("key.__th").alias("__bad")).distinct(), "contaminated")
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__bad")), "left_anti").drop("__th")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -560,3 +560,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in docs.collect()) == [*range(30), 34]
     assert docs.where("doc_id = 34").first().text.endswith("<email>")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 31
+
+
+def test_stages_drop_rows_and_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(13)
+    item = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(15))
+    a, b, c, e = (" ".join(f"word{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bad = f"{e} {item}"
+    rows = [(None, a, "x"), (None, bad, "x"), (5, b, "x"), (5, bad, "x"), (5, b, "y"), (6, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [r for r in rows if r[1] != bad]))
+    # id 5 has two unrelated texts; 3 is a copy of one of them, 9 of the other; 7 repeats as a row
+    rows = [(5, a, "x"), (5, b, "x"), (3, b, "x"), (9, a, "x"), (7, c, "x"), (7, c, "x"), (None, a, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    want = [(5, a, "x"), (3, b, "x"), (7, c, "x"), (None, a, "x"), (None, a, "x")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    docs = spark.createDataFrame([(1, a, "z"), (1, a, "y")], "doc_id bigint, text string, lang string")
+    assert simhash.keep_one(docs).collect() == simhash.keep_one(docs.orderBy("lang")).collect()

@@ -181,16 +181,23 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; one of repeated rows of that id. Rows with a
-    null id stay."""
-    found = simhash_dedup(docs, id_col, text_col)
-    chosen = materialize(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n")), "simhash-kept")
+    """One row of ``docs`` for each component of fingerprints: that of the smallest id, then of the least hash of its text
+    and of its other columns. An id may stand on unrelated texts: each has its own component. Rows with a null id stay."""
+    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.withColumn("__th", th).withColumn("__rh", F.xxhash64("__th", *(c for c in docs.columns if c != text_col)))
+    named = keyed.where(F.col(id_col).isNotNull())
+    rows = named.select(F.struct(F.col(id_col).alias("id"), F.col("__th").alias("th"), F.col("__rh").alias("rh")).alias("key"), F.col(text_col).alias("t"))
+    fps = materialize(fingerprints(rows, "key", "t").select("fp", "id.*"), "simhash")
+    comps = connected_components(near_links(fps.select("fp", F.col("fp").alias("rep")).distinct()))
+    held = fps.groupBy("fp", "id", "th", "rh").agg(F.count("*").alias("n")).join(comps, F.col("fp") == comps.node, "left")
+    least = held.groupBy(F.coalesce("component", "fp")).agg(F.min(F.struct("id", "th", "rh", "n")).alias("one"))
+    chosen = materialize(least.select("one.*"), "simhash-kept")
     # texts are shuffled once at every size; the ids are the build side, so texts aren't sorted
-    keep = chosen.select(F.col(id_col).alias("__id")).hint("shuffle_hash")
-    out = docs.join(keep, F.col(id_col) == F.col("__id"), "left_semi")
+    keep = chosen.select(F.col("id").alias("__id"), F.col("th").alias("__th2"), F.col("rh").alias("__rh2")).hint("shuffle_hash")
+    out = named.join(keep, (F.col(id_col) == F.col("__id")) & (F.col("__th") == F.col("__th2")) & (F.col("__rh") == F.col("__rh2")), "left_semi")
     if chosen.where("n > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])
-    return out.union(docs.where(F.col(id_col).isNull()))
+        out = out.dropDuplicates([id_col, "__th", "__rh"])
+    return out.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
 
 
 def op10_simhash_near_dedup(spark, sf_dir):
