@@ -1,5 +1,6 @@
 import json
 import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 
 from trailmill.functions import exprs as X
 from trailmill.operators import aggregate as A
-from trailmill.plans import bench_inputs, enrich, findings, redact, vocabulary
+from trailmill.operators import asof
+from trailmill.plans import bench_inputs, enrich, findings, redact, sinks, vocabulary
 from trailmill.plans.vocabulary import Entry, Matcher
 from trailmill.sources import captures as C
 from trailmill.sources import payloads as P
@@ -207,3 +209,24 @@ def test_entry_works_without_the_llm_subpackage(tmp_path):
     out = subprocess.run([sys.executable, "-c", "import json, __spark_entry__ as e; print(json.dumps([len(e.queries()), sorted(set(e.oracle_sql()) - set(e.queries()))]))"], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
     n, orphans = json.loads(out.stdout.strip().splitlines()[-1])
     assert n > 50 and orphans == []
+
+
+def test_digest_masks_secrets(spark):
+    rows = [("c", "authorization.accessToken", "tok-123"), ("c", "http.url", "https://h.example/in"), ("c", "locator", "wss://h.example/x"), ("c", "refreshToken", "tok-456"), ("c", "headers.X-Key", "tok-789"), ("c", "debug", "true"), ("c", "distanceFilter", None)]
+    text = sinks.digest({"config": spark.createDataFrame(rows, "capture_id string, key string, value string")}, "c")
+    assert not any(x in text for x in ("tok-", "h.example"))
+    assert "| debug | true |" in text
+
+
+def test_neighbours_against_a_loop(spark):
+    rng = random.Random(3)
+    ev = [("c", i, rng.randrange(40)) for i in range(300)]
+    fx = [("c", 1000 + i, rng.randrange(40), float(i)) for i in range(60)]
+    e = spark.createDataFrame(ev, "by string, seq int, s int").withColumn("ts", F.timestamp_seconds("s"))
+    f = spark.createDataFrame(fx, "by string, seq int, s int, lat double").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.seq: (r.prev_lat, r.next_lat) for r in asof.neighbours(e, f, ["by"], "ts", ["seq"], ["lat"]).collect()}
+    line = sorted(fx, key=lambda x: (x[2], x[1]))
+    for _, seq, s in ev:
+        before = [x[3] for x in line if x[2] < s]
+        after = [x[3] for x in line if x[2] >= s]
+        assert got[seq] == (before[-1] if before else None, after[0] if after else None)

@@ -160,3 +160,12 @@ def test_slice(spark, records):
     assert A.slice_records(one, "2024-01-02 10:20±0s").count() == 1
     with pytest.raises(ValueError):
         A.slice_records(one, "nonsense")
+
+
+def test_two_files_of_one_name_are_two_captures(spark, tmp_path):
+    for d in "ab":
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "log.log").write_text(f"01-02 03:04:05.000 INFO [A b] {d}\n")
+    (tmp_path / "a" / "other.log").write_text("01-02 03:04:05.000 INFO [A b] x\n")
+    ids = sorted(r.capture_id for r in C.read_captures(spark, [f"{tmp_path}/*/*.log"], 2024).select("capture_id").collect())
+    assert len(set(ids)) == 3 and ids[2] == "other" and all(x.startswith("log-") for x in ids[:2])

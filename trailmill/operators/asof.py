@@ -1,8 +1,8 @@
 """Nearest-in-time joins and range joins.
 
-``prev`` is the last fix strictly before an event, ``next`` the first one at or after it. Both come from one sort per
-capture of events and fixes together (an event stands before a fix of the same time), not from a range join, so the
-cost is linear and nothing multiplies.
+``prev`` is the last fix strictly before an event, ``next`` the first one at or after it. Both are running values over
+events and fixes together (an event stands before a fix of the same time), sorted by time and then by its reverse within
+one exchange, not a range join: after the sorts the cost is linear and nothing multiplies.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ def neighbours(events: DataFrame, fixes: DataFrame, by: list[str], ts: str, tie:
     e = events.withColumn("__fix", F.lit(None).cast(fixes.select(F.struct(*cols)).dtypes[0][1])).withColumn("__k", F.lit(0))
     f = fixes.where(F.col(ts).isNotNull()).select(*by, F.col(ts), *(F.col(t) for t in tie if t not in [*by, *cols]), F.struct(*cols).alias("__fix"), F.lit(1).alias("__k"))
     both = e.unionByName(f, allowMissingColumns=True)
-    order = [F.col(ts).asc_nulls_first(), "__k", *tie]
-    w = Window.partitionBy(*by).orderBy(*order)
-    both = both.withColumn("__p", F.last("__fix", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    # the frame runs backwards in time as a second sort order of the same exchange
-    both = both.withColumn("__n", F.first("__fix", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    w = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = w.orderBy(F.col(ts).asc_nulls_first(), "__k", *tie)
+    # the exact reverse order: both frames only grow, a frame that shrinks would be read again for each row
+    back = w.orderBy(F.col(ts).desc_nulls_last(), F.desc("__k"), *(F.desc(t) for t in tie))
+    both = both.withColumn("__p", F.last("__fix", ignorenulls=True).over(ahead))
+    both = both.withColumn("__n", F.last("__fix", ignorenulls=True).over(back))
     out = both.where("__k = 0")
     timed = F.col(ts).isNotNull()
     for side, c in (("prev", "__p"), ("next", "__n")):

@@ -17,6 +17,9 @@ from ..functions import exprs as X
 CAPS = {"errors": 20, "warnings": 12, "segments": 30, "lane": 16, "gaps": 40, "connectivity": 10, "urls": 12, "power": 10, "heartbeats": 20, "auth": 8}
 CAVEAT = "Absence of evidence here means only that it does not appear in the capture."
 
+#: Parts of a configuration key that hide all below them, whatever the redaction setting.
+SECRET_KEY = r"(?i)(?:^|[.\[])(?:url|authorization|headers|params|extras|[a-z_]*(?:token|secret|password|passwd|api_?key|credential)s?)(?:$|[.\[\]])"
+
 
 def json_rows(df: DataFrame) -> DataFrame:
     """One JSON document per row, nulls kept."""
@@ -65,9 +68,17 @@ def _head(df: DataFrame, capture_id: str, n: int, *order) -> list:
     return df.where(F.col("capture_id") == capture_id).orderBy(*order).limit(n).collect()
 
 
+def masked_config(config: DataFrame) -> DataFrame:
+    """``config`` (key, value, …) for a digest: values at or below a secret key, and values that hold an address, never show."""
+    hidden = F.col("key").rlike(SECRET_KEY) | F.col("value").rlike("(?i)[a-z][a-z0-9+.-]*://")
+    return config.withColumn("value", F.when(hidden & F.col("value").isNotNull(), F.lit("«masked»")).otherwise(F.col("value")))
+
+
 def digest(tables: dict[str, DataFrame], capture_id: str) -> str:
     """Markdown of one capture; the same tables give the same bytes."""
     t = {k: v for k, v in tables.items() if v is not None}
+    if "config" in t:
+        t["config"] = masked_config(t["config"])
     out = [f"# Capture {capture_id}", "", f"> {CAVEAT}", ""]
 
     def section(title, name, columns, n, *order, level="##"):

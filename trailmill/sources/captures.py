@@ -51,14 +51,21 @@ def _db_platform(data: bytes) -> str:
 
 
 def read_captures(spark: SparkSession, paths: list[str], year: int | None = None) -> DataFrame:
-    """One row per file; ``paths`` can be globs. Files are read by Spark, so any store that it reads will do."""
+    """One row per file; ``paths`` can be globs. Files are read by Spark, so any store that it reads will do.
+
+    ``capture_id`` is the file's stem; where several files have one stem, a hash of the path follows it, so that no two
+    files are one capture."""
     raw = spark.read.format("binaryFile").load(paths).select("path", "modificationTime", "content")
     d = raw.mapInPandas(_decode, _SCHEMA)
     if year is not None:
         d = d.withColumn("year", F.lit(year))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    stem = F.regexp_replace(F.regexp_replace(name, r"\.gz$", ""), r"\.[^.]+$", "")
-    d = d.withColumn("capture_id", F.regexp_replace(stem, " ", "_"))
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\.gz$", ""), r"\.[^.]+$", ""), " ", "_")
+    # paths only, which the driver has listed already; contents stay where they are
+    shared = raw.select("path").distinct().groupBy(stem.alias("stem")).agg(F.count("*").alias("files")).where("files > 1")
+    d = d.withColumn("stem", stem).join(F.broadcast(shared), "stem", "left")
+    tagged = F.concat_ws("-", "stem", F.substring(F.sha2("path", 256), 1, 8))
+    d = d.withColumn("capture_id", F.when(F.col("files").isNull(), F.col("stem")).otherwise(tagged)).drop("stem", "files")
     d = with_platform(d)
     note = F.when(F.col("platform") == "unknown", F.array(F.lit("unrecognized log format"))).otherwise(F.array().cast("array<string>"))
     return d.withColumn("notes", note)
