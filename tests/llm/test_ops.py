@@ -478,27 +478,35 @@ def test_encode_decode_rows(spark):
 
 
 def test_lm_scores(spark):
-    ts = texts(9, 30)[:-3]
-    got = {r.doc_id: r for r in lm_score.lm_scores(documents(spark, ts), block_chars=700).collect()}
-    clean = [lm_score.clean(t) for t in ts]
-    c = Counter(t[i : i + k] for t in clean for k in range(1, 6) for i in range(len(t) - k + 1))
-    n = sum(map(len, clean))
-    for d, t in enumerate(clean):
+    ts = texts(9, 30) + ["one two  Three\tone two\nthree", "the same words here again " * 3000]
+    got = {r.doc_id: r for r in lm_score.lm_scores(documents(spark, ts), block_words=200, bucket_bytes=2000).collect()}
+    words = [lm_score.words_of(t) for t in ts]
+    c = Counter(tuple(w[i : i + k]) for w in words for k in range(1, 4) for i in range(len(w) - k + 1))
+    n = sum(map(len, words))
+    for d, w in enumerate(words):
         s = 0.0
-        for p in range(len(t)):
-            for k in range(min(5, p + 1), 0, -1):
-                g = t[p - k + 1 : p + 1]
+        for p in range(len(w)):
+            room = min(3, p + 1)
+            for k in range(room, 0, -1):
+                g = tuple(w[p - k + 1 : p + 1])
                 if k == 1 or c[g] >= 2:
-                    s += (5 - k) * math.log(0.4) + math.log(c[g] / (c[g[:-1]] if k > 1 else n))
+                    s += (room - k) * math.log(0.4) + math.log(c[g] / (c[g[:-1]] if k > 1 else n))
                     break
-        assert got[d].n_chars_scored == len(t) and got[d].log_score == pytest.approx(s, rel=1e-9)
-        assert (got[d].avg_log_score is None) == (not t)
+        assert got[d].n_words == len(w) and got[d].log_score == pytest.approx(s, rel=1e-9)
+        assert (got[d].avg_log_score is None) == (not w)
     assert lm_score.lm_scores(documents(spark, [])).count() == 0
 
 
+def test_lm_scores_add_up_for_rows_of_one_id(spark):
+    d = spark.createDataFrame([(1, "a b a b", "x"), (1, "c", "y"), (None, "a b", "z"), (2, None, "w")], "doc_id bigint, text string, n_words string")
+    got = {r.doc_id: r for r in lm_score.lm_scores(d).collect()}
+    assert {k: r.n_words for k, r in got.items()} == {1: 5, None: 2, 2: 0}
+    assert got[2].log_score == 0 and got[2].avg_log_score is None
+
+
 def test_counts_pack():
-    x = np.array([0, 5, 65534, 65535, 70000, 10**12])
-    assert lm_score._unpack(lm_score._pack(x)).tolist() == x.tolist()
+    for x in ([0, 5, 65534, 65535, 70000, 10**12], [0], []):
+        assert lm_score.unpack(lm_score.pack(np.array(x, dtype=np.uint64))).tolist() == x
 
 
 # 10 ----------------------------------------------------------------------------------------------------------------

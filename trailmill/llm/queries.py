@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": decontam.SQL, "op2_embedding_near_dedup": neardup_vectors.SQL, "op5_warc": warc.SQL}
+    return {"op1_benchmark_decontamination": decontam.SQL, "op2_embedding_near_dedup": neardup_vectors.SQL, "op5_warc": warc.SQL, "op9_lm_score": lm_score.SQL}
