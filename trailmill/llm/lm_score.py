@@ -190,8 +190,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
                 yield pa.RecordBatch.from_arrays([pa.array(body["id"], pa.int64()), pa.array(g.lens), pa.array(sums, pa.float64())], names=["id", "n", "s"])
 
     asked = src.mapInArrow(ask, "q int, block bigint, k int, h binary, first bigint, c binary")
-    told = asked.repartition("q").sortWithinPartitions("q").mapInArrow(answer, "block bigint, k int, q int, words bigint, total binary")
-    scored = told.repartition("block").sortWithinPartitions("block").mapInArrow(finish, "id bigint, n bigint, s double")
+    # ranges of a few buckets a task, whatever the session's number of partitions
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(10_000, -(-buckets // 2)))
+    told = asked.repartition(tasks, "q").sortWithinPartitions("q").mapInArrow(answer, "block bigint, k int, q int, words bigint, total binary")
+    scored = told.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(finish, "id bigint, n bigint, s double")
     # documents without words still need a row
     every = src.select("id", F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("s"))
     sums = scored.union(every).groupBy("id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
