@@ -287,6 +287,8 @@ def test_training_order_round_trip(spark, tmp_path):
     d.write.parquet(str(path))
     d = spark.read.parquet(str(path))
     manifest, total, per = training_order.write_shards(d, f"file://{tmp_path}/out", key=3, length=64, shard_records=100)
+    with open(training_order.default_ranks(), "rb") as f:
+        encode, eos = training_order.encoder(f.read())
     back, slots = {}, []
     for m in manifest.collect():
         for k, i, part, tokens in training_order.read_records(m.path, 64):
@@ -297,10 +299,25 @@ def test_training_order_round_trip(spark, tmp_path):
     assert sorted(slots) == list(range(total))
     for i, t in [*enumerate(ts), (None, "no id")]:
         raw = b"".join(back[i, p] for p in range(sum(1 for k in back if k[0] == i)))
-        assert raw == (t or "").encode() + b"\xff"
+        assert np.frombuffer(raw, "<u2").tolist() == [*encode(t or ""), eos]
     again = {r.shard: r.sha256 for r in training_order.write_shards(d, f"file://{tmp_path}/again", key=3, length=64, shard_records=100)[0].collect()}
     assert again == {r.shard: r.sha256 for r in manifest.collect()}
     assert training_order.training_order(documents(spark, [])).count() == 0
+    few = training_order.write_shards(d, f"file://{tmp_path}/few", key=3, length=64, shard_records=100, tasks=3)[0]
+    assert {r.shard: r.sha256 for r in few.collect()} == again
+
+
+def test_training_order_against_a_plain_permutation(spark, tmp_path):
+    ts = [t for t in texts(8) if t]
+    documents(spark, ts).coalesce(1).write.parquet(f"{tmp_path}/in")
+    with open(training_order.default_ranks(), "rb") as f:
+        encode, eos = training_order.encoder(f.read())
+    seqs = [(d, k, ids[lo : lo + 16]) for d, t in enumerate(ts) for ids in [[*encode(t), eos]] for k, lo in enumerate(range(0, len(ids), 16))]
+    slot = training_order.Permutation(len(seqs), 5).slots(np.arange(len(seqs)))
+    want = {int(s): (d, k, len(x), zlib.crc32(np.array(x, "<u2").tobytes())) for s, (d, k, x) in zip(slot, seqs)}
+    got = training_order.training_order(spark.read.parquet(f"{tmp_path}/in"), key=5, length=16, shard_records=50).collect()
+    assert {r.slot: (r.doc_id, r.part, r.n_tokens, r.tokens_crc32) for r in got} == want and len(got) == len(seqs)
+    assert all(r.shard == r.slot // 50 and r.byte_offset == r.slot % 50 * (training_order.HEAD_SIZE + 32) for r in got)
 
 
 # 5 -----------------------------------------------------------------------------------------------------------------

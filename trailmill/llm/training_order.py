@@ -1,14 +1,16 @@
 """Training-order materialisation: token sequences in fixed-stride binary shards, in a keyed random order.
 
-Texts become byte-level token ids (0-253 as in UTF-8, which never has the bytes above 247), each text ends with
-``EOS``, and is cut into sequences of ``length`` tokens. All sequences have a gapless index: counts per input
-partition, summed up, give each task its first index, so nothing is sorted or shuffled for it. A keyed Feistel
-permutation with cycle-walking maps the index to a global slot; it is a bijection of 0..n-1 for every n and key, so
-order is random without a shuffle of keys. Slots are dealt by range, one range per shard, and each task writes its
-shard: slot s is record s % per_shard of shard s // per_shard, at a multiple of the stride. A reader resumes anywhere.
+Texts become the ids of a public byte-level BPE vocabulary (a rank file, a parameter), each text ends with the first free
+id, EOS, and is cut into sequences of ``length`` tokens. Texts are encoded in two passes over the same input partitions:
+the first only counts sequences. All sequences have a gapless index: counts per input partition, summed up, give each
+task its first index, so nothing is sorted or shuffled for it and no token table is stored. A keyed Feistel permutation with
+cycle-walking maps the index to a global slot; it is a bijection of 0..n-1 for every n and key, so order is random
+without a shuffle of keys. Slots are dealt by range: each task gets a range of shards and writes them one after the
+other; slot s is record s % per_shard of shard s // per_shard, at a multiple of the stride. A reader resumes anywhere.
 
 A shard is written under another name and renamed; a task that runs again writes the same bytes. The run is checked:
-slots must be 0..n-1, each once, else (the input changed between the two passes) it is an error.
+slots must be 0..n-1, each once, else (the input changed between the two passes) it is an error. Inputs must therefore be
+stable under recomputation: files, or a table that was written.
 
 Defined cases: a null text is an empty one and has one sequence, EOS; a null id is flagged in the record; equal rows
 each have sequences; an empty table gives no shard and an empty result; other columns are not read.
@@ -16,6 +18,7 @@ each have sequences; an empty table gives no shard and an empty result; other co
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 import zlib
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import materialize, new_path
 from .storage import read_file, write_file
 
-EOS, PAD = 255, 254
-#: A record: id, part (top bit: null id), number of tokens, tokens.
+PAD = 0xFFFF
+#: A record: id, part (top bit: null id), number of tokens; then tokens of two bytes each.
 HEAD = "<qII"
 HEAD_SIZE = struct.calcsize(HEAD)
 
@@ -78,26 +81,57 @@ class Permutation:
         return self._walk(self._back, slots)
 
 
+_ENCODERS: dict[str, tuple] = {}
+
+
+def default_ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def encoder(ranks: bytes) -> tuple:
+    """(function from text to ids, EOS) of a rank file, made once per worker. EOS is the first free id."""
+    key = hashlib.sha256(ranks).hexdigest()
+    if key not in _ENCODERS:
+        import public_tokenizers
+        import tiktoken
+
+        table = {base64.b64decode(t): int(r) for t, r in (line.split() for line in ranks.splitlines())}
+        eos = max(table.values()) + 1
+        if eos >= PAD:
+            raise ValueError("ids of the vocabulary need more than two bytes")
+        _ENCODERS[key] = tiktoken.Encoding(key, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary, eos
+    return _ENCODERS[key]
+
+
 def shard_path(out: str, shard: int) -> str:
     return f"{out}/shard-{shard:07d}.bin"
 
 
-def write_shards(docs: DataFrame, out: str, key: int = 0, length: int = 512, id_col: str = "doc_id", text_col: str = "text", shard_records: int | None = None) -> tuple[DataFrame, int, int]:
+def write_shards(docs: DataFrame, out: str, key: int = 0, length: int = 512, id_col: str = "doc_id", text_col: str = "text", shard_records: int | None = None, ranks_path: str | None = None, tasks: int = 10_000) -> tuple[DataFrame, int, int]:
     """Write the shards to ``out``; (manifest, number of sequences, records per shard). The manifest has a row
-    (shard, path, first_slot, records, sha256) per shard."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("t"))
-    per_doc = F.ceil((F.octet_length("t") + 1) / length).cast("bigint")
-    totals = src.select(F.spark_partition_id().alias("p"), per_doc.alias("n")).groupBy("p").agg(F.sum("n").alias("n")).collect()
+    (shard, path, first_slot, records, sha256) per shard; at most ``tasks`` tasks write a range of shards each."""
+    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    with open(ranks_path or default_ranks(), "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary, whatever the data
+
+    def size(batches):
+        encode, _ = encoder(ranks.value)
+        n = sum(len(encode(t.as_py())) // length + 1 for b in batches for t in b.column(1))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["p", "n"])
+
     first, total = {}, 0
-    for p, n in sorted((r.p, r.n) for r in totals):
+    for p, n in sorted((r.p, r.n) for r in src.mapInArrow(size, "p int, n bigint").collect()):
         first[p] = total
         total += n
-    stride = HEAD_SIZE + length
+    stride = HEAD_SIZE + 2 * length
     per_shard = shard_records or max(1024, min((64 << 20) // stride, total // 256))
     shards = max(1, -(-total // per_shard))
+    per_task = -(-shards // min(shards, tasks))
 
     def cut(batches):
+        encode, eos = encoder(ranks.value)
         at = first.get(TaskContext.get().partitionId(), 0)
         order = Permutation(total, key)
         for b in batches:
@@ -107,17 +141,18 @@ def write_shards(docs: DataFrame, out: str, key: int = 0, length: int = 512, id_
                 nonlocal at, ids, parts, pieces
                 slots = order.slots(np.arange(at, at + len(ids)))
                 at += len(ids)
-                got = pa.RecordBatch.from_arrays([pa.array(slots), pa.array((slots // per_shard).astype(np.int32)), pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(pieces, pa.binary())], names=["slot", "shard", "id", "part", "tokens"])
+                shard = slots // per_shard
+                got = pa.RecordBatch.from_arrays([pa.array(slots), pa.array(shard.astype(np.int32)), pa.array((shard // per_task).astype(np.int32)), pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(pieces, pa.binary())], names=["slot", "shard", "task", "id", "part", "tokens"])
                 ids, parts, pieces = [], [], []
                 return got
 
             for i, t in zip(*b.columns):
-                raw = t.as_py().encode("utf-8", "surrogatepass") + bytes([EOS])
+                raw = np.array([*encode(t.as_py()), eos], dtype="<u2")
                 for k, lo in enumerate(range(0, len(raw), length)):
                     ids.append(i.as_py())
                     parts.append(k)
-                    pieces.append(zlib.compress(raw[lo : lo + length], 6, -15))  # only for the way through the shuffle
-                if len(ids) > 20_000:
+                    pieces.append(zlib.compress(raw[lo : lo + length].tobytes(), 1, -15))  # only for the way through the shuffle
+                if len(ids) > 10_000:
                     yield flush()
             if ids:
                 yield flush()
@@ -131,7 +166,7 @@ def write_shards(docs: DataFrame, out: str, key: int = 0, length: int = 512, id_
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([shard_path(out, shard)]), pa.array([start], pa.int64()), pa.array([len(data) // stride], pa.int64()), pa.array([hashlib.sha256(data).hexdigest()])], names=["shard", "path", "first_slot", "records", "sha256"])
 
         for b in batches:
-            for slot, s, i, part, tokens in zip(*(c.to_pylist() for c in b.columns)):
+            for slot, s, i, part, tokens in zip(*(b.column(c).to_pylist() for c in ("slot", "shard", "id", "part", "tokens"))):
                 if s != shard:
                     if shard is not None:
                         yield close()
@@ -139,12 +174,12 @@ def write_shards(docs: DataFrame, out: str, key: int = 0, length: int = 512, id_
                 if slot != start + len(body):
                     raise ValueError(f"slot {slot} where {start + len(body)} is due: the input changed between the passes")
                 tokens = zlib.decompress(tokens, -15)
-                body.append(struct.pack(HEAD, i or 0, part | (1 << 31) * (i is None), len(tokens)) + tokens.ljust(length, bytes([PAD])))
+                body.append(struct.pack(HEAD, i or 0, part | (1 << 31) * (i is None), len(tokens) // 2) + tokens.ljust(2 * length, b"\xff"))
         if shard is not None:
             yield close()
 
-    rows = src.mapInArrow(cut, "slot bigint, shard int, id bigint, part int, tokens binary")
-    dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    rows = src.mapInArrow(cut, "slot bigint, shard int, task int, id bigint, part int, tokens binary")
+    dealt = rows.repartitionById(-(-shards // per_task), F.col("task")).sortWithinPartitions("slot")
     manifest = materialize(dealt.mapInArrow(write, "shard int, path string, first_slot bigint, records bigint, sha256 string"), "manifest")
     if (n := manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]) != total:
         raise ValueError(f"{n} sequences written, {total} counted: the input changed between the passes")
@@ -152,26 +187,26 @@ def write_shards(docs: DataFrame, out: str, key: int = 0, length: int = 512, id_
 
 
 def read_records(path: str, length: int, start: int = 0, stop: int | None = None):
-    """Yield (record number, id, part, tokens) of a shard from record ``start`` on."""
-    stride = HEAD_SIZE + length
+    """Yield (record number, id, part, tokens as little-endian pairs of bytes) of a shard from record ``start`` on."""
+    stride = HEAD_SIZE + 2 * length
     data = read_file(path, start * stride, None if stop is None else (stop - start) * stride)
     for k in range(len(data) // stride):
         i, part, n = struct.unpack_from(HEAD, data, k * stride)
         at = k * stride + HEAD_SIZE
-        yield start + k, None if part >> 31 else i, part & 0x7FFFFFFF, data[at : at + n]
+        yield start + k, None if part >> 31 else i, part & 0x7FFFFFFF, data[at : at + 2 * n]
 
 
-def training_order(docs: DataFrame, key: int = 0, length: int = 512, id_col: str = "doc_id", text_col: str = "text", shard_records: int | None = None) -> DataFrame:
+def training_order(docs: DataFrame, key: int = 0, length: int = 512, id_col: str = "doc_id", text_col: str = "text", shard_records: int | None = None, ranks_path: str | None = None) -> DataFrame:
     """Write the shards to the shared folder, read them back: (slot, shard, byte_offset, id_col, part, n_tokens,
     tokens_crc32), one row per sequence."""
     out = new_path(docs.sparkSession, "shards")
-    manifest, total, per_shard = write_shards(docs, out, key, length, id_col, text_col, shard_records)
-    stride = HEAD_SIZE + length
+    manifest, total, per_shard = write_shards(docs, out, key, length, id_col, text_col, shard_records, ranks_path)
+    stride = HEAD_SIZE + 2 * length
 
     def read(batches):
         for b in batches:
             for shard, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = [(shard * per_shard + k, shard, k * stride, i, part, len(t), zlib.crc32(t)) for k, i, part, t in read_records(path, length)]
+                rows = [(shard * per_shard + k, shard, k * stride, i, part, len(t) // 2, zlib.crc32(t)) for k, i, part, t in read_records(path, length)]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["slot", "shard", "byte_offset", id_col, "part", "n_tokens", "tokens_crc32"])
 
