@@ -25,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ def default_ranks() -> str:
 
 
 def encoder(ranks: bytes) -> tuple:
-    """(function from text to ids, EOS) of a rank file, made once per worker. EOS is the first free id."""
+    """(function from text to an array of ids, EOS) of a rank file, made once per worker. EOS is the first free id."""
     key = hashlib.sha256(ranks).hexdigest()
     if key not in _ENCODERS:
         import public_tokenizers
@@ -101,7 +102,8 @@ def encoder(ranks: bytes) -> tuple:
         eos = max(table.values()) + 1
         if eos >= PAD:
             raise ValueError("ids of the vocabulary need more than two bytes")
-        _ENCODERS[key] = tiktoken.Encoding(key, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary, eos
+        made = tiktoken.Encoding(key, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        _ENCODERS[key] = lambda text: made.encode_to_numpy(text, disallowed_special=()), eos
     return _ENCODERS[key]
 
 
@@ -133,7 +135,7 @@ def write_shards(docs: DataFrame, out: str, key: int = 0, length: int = 512, id_
     def cut(batches):
         encode, eos = encoder(ranks.value)
         at = first.get(TaskContext.get().partitionId(), 0)
-        order = Permutation(total, key)
+        order, squeeze = Permutation(total, key), zstandard.ZstdCompressor(level=1, write_checksum=False).compress
         for b in batches:
             ids, parts, pieces = [], [], []
 
@@ -147,18 +149,18 @@ def write_shards(docs: DataFrame, out: str, key: int = 0, length: int = 512, id_
                 return got
 
             for i, t in zip(*b.columns):
-                raw = np.array([*encode(t.as_py()), eos], dtype="<u2")
-                for k, lo in enumerate(range(0, len(raw), length)):
+                raw = np.append(encode(t.as_py()).astype("<u2"), np.array([eos], "<u2")).tobytes()
+                for k, lo in enumerate(range(0, len(raw), 2 * length)):
                     ids.append(i.as_py())
                     parts.append(k)
-                    pieces.append(zlib.compress(raw[lo : lo + length].tobytes(), 1, -15))  # only for the way through the shuffle
+                    pieces.append(squeeze(raw[lo : lo + 2 * length]))  # only for the way through the shuffle
                 if len(ids) > 10_000:
                     yield flush()
             if ids:
                 yield flush()
 
     def write(batches):
-        shard, body, start = None, [], 0
+        shard, body, start, spread = None, [], 0, zstandard.ZstdDecompressor().decompress
 
         def close():
             data = b"".join(body)
@@ -173,7 +175,7 @@ def write_shards(docs: DataFrame, out: str, key: int = 0, length: int = 512, id_
                     shard, body, start = s, [], s * per_shard
                 if slot != start + len(body):
                     raise ValueError(f"slot {slot} where {start + len(body)} is due: the input changed between the passes")
-                tokens = zlib.decompress(tokens, -15)
+                tokens = spread(tokens)
                 body.append(struct.pack(HEAD, i or 0, part | (1 << 31) * (i is None), len(tokens) // 2) + tokens.ljust(2 * length, b"\xff"))
         if shard is not None:
             yield close()
