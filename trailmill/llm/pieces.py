@@ -7,7 +7,7 @@ alone, and remembered. The ids are then recovered backwards from the whole chunk
 result exactly if all its neighbours are compatible, so the table gives what merging the whole text would.
 
 Chunks: no piece has a space mark after another character, so texts are cut before each run of space marks, and at
-characters that no piece holds; results per chunk are cached in bounded memory.
+characters that no piece holds; results of chunks of at most ``KEPT`` characters are cached, a bounded number of them.
 
 Defined cases: null is an empty text and has no ids; characters outside the model become byte pieces (the unknown id
 in a model without them); a very long chunk takes time linear in its length; equal rows get equal results.
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+#: Longer chunks are encoded each time, so that a cache of n entries holds n times as many characters at most.
+KEPT = 256
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -179,7 +181,7 @@ class PieceCodec:
                 got = ",".join(map(str, ids))
                 if self.decode_bytes(ids) != part.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
                     self.odd = True
-                else:
+                elif len(part) <= KEPT:
                     if len(inner) >= self.max_cache:
                         inner.clear()
                     inner[part] = got
@@ -262,7 +264,7 @@ class _Chunks(dict):
             if self.codec.odd:  # not kept, so that it is noticed again
                 return got
             self.codec.odd = odd
-            if "\n" in key:
+            if "\n" in key or len(key) > KEPT:
                 return got
         if len(self) >= self.codec.max_cache:
             self.old = dict(self)
