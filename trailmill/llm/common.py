@@ -14,10 +14,14 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; an own temporary one only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; an own temporary one
+    only where it is unset and everything runs in one process; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = tempfile.mkdtemp(prefix="trailmill-")
