@@ -157,7 +157,7 @@ def main(argv: list[str] | None = None) -> int:
             if a.locations:
                 with open(os.path.join(folder, "locations.geojson"), "w", encoding="utf-8") as f:
                     json.dump(doc, f, ensure_ascii=False)
-    print(f"{len(ids)} captures in {a.out}" + (" (new, ignored by git)" if made else "") + "; aliases.local.json is not for sharing", file=sys.stderr)
+    print(f"{len(ids)} captures in {a.out}" + (" (new, ignored by git)" if made else "") + "; aliases.local.json and digest.json (not redacted) are not for sharing", file=sys.stderr)
     return 0 if ids else 1
 
 
