@@ -122,6 +122,17 @@ def test_redactor(spark):
     assert got["c", 1] == "URL-A again" and got["d", 0] == "PKG-A"
 
 
+def test_redactor_replaces_whole_strings_only(spark):
+    lines = ["1.2345,5.6789 and 191.2345,5.6789 <+1.2345 , 5.6789> 4.5,6.7", "see (app://a.b/c), home://x; 0A234567-89AB-cdef-0123-456789abcdef", "", None, "\n1.2345,5.6789", "name home http://h/home x@com.acme.app.Main com.acme.app-1"]
+    d = spark.createDataFrame(list(enumerate(lines)), "seq int, raw string").withColumn("capture_id", F.lit("c"))
+    reg = spark.createDataFrame([("c", "gf", "home")], "capture_id string, kind string, value string")
+    table = redact.alias_table(d, ["capture_id"], ["seq"], "raw", reg)
+    got = [r.redacted for r in redact.apply_aliases(d, table, ["capture_id"], "raw").orderBy("seq").collect()]
+    assert got == ["COORD-A and 191.2345,5.6789 <COORD-A> 4.5,6.7", "see (URL-A), URL-B; UUID-A", "", None, "\nCOORD-A", "name GF-A URL-C x@com.acme.app.Main PKG-A-1"]
+    unknown = redact.apply_aliases(d, table.where("kind = 'gf'"), ["capture_id"], "raw").where("seq = 1").first().redacted
+    assert unknown == "see (URL-?), URL-?; UUID-?"
+
+
 def log(spark, lines, platform="android"):
     d = spark.createDataFrame([("c", platform, 2024, "\n".join(lines) + "\n")], "capture_id string, platform string, year int, text string")
     return findings.with_state(findings.with_segments(findings.marks(P.annotate(R.assemble(d))))).cache()

@@ -140,9 +140,10 @@ def main(argv: list[str] | None = None) -> int:
         text = sinks.digest(res.tables, i)
         if aliases is not None:
             table = aliases.where(F.col("capture_id") == i).orderBy(F.desc(F.length("raw")), "raw").collect()
-            for r in table:
-                text = text.replace(r.raw, r.alias)
             if table:
+                names = {r.raw: r.alias for r in table}
+                whole = re.compile("(?<![\\w.])(?:" + "|".join(map(re.escape, names)) + ")(?!\\w)")  # longest first, none inside a longer word or number
+                text = whole.sub(lambda hit: names[hit[0]], text)
                 with open(os.path.join(folder, "aliases.local.json"), "w", encoding="utf-8") as f:
                     json.dump({r.alias: r.raw for r in table}, f, ensure_ascii=False, indent=1, sort_keys=True)
         with open(os.path.join(folder, "digest.md"), "w", encoding="utf-8") as f:

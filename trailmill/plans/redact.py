@@ -1,93 +1,134 @@
 """Pseudonymization: stable aliases per kind, numbered by first encounter, and their application to text.
 
-Passes run in a fixed order, each on what the ones before left: registered exact strings, URLs, positions in angle
-brackets, bare position pairs, UUIDs, package names."""
+Passes run in a fixed order, each on what the ones before left: registered exact strings, URLs, position pairs, UUIDs,
+dotted names. A pass splits a text at its matches and looks each match up in the capture's aliases, so a string is
+replaced only where it stands as a whole; a match without an alias becomes '<PREFIX>-?', never the plain string."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import alias_letters
+from ..functions.exprs import alias_letters, valid_position
 
-URL = "\\b[a-zA-Z][a-zA-Z0-9+.\\-]*://[^\\s\"'<>\\])},;|]+"
-BRACKETED = "<\\s*([+-]?\\d{1,3}\\.\\d+)\\s*,\\s*([+-]?\\d{1,3}\\.\\d+)\\s*>"
-PAIR = "(?<![\\d.\\w])([+-]?\\d{1,3}\\.\\d{3,})\\s*,\\s*([+-]?\\d{1,3}\\.\\d{3,})(?![\\d.])"
-UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-PACKAGE = "(?<![\\w.$@\\-])(?:[a-zA-Z][\\w$]*\\.){2,}[a-zA-Z][\\w$]*"
-#: Namespaces of platforms, which identify nobody: a parameter.
+# Characters that end a URL besides white space, and those that don't count at its end.
+URL_STOPS = "\"'<>]),;|}"
+URL_TAIL = ".,;:'\""
+# Namespaces of platforms, which identify nobody. A parameter; add those of your own libraries.
 ALLOWED = ["android.", "androidx.", "java.", "javax.", "kotlin.", "kotlinx.", "dalvik.", "libcore.", "sun.", "com.android.", "com.google.", "io.flutter.", "org.apache.", "org.json."]
-#: Alias prefixes.
+# Alias prefixes.
 PREFIX = {"coord": "COORD", "gf": "GF", "uuid": "UUID", "pkg": "PKG", "dev": "DEV", "url": "URL"}
 
-
-def _hits(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-
-def _coords(text: Column, pattern: str, order: int) -> Column:
-    def one(x, i):
-        lat, lon = F.regexp_extract(x, pattern, 1), F.regexp_extract(x, pattern, 2)
-        ok = (F.abs(lat.try_cast("double")) <= 90) & (F.abs(lon.try_cast("double")) <= 180)
-        key = F.concat(F.regexp_replace(lat, "^\\+", ""), F.lit(","), F.regexp_replace(lon, "^\\+", ""))
-        raw = F.regexp_replace(F.regexp_replace(x, "^<\\s*", ""), "\\s*>$", "")
-        return F.struct(F.lit("coord").alias("kind"), F.lit(order).alias("pass"), i.alias("pos"), key.alias("key"), raw.alias("raw"), ok.alias("ok"))
-
-    return F.transform(_hits(text, pattern), one)
-
-
-def _plain(text: Column, pattern: str, kind: str, order: int, clean=lambda x: x, key=lambda x: x, ok=lambda x: F.lit(True)) -> Column:
-    def one(x, i):
-        raw = clean(x)
-        return F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("pass"), i.alias("pos"), key(raw).alias("key"), raw.alias("raw"), ok(raw).alias("ok"))
-
-    return F.transform(_hits(text, pattern), one)
+_NUMBER = "[+-]?[0-9]{1,3}[.][0-9]++"
+_SEGMENT = "[A-Za-z][\\w$]*+"
+#: What each pass looks for; positions may stand in angle brackets.
+PASSES = {
+    "url": f"\\b[A-Za-z][A-Za-z0-9+.-]*+://[^\\s{re.escape(URL_STOPS)}]+",
+    "coord": f"(?:<\\s*)?(?<![\\w.]){_NUMBER}\\s*,\\s*{_NUMBER}(?![0-9.])(?:\\s*>)?",
+    "uuid": "-".join(f"[0-9A-Fa-f]{{{n}}}" for n in (8, 4, 4, 4, 12)),
+    "pkg": f"(?<![\\w.$@-]){_SEGMENT}(?:[.]{_SEGMENT}){{2,}}",
+}
+
+
+def _read(kind: str, x: Column, allowed: list[str]) -> Column:
+    """A match as (key, raw, ok, bracketed): its identity, the part to replace, whether it counts."""
+    key = raw = x
+    ok, bracketed = F.lit(True), F.lit(False)
+    if kind == "url":
+        key = raw = F.rtrim(x, F.lit(URL_TAIL))
+    elif kind == "coord":
+        raw = F.btrim(x, F.lit("<> \t\n\r\f\v"))
+        parts = F.transform(F.split(raw, "\\s*,\\s*"), lambda p: F.ltrim(p, F.lit("+")))
+        key = F.array_join(parts, ",")
+        bracketed = x.startswith("<") & x.endswith(">")
+        precise = F.forall(parts, lambda p: F.length(F.substring_index(p, ".", -1)) >= 3)
+        ok = valid_position(parts[0].try_cast("double"), parts[1].try_cast("double")) & (bracketed | precise)
+    elif kind == "uuid":
+        key = F.lower(x)
+    elif kind == "pkg":
+        for name in allowed:
+            ok = ok & ~x.startswith(name)
+    return F.struct(key.alias("key"), raw.alias("raw"), ok.alias("ok"), bracketed.alias("bracketed"))
+
+
+def _matches(text: Column, kind: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(PASSES[kind]), F.lit(0))
+
+
+def _masked(text: Column, kind: str, alias, allowed: list[str]) -> Column:
+    """``text`` with ``alias(key)`` for each match of a pass that counts."""
+
+    def one(x):
+        hit = _read(kind, x, allowed)
+        return F.when(hit["ok"], F.replace(x, hit["raw"], alias(hit["key"]))).otherwise(x)
+
+    gaps = F.split(text, PASSES[kind], -1)
+    return F.array_join(F.zip_with(gaps, F.transform(_matches(text, kind), one), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+
+
+def found(df: DataFrame, text: str, allowed: list[str] = ALLOWED) -> DataFrame:
+    """``df`` with ``hits``, all strings of a text that need an alias: (kind, pass, pos, key, raw), bracketed positions
+    before bare ones. Each pass is a column of its own, so none is evaluated again inside the next."""
+    d, parts = df.withColumn("__t0", F.col(text)), []
+    for n, kind in enumerate(PASSES):
+        now = F.col(f"__t{n}")
+
+        def one(x, i):
+            hit = _read(kind, x, allowed)
+            order = F.when(hit["bracketed"], 2 * n).otherwise(2 * n + 1)
+            return F.struct(F.lit(kind).alias("kind"), order.alias("pass"), i.alias("pos"), hit["key"].alias("key"), hit["raw"].alias("raw"), hit["ok"].alias("ok"))
+
+        parts.append(F.transform(_matches(now, kind), one))
+        d = d.withColumn(f"__t{n + 1}", _masked(now, kind, lambda key: F.lit(PREFIX[kind]), allowed))
+    hits = F.filter(F.concat(*parts), lambda x: x["ok"])
+    return d.withColumn("hits", hits).drop(*(f"__t{n}" for n in range(len(PASSES) + 1)))
+
+
+def _numbered(registered: DataFrame, by: list[str]) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy(*by, "kind").orderBy("value"))
+    return registered.distinct().select(*by, "kind", F.col("value").alias("key"), F.col("value").alias("raw"), _alias(n).alias("alias"))
+
+
+def _alias(n: Column) -> Column:
+    prefix = F.create_map(*(F.lit(x) for kv in PREFIX.items() for x in kv))
+    return F.concat(prefix[F.col("kind")], F.lit("-"), alias_letters(n))
 
 
-def found(text: Column, allowed: list[str] = ALLOWED) -> Column:
-    """All strings of a text that need an alias, in the order of the passes."""
-    t1 = F.regexp_replace(text, URL, " ")
-    t2 = F.regexp_replace(t1, BRACKETED, " ")
-    t3 = F.regexp_replace(t2, PAIR, " ")
-    t4 = F.regexp_replace(t3, UUID, " ")
+def _exact(df: DataFrame, names: DataFrame, by: list[str], text: str) -> DataFrame:
+    """``text`` with registered strings replaced, longest first; those of word characters only as whole words."""
+    item = F.struct((-F.length("raw")).alias("n"), F.col("raw"), F.col("alias"))
+    lists = names.where(F.col("raw") != "").groupBy(*by).agg(F.array_sort(F.collect_set(item)).alias("__names"))
 
-    def foreign(x):
-        out = F.lit(True)
-        for p in allowed:
-            out = out & ~x.startswith(p)
-        return out
+    def step(acc, a):
+        word = a["raw"].rlike("^\\w+$")
+        return F.when(word, F.regexp_replace(acc, F.concat(F.lit("\\b"), a["raw"], F.lit("\\b")), a["alias"])).otherwise(F.replace(acc, a["raw"], a["alias"]))
 
-    parts = F.concat(
-        _plain(text, URL, "url", 1, clean=lambda x: F.regexp_replace(x, "[.,;:'\"]+$", "")), _coords(t1, BRACKETED, 2), _coords(t2, PAIR, 3),
-        _plain(t3, UUID, "uuid", 4, key=F.lower), _plain(t4, PACKAGE, "pkg", 5, ok=foreign),
-    )
-    return F.filter(parts, lambda x: F.coalesce(x["ok"], F.lit(False)))
+    none = F.array().cast(lists.schema["__names"].dataType)
+    return df.join(lists, by, "left").withColumn("__text", F.aggregate(F.coalesce("__names", none), F.col(text), step)).drop("__names")
 
 
-def alias_table(df: DataFrame, by: list[str], order: list[str], text: str, registered: DataFrame | None = None) -> DataFrame:
+def alias_table(df: DataFrame, by: list[str], order: list[str], text: str, registered: DataFrame | None = None, allowed: list[str] = ALLOWED) -> DataFrame:
     """(by, kind, key, raw, alias). ``registered`` (by, kind, value) comes first in its kind, in order of value."""
-    hits = df.select(*by, F.struct(*order).alias("at"), F.inline(found(F.col(text)))).select(*by, "kind", "key", "raw", F.struct("at", "pass", "pos").alias("at"))
+    names = None if registered is None else _numbered(registered, by)
+    d = df.withColumn("__text", F.col(text)) if names is None else _exact(df, names, by, text)
+    hits = found(d, "__text", allowed).select(*by, F.struct(*order).alias("at"), F.inline("hits")).select(*by, "kind", "key", "raw", F.struct("at", "pass", "pos").alias("at"))
     first = hits.groupBy(*by, "kind", "key", "raw").agg(F.min("at").alias("at"))
-    w = Window.partitionBy(*by, "kind", "key")
-    first = first.withColumn("at", F.min("at").over(w))
-    ranked = first.withColumn("n", F.dense_rank().over(Window.partitionBy(*by, "kind").orderBy("at", "key")))
-    if registered is not None:
-        extra = registered.distinct().withColumn("n", F.row_number().over(Window.partitionBy(*by, "kind").orderBy("value")))
-        ranked = ranked.select(*by, "kind", "key", "raw", "n").unionByName(extra.select(*by, "kind", F.col("value").alias("key"), F.col("value").alias("raw"), "n"))
-    prefix = F.create_map(*(F.lit(x) for kv in PREFIX.items() for x in kv))
-    return ranked.select(*by, "kind", "key", "raw", F.concat(prefix[F.col("kind")], F.lit("-"), alias_letters(F.col("n"))).alias("alias"))
-
-
-def apply_aliases(df: DataFrame, table: DataFrame, by: list[str], text: str, out: str = "redacted") -> DataFrame:
-    """Replace each alias' raw string, longest first; registered words of word characters only at word bounds. A
-    capture's aliases travel with its rows as one array: a capture is one device's log and has few of them."""
-    item = F.struct((-F.length("raw")).alias("n"), F.col("raw"), F.col("alias"), (F.col("kind").isin("gf", "dev") & F.col("raw").rlike("^\\w+$")).alias("word"))
-    lists = table.groupBy(*by).agg(F.array_sort(F.collect_set(item)).alias("__aliases"))
-    d = df.join(lists, by, "left")
-
-    def step(acc, a):
-        return F.when(a["word"], F.regexp_replace(acc, F.concat(F.lit("\\b"), a["raw"], F.lit("\\b")), a["alias"])).otherwise(F.replace(acc, a["raw"], a["alias"]))
-
-    masked = F.aggregate(F.coalesce("__aliases", F.array().cast(lists.schema["__aliases"].dataType)), F.col(text), step)
-    return d.withColumn(out, masked).drop("__aliases")
+    first = first.withColumn("at", F.min("at").over(Window.partitionBy(*by, "kind", "key")))
+    n = F.dense_rank().over(Window.partitionBy(*by, "kind").orderBy("at", "key"))
+    out = first.select(*by, "kind", "key", "raw", _alias(n).alias("alias"))
+    return out if names is None else out.unionByName(names)
+
+
+def apply_aliases(df: DataFrame, table: DataFrame, by: list[str], text: str, out: str = "redacted", allowed: list[str] = ALLOWED) -> DataFrame:
+    """``out``: the text with aliases. A capture's aliases travel with its rows as a map: a capture is one device's log
+    and has few of them. Cost grows with a text's matches, not with the aliases."""
+    d = _exact(df, table.where(F.col("kind").isin("gf", "dev")), by, text)
+    entry = F.struct(F.concat("kind", F.lit(" "), "key").alias("k"), F.col("alias").alias("v"))
+    d = d.join(table.where(F.col("kind").isin(*PASSES)).groupBy(*by).agg(F.map_from_entries(F.collect_set(entry)).alias("__map")), by, "left")
+    for kind in PASSES:
+        look = lambda key: F.coalesce(F.col("__map")[F.concat(F.lit(kind + " "), key)], F.lit(PREFIX[kind] + "-?"))
+        d = d.withColumn("__text", _masked(F.col("__text"), kind, look, allowed))
+    return d.withColumn(out, F.col("__text")).drop("__text", "__map")
