@@ -183,3 +183,24 @@ def axis_step_s(span: Column, ticks: int = 9) -> Column:
 
 def valid_position(lat: Column, lon: Column) -> Column:
     return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
+
+
+def resolve_version(version: Column, builds: dict[str, str]) -> Column:
+    """A version, or the one that a bare build number stands for; null (no filter) for a build that is not known."""
+    known = F.lit(None).cast("string")
+    for build, name in builds.items():
+        known = F.when(version == build, name).otherwise(known)
+    return F.when(version.rlike("^[0-9]+$"), known).otherwise(version)
+
+
+def histogram_text(counts: Column, none: str = "none appear") -> Column:
+    """'a×3, b×1' of an array of (key, n, first): most frequent first, then by first occurrence."""
+    by = F.transform(counts, lambda x: F.struct((-x["n"]).alias("m"), x["first"].alias("first"), x["key"].alias("key")))
+    parts = F.transform(F.array_sort(by), lambda x: F.concat(x["key"], F.lit("×"), (-x["m"]).cast("string")))
+    return F.when(F.coalesce(F.size(counts), F.lit(0)) < 1, none).otherwise(F.array_join(parts, ", "))
+
+
+def session_label(i: Column, of: Column, distance_m: Column, ended_by: Column) -> Column:
+    km = F.when(distance_m >= 100, F.concat(F.format_string("%.1f", distance_m / 1000), F.lit(" km")))
+    end = F.when(ended_by != "", F.concat(F.lit("ended by "), ended_by))
+    return F.concat_ws(" · ", F.concat(F.lit("session "), i.cast("string"), F.lit(" of "), of.cast("string")), km, end)

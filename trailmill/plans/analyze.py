@@ -13,13 +13,15 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..sources import captures as C
 from ..sources import payloads as P
 from ..sources import records as R
 from ..operators import sequence as S
 from . import findings as N
 from . import layers as L
-from . import redact, sinks
+from . import enrich as E
+from . import redact, router, sinks
 from .vocabulary import Entry, classify, load_entries
 
 VERSION = "0.1.0"
@@ -39,9 +41,10 @@ def prepare(captures: DataFrame) -> DataFrame:
     return N.with_state(N.with_segments(m))
 
 
-def analyze(spark: SparkSession, paths: list[str], year: int | None = None, entries: list[Entry] | None = None, excerpt: bool = False, heartbeat_s: float | None = None) -> Analysis:
+def analyze(spark: SparkSession, paths: list[str], year: int | None = None, entries: list[Entry] | None = None, excerpt: bool = False, heartbeat_s: float | None = None, rules: router.Rules | None = None, builds: dict[str, str] | None = None) -> Analysis:
     """All findings of all captures as tables; nothing runs until a table is used, but for the records, which many
-    tables share and which are kept (on disk beyond memory)."""
+    tables share and which are kept (on disk beyond memory). ``rules`` place and leave out markers; ``builds`` names the
+    versions of build numbers."""
     found = C.read_captures(spark, paths, year)
     dup = C.duplicates(found.where("kind = 'text'").select("path", "text"), "path", "text")
     found = found.join(dup, "path", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
@@ -50,7 +53,7 @@ def analyze(spark: SparkSession, paths: list[str], year: int | None = None, entr
     cov = unk = None
     if entries:
         versioned = m.join(seg.select("capture_id", "segment", F.col("version").alias("v")), ["capture_id", "segment"], "left")
-        k = classify(versioned.select("capture_id", "seq", "platform", "raw", "tag_class", "tag_method", "level", "icon", F.col("v").alias("version")), entries)
+        k = classify(versioned.select("capture_id", "seq", "platform", "raw", "tag_class", "tag_method", "level", "icon", X.resolve_version(F.col("v"), builds or {}).alias("version")), entries)
         k = k.persist(StorageLevel.MEMORY_AND_DISK)
         cov, unk = N.coverage(k), N.unknown_examples(k)
     h, cfg = N.header(m), N.config(m)
@@ -60,7 +63,12 @@ def analyze(spark: SparkSession, paths: list[str], year: int | None = None, entr
         "activity": N.activity_histogram(m), "power": N.power_events(m), "heartbeats": N.heartbeats(m, heartbeat_s), "duty": N.duty_cycle(m, gap), "auth": N.auth_timeline(m), "end_state": N.end_state(m),
         "coverage": cov, "unknown": unk, "anomalies": N.anomalies(m, gap, cov, heartbeat_s, excerpt), "missing": N.missing_evidence(h, cfg, seg), "sessions": L.sessions(L.fixes(m), gap, m),
     }
-    return Analysis(found, m, tables, L.features(m, gap))
+    tables |= {
+        "launches": E.launches(m), "fence_evidence": E.fence_evidence(m), "deliveries": E.event_pairs(m), "upload_outcomes": E.upload_outcomes(m), "notable_config": E.notable_config(cfg),
+        "log_level": E.effective_level(cfg, m), "opening": E.opening_window(m, tables["sessions"]),
+    }
+    tables["layer_counts"] = router.window_counts(L.placed_events(m, L.fixes(m), rules), tables["opening"])
+    return Analysis(found, m, tables, L.features(m, gap, rules))
 
 
 _SPEC = re.compile(r"^(?P<ts>.+?)±(?P<n>\d+)(?P<unit>[sm]?)$")
@@ -111,6 +119,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--redact", action=argparse.BooleanOptionalAction, default=True)
     p.add_argument("--year", type=int)
     p.add_argument("--vocabulary", action="append", default=[], metavar="PLATFORM=FILE")
+    p.add_argument("--rules", help="file with rules for the map's layers")
     p.add_argument("--version", action="version", version=VERSION)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("trailmill").getOrCreate()
@@ -130,7 +139,10 @@ def main(argv: list[str] | None = None) -> int:
             print(row.x)
             n += 1
         return 0 if n else 1
-    res = analyze(spark, a.files, a.year, entries or None)
+    rules, warnings = router.load_rules(a.rules)
+    for w in warnings:
+        print(w, file=sys.stderr)
+    res = analyze(spark, a.files, a.year, entries or None, rules=rules)
     ids = [r[0] for r in res.tables["header"].select("capture_id").orderBy("capture_id").collect()]
     made = sinks.output_dir(a.out)
     aliases = redacted(res.records)[1] if a.redact else None

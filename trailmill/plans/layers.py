@@ -11,6 +11,8 @@ from ..functions import exprs as X
 from ..operators import aggregate as A
 from ..operators import asof as J
 from ..operators import sequence as S
+from . import enrich as E
+from . import router
 
 BY = ["capture_id"]
 #: Phrases of records that quote positions rather than report them.
@@ -51,39 +53,46 @@ def track(fix: DataFrame, gap_table: DataFrame) -> DataFrame:
     return S.track(f.drop("kind", "g", "prev"), BY, "ts", ["seq", "i"], "lat", "lon", breaks=F.col("cut"))
 
 
-def routes(m: DataFrame) -> Column:
-    """The layers of a record, in order; a record can be on several."""
-    raw = F.col("raw")
-    severity = F.when(F.col("auth") & F.col("severity").isNull(), None).otherwise(F.when(F.col("severity") == "error", "errors").when((F.col("severity") == "warning") & ~F.col("spurious"), "warnings"))
-    return F.array_compact(F.array(
-        severity, F.when(F.col("auth"), "auth"), F.when(F.col("strong").isNotNull() | F.col("banner"), "lifecycle"), F.when(F.col("transition").isNotNull() | F.col("spurious"), "geofence"),
-        F.when(F.col("pace").isNotNull(), "motion"), F.when(raw.rlike("HTTP ERROR|Response: \\d+|post status="), "http"), F.when(F.col("mock"), "mock"),
-    ))
+def folded(m: DataFrame) -> list[DataFrame]:
+    """What other records say about a marker: whether a dispatch arrived, how an upload ended."""
 
+    def side(d, **kw):
+        return d.groupBy("capture_id", "seq").agg(*(F.first(v.cast("string"), ignorenulls=True).alias(k) for k, v in kw.items())).select("capture_id", "seq", F.map_filter(F.create_map(*(x for k in kw for x in (F.lit(k), F.col(k)))), lambda k, v: v.isNotNull()).alias("extra"))
 
-def placed_events(m: DataFrame, fix: DataFrame) -> DataFrame:
+    sent = side(E.event_pairs(m).where("kind = 'fire'"), event=F.col("event"), delivered=F.col("delivered"))
+    done = side(E.upload_outcomes(m), last_status=F.col("last_status"), success=F.col("success"), synced=F.col("synced"), duration_ms=F.col("duration_ms"))
+    fence = side(E.fence_evidence(m), tint=F.col("tint"), verdict=F.col("verdict"), dist_m=F.col("dist_m"), radius_m=F.col("radius_m"))
+    return [sent, fence, done]
+
+
+def placed_events(m: DataFrame, fix: DataFrame, rules: router.Rules | None = None) -> DataFrame:
     """One row per record and layer with a position: its own, else the nearest in time."""
     own = F.col("structs.location")
-    e = m.withColumn("layer_list", routes(m)).where(F.size("layer_list") > 0).select(
-        "capture_id", "seq", "ts", "severity", "pace", "transition", "layer_list", "shape", F.array_join(X.content_lines(F.concat(F.array("header_msg"), "body"), 2), "\n").alias("text"), own["lat"].alias("own_lat"), own["lon"].alias("own_lon"),
+    d = router.with_context(router.without(m, router.told_elsewhere(m)))
+    d = d.withColumn("layer_list", router.layer_list(rules or router.Rules(), d)).where(F.size("layer_list") > 0)
+    e = router.decorate(d, ["capture_id", "seq"], *folded(m)).select(
+        "capture_id", "seq", "ts", "platform", "raw", "extra", "severity", "pace", "transition", "layer_list", "shape", F.array_join(X.content_lines(F.concat(F.array("header_msg"), "body"), 2), "\n").alias("text"), own["lat"].alias("own_lat"), own["lon"].alias("own_lon"),
     )
     n = J.neighbours(e, fix.select("capture_id", "seq", "ts", "lat", "lon"), BY, "ts", ["seq"], ["lat", "lon"])
     n = J.locate(n, "ts", "lat", "lon")
     has = X.valid_position(F.col("own_lat"), F.col("own_lon"))
     n = n.withColumn("lat", F.when(has, F.col("own_lat")).otherwise(F.col("at_lat"))).withColumn("lon", F.when(has, F.col("own_lon")).otherwise(F.col("at_lon")))
     n = n.withColumn("placement", F.when(has, "own").otherwise(F.col("placement"))).where(F.col("lat").isNotNull() & F.col("ts").isNotNull())
-    return n.select("capture_id", "seq", "ts", F.explode("layer_list").alias("layer"), "severity", "pace", "transition", "shape", F.left("text", F.lit(400)).alias("text"), "lat", "lon", "placement", "dt_s")
+    return n.select("capture_id", "seq", "ts", F.explode("layer_list").alias("layer"), "platform", "raw", "extra", "severity", "pace", "transition", "shape", F.left("text", F.lit(400)).alias("text"), "lat", "lon", "placement", "dt_s")
 
 
-def markers(events: DataFrame) -> DataFrame:
+def markers(events: DataFrame, rules: router.Rules | None = None) -> DataFrame:
     """Placed events with repeats at one anchor merged, per layer; own positions are never merged."""
     key = F.left(F.regexp_replace("shape", "(?i)\\b(?:true|false)\\b", "?"), F.lit(90))
     own = F.when(F.col("placement") == "own", F.col("seq"))
-    d = events.withColumn("key", key).withColumn("alone", own)
-    return A.marker_dedupe(d, ["capture_id", "layer", "lat", "lon", "key", "alone"], "seq", "ts", ["text", "severity", "placement", "dt_s", "pace"])
+    rules = rules or router.Rules()
+    icon, tint = router.icon(rules, F.col("platform"), F.col("layer"), F.try_element_at("extra", F.lit("event")), F.col("raw"))
+    clock = F.when(own.isNull(), router.layer_setting(rules, F.col("layer"), "clock", router.CLOCK))
+    d = events.withColumn("key", key).withColumn("alone", own).withColumn("icon", icon).withColumn("tint", F.coalesce(F.try_element_at("extra", F.lit("tint")), tint)).withColumn("clock", clock)
+    return A.marker_dedupe(d, ["capture_id", "layer", "lat", "lon", "key", "alone"], "seq", "ts", ["text", "severity", "placement", "dt_s", "pace", "extra", "icon", "tint", "clock"])
 
 
-def features(m: DataFrame, gap_table: DataFrame) -> DataFrame:
+def features(m: DataFrame, gap_table: DataFrame, rules: router.Rules | None = None) -> DataFrame:
     """All layers as (capture_id, layer, seq, geometry, coordinates, props): JSON strings for the last two."""
     fix = fixes(m)
     point = lambda: F.to_json(F.array(F.round("lon", 6), F.round("lat", 6)))
@@ -101,14 +110,20 @@ def features(m: DataFrame, gap_table: DataFrame) -> DataFrame:
     g = J.backward(J.neighbours(gap_table.select("capture_id", "seq", F.col("start").alias("ts"), F.col("end"), "gap_s", "kind"), f, BY, "ts", ["seq"], ["lat", "lon"]), "ts", ["lat", "lon"])
     g = g.withColumn("lat", F.coalesce("at_lat", "next_lat")).withColumn("lon", F.coalesce("at_lon", "next_lon")).where(F.col("lat").isNotNull())
     parts.append(g.select("capture_id", F.lit("gaps").alias("layer"), "seq", F.lit("Point").alias("geometry"), point().alias("coordinates"), props(t=iso("ts"), gap_s=F.col("gap_s"), kind=F.col("kind")).alias("props")))
+    span = g.where(F.col("at_lat").isNotNull() & F.col("next_lat").isNotNull() & ((F.col("at_lat") != F.col("next_lat")) | (F.col("at_lon") != F.col("next_lon"))))
+    ends = F.to_json(F.array(F.array(F.round("at_lon", 6), F.round("at_lat", 6)), F.array(F.round("next_lon", 6), F.round("next_lat", 6))))
+    parts.append(span.select("capture_id", F.lit("gaps").alias("layer"), "seq", F.lit("LineString").alias("geometry"), ends.alias("coordinates"), props(t=iso("ts"), role=F.lit("gap-span"), gap_s=F.col("gap_s"), kind=F.col("kind")).alias("props")))
     b = m.where("banner").select("capture_id", "seq", "ts", "version", "headless_boot")
     b = J.nearest(J.neighbours(b, f, BY, "ts", ["seq"], ["lat", "lon"]), "ts", ["lat", "lon"]).withColumn("lat", F.col("near_lat")).withColumn("lon", F.col("near_lon")).where(F.col("lat").isNotNull())
     parts.append(b.select("capture_id", F.lit("launch").alias("layer"), "seq", F.lit("Point").alias("geometry"), point().alias("coordinates"), props(t=iso("ts"), version=F.col("version"), anchor_dt_s=F.col("signed_s")).alias("props")))
-    placed = placed_events(m, fix)
-    mk = markers(placed)
-    parts.append(mk.select("capture_id", "layer", F.col("first_seq").alias("seq"), F.lit("Point").alias("geometry"), point().alias("coordinates"), props(count=F.col("n"), times=F.transform("times", X.iso_text), last=X.iso_text(F.col("last_ts")), text=F.col("text"), severity=F.col("severity"), placement=F.col("placement"), anchor_dt_s=F.col("dt_s")).alias("props")))
-    legs = S.connectors(placed.where("layer = 'motion'"), BY, ["ts", "seq"], "pace", ["lat", "lon"])
-    parts.append(legs.select("capture_id", F.lit("motion").alias("layer"), "seq", F.lit("LineString").alias("geometry"), F.to_json(F.array(F.array("from_lon", "from_lat"), F.array("lon", "lat"))).alias("coordinates"), props(t=iso("ts")).alias("props")))
+    placed = placed_events(m, fix, rules)
+    mk = markers(placed, rules)
+    parts.append(mk.select("capture_id", "layer", F.col("first_seq").alias("seq"), F.lit("Point").alias("geometry"), point().alias("coordinates"), props(count=F.col("n"), times=F.transform("times", X.iso_text), last=X.iso_text(F.col("last_ts")), text=F.col("text"), severity=F.col("severity"), placement=F.col("placement"), anchor_dt_s=F.col("dt_s"), icon=F.col("icon"), tint=F.col("tint"), offset_clock=F.col("clock"), folded=F.col("extra")).alias("props")))
+    legs = S.connectors(placed.where("layer = 'motionchange' and pace is not null"), BY, ["ts", "seq"], "pace", ["lat", "lon"])
+    parts.append(legs.select("capture_id", F.lit("motionchange").alias("layer"), "seq", F.lit("LineString").alias("geometry"), F.to_json(F.array(F.array("from_lon", "from_lat"), F.array("lon", "lat"))).alias("coordinates"), props(t=iso("ts")).alias("props")))
+    implied = E.implied_legs(E.fence_evidence(m), fix)
+    leg = F.to_json(F.array(F.array("from_lon", "from_lat"), F.array("to_lon", "to_lat")))
+    parts.append(implied.select("capture_id", F.lit("geofence").alias("layer"), "seq", F.lit("LineString").alias("geometry"), leg.alias("coordinates"), props(t=iso("ts"), role=F.lit("implied-leg")).alias("props")))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
