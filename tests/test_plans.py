@@ -241,3 +241,28 @@ def test_neighbours_against_a_loop(spark):
         before = [x[3] for x in line if x[2] < s]
         after = [x[3] for x in line if x[2] >= s]
         assert got[seq] == (before[-1] if before else None, after[0] if after else None)
+
+
+def test_rules_missing_file_and_order_of_layers(spark, tmp_path):
+    from trailmill.plans import router
+
+    rules, warnings = router.load_rules(str(tmp_path / "none.json"))
+    assert list(rules.layers) == list(router.LAYERS) and len(warnings) == 1
+    with open(tmp_path / "r.json", "w") as f:
+        json.dump({"layers": {"b": {"clock": 3}, "a": None}, "rules": [{"icon": "no match"}, {"match": "x", "icon": "i"}], "other": 1}, f)
+    rules, warnings = router.load_rules(str(tmp_path / "r.json"))
+    assert list(rules.layers) == ["b", "a"] and len(rules.rules) == 1 and not warnings
+    d = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "layer string")
+    got = d.select(router.layer_rank(rules, F.col("layer")), router.layer_setting(rules, F.col("layer"), "clock", 12)).collect()
+    assert [tuple(r) for r in got] == [(1, 12), (0, 3), (2, 12), (2, 12)]
+
+
+def test_heartbeat_interval_of_the_configuration(spark):
+    lines = [at(60 * i, "[HeartbeatService run] onHeartbeat") for i in range(5)]
+    m = log(spark, lines)
+    cfg = lambda v: spark.createDataFrame([("c", "app.heartbeatInterval", v)], "capture_id string, key string, value string")
+    for value, stretched in (("30", True), ("60", False), ("0", False), ("soon", False), (None, False)):
+        assert [r.stretched for r in findings.heartbeats(m, cfg=cfg(value)).collect()] == [stretched]
+    gap = findings.gaps(m)
+    assert "heartbeat-cadence" in [r.kind for r in findings.anomalies(m, gap, cfg=cfg("30")).collect()]
+    assert "heartbeat-cadence" not in [r.kind for r in findings.anomalies(m, gap, cfg=cfg("60")).collect()]

@@ -85,7 +85,7 @@ def url_class(url: Column) -> Column:
 def urls(text: Column) -> Column:
     """URLs of a text, without punctuation at their end."""
     found = F.regexp_extract_all(text, F.lit("https?://[^\\s\"'<>)\\]}]+"), F.lit(0))
-    return F.transform(found, lambda u: F.regexp_replace(u, "[.,;:\"']+$", ""))
+    return F.transform(found, lambda u: F.rtrim(u, F.lit(".;\"'")))
 
 
 def version_key(version: Column, width: int = 4) -> Column:

@@ -58,10 +58,10 @@ def analyze(spark: SparkSession, paths: list[str], year: int | None = None, entr
         cov, unk = N.coverage(k), N.unknown_examples(k)
     h, cfg = N.header(m), N.config(m)
     tables = {
-        "header": h, "config": cfg, "segments": seg, "gaps": gap, "lane": S.lane_intervals(m, ["capture_id"], "seq", "ts"), "dedup": N.dedup(m), "pairs": N.pairs(m), "parity": N.parity(m),
-        "http": N.http_health(m), "status": N.status_histogram(m), "connectivity": N.connectivity(m), "urls": N.url_report(m), "geofence": N.geofence_health(m), "motion": N.motion_health(m),
-        "activity": N.activity_histogram(m), "power": N.power_events(m), "heartbeats": N.heartbeats(m, heartbeat_s), "duty": N.duty_cycle(m, gap), "auth": N.auth_timeline(m), "end_state": N.end_state(m),
-        "coverage": cov, "unknown": unk, "anomalies": N.anomalies(m, gap, cov, heartbeat_s, excerpt), "missing": N.missing_evidence(h, cfg, seg), "sessions": L.sessions(L.fixes(m), gap, m),
+        "header": h, "config": cfg, "segments": seg, "gaps": gap, "lane": S.lane_intervals(m, ["capture_id"], "seq", "ts"), "dedup": N.dedup(m), "pairs": N.pairs(m), "parity": N.parity(m, cfg),
+        "http": N.http_health(m), "status": N.status_histogram(m), "connectivity": N.connectivity(m), "urls": N.url_report(m), "geofence": N.geofence_health(m), "motion": N.motion_health(m, cfg=cfg),
+        "activity": N.activity_histogram(m), "power": N.power_events(m), "heartbeats": N.heartbeats(m, heartbeat_s, cfg), "duty": N.duty_cycle(m, gap), "auth": N.auth_timeline(m), "end_state": N.end_state(m),
+        "coverage": cov, "unknown": unk, "anomalies": N.anomalies(m, gap, cov, heartbeat_s, excerpt, cfg), "missing": N.missing_evidence(h, cfg, seg), "sessions": L.sessions(L.fixes(m), gap, m),
     }
     tables |= {
         "launches": E.launches(m), "fence_evidence": E.fence_evidence(m), "deliveries": E.event_pairs(m), "upload_outcomes": E.upload_outcomes(m), "notable_config": E.notable_config(cfg),

@@ -72,7 +72,7 @@ def implied_legs(evidence: DataFrame, fixes: DataFrame) -> DataFrame:
 
 
 def stationary_radius(m: DataFrame, default: float = 150.0) -> DataFrame:
-    r = F.nullif(F.regexp_extract("raw", "(?i)stationary\\w*[^\\n]{0,40}radius[=: ]+([\\d.]+)", 1), F.lit("")).try_cast("double")
+    r = F.nullif(F.regexp_extract("raw", r"(?is)stationary\s*(?:geofence|region).{0,160}?radius=([\d.]+)m", 1), F.lit("")).try_cast("double")
     return m.withColumn("__r", r).groupBy(*BY).agg(F.coalesce(F.min_by("__r", F.when(F.col("__r").isNotNull(), F.col("seq"))), F.lit(default)).alias("radius_m"))
 
 

@@ -31,7 +31,6 @@ HEADLESS_BOOT = r"didLaunchInBackground: ?(?:1|true|YES)|launched in background"
 PAIRS = {"GATE CLOSE/OPEN": ("🛃 GATE CLOSE", "🛃 GATE OPEN"), "EVENT_DELIVERY pause/resume": ("EVENT_DELIVERY_PAUSE", "EVENT_DELIVERY_RESUME")}
 WATCHDOG_FIRED = r"[Ww]atchdog[^\n]{0,20}(?:fired|force)|force.?unlock"
 TRANSITION = r"[Gg]eofence\s+(ENTER|EXIT|DWELL)"
-AUTH_NOISE = "Routine"
 
 
 def _n(raw: Column, pattern: str, group: int = 1) -> Column:
@@ -154,10 +153,22 @@ def _count(c: str) -> Column:
     return F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(c)
 
 
-def parity(m: DataFrame) -> DataFrame:
-    """Counts of a position's life: persisted, posted, destroyed, background tasks."""
+def settings(cfg: DataFrame, **names: str) -> DataFrame:
+    """(capture_id, a column per keyword): the values of configuration keys, nested or not; the shallowest wins."""
+    leaf, depth = F.regexp_extract("key", "([^.]+)$", 1), F.struct(F.size(F.split("key", "[.]")), F.col("key"))
+    picked = [F.min_by("value", F.when(leaf == key, depth)).alias(name) for name, key in names.items()]
+    return cfg.groupBy(*BY).agg(*picked)
+
+
+def parity(m: DataFrame, cfg: DataFrame | None = None) -> DataFrame:
+    """Counts of a position's life: persisted, posted, destroyed, background tasks. No imbalance where ``cfg`` turns
+    automatic uploads off."""
     g = m.groupBy(*BY).agg(*map(_count, ["persisted", "posted", "destroyed", "task_start", "task_stop"]))
-    return g.withColumn("imbalance", (F.col("persisted") >= 10) & (F.col("destroyed") < 0.5 * F.col("persisted")))
+    uneven = (F.col("persisted") >= 10) & (F.col("destroyed") < 0.5 * F.col("persisted"))
+    if cfg is None:
+        return g.withColumn("imbalance", uneven)
+    auto = F.lower(F.trim("__auto")).isin("true", "1", "yes")
+    return g.join(settings(cfg, __auto="autoSync"), BY, "left").withColumn("imbalance", uneven & F.coalesce(auto, F.lit(True))).drop("__auto")
 
 
 def http_health(m: DataFrame) -> DataFrame:
@@ -192,9 +203,14 @@ def geofence_health(m: DataFrame) -> DataFrame:
     return g.join(flips, BY, "left")
 
 
-def motion_health(m: DataFrame, min_confidence: int = 75) -> DataFrame:
+def motion_health(m: DataFrame, min_confidence: int = 75, cfg: DataFrame | None = None) -> DataFrame:
+    """``cfg`` can state another least confidence than ``min_confidence``."""
+    least = F.lit(min_confidence)
+    if cfg is not None:
+        m = m.join(settings(cfg, __least="minimumActivityRecognitionConfidence"), BY, "left")
+        least = F.coalesce(F.col("__least").try_cast("int"), least)
     g = m.groupBy(*BY).agg(
-        F.median("confidence").alias("median_confidence"), F.count_if(F.col("confidence") < min_confidence).alias("low_confidence"),
+        F.median("confidence").alias("median_confidence"), F.count_if(F.col("confidence") < least).alias("low_confidence"),
         *map(_count, ["trigger_armed", "trigger_reset", "stationary_exit", "stop_on", "stop_fired", "stop_off"]),
     )
     last = m.groupBy(*BY).agg(F.max("ts").alias("__end"))
@@ -211,15 +227,20 @@ def power_events(m: DataFrame) -> DataFrame:
     return m.where("power_save or prevent_suspend").select("capture_id", "seq", "ts", F.when(F.col("power_save"), "power-save").otherwise("prevent-suspend").alias("kind"), "power_hint")
 
 
-def heartbeats(m: DataFrame, expected_s: float | None = None) -> DataFrame:
-    d = S.cadence(m.where("heartbeat"), ["capture_id", "segment"], ORDER, "ts")
-    if expected_s is None:
-        return d.withColumn("stretched", F.lit(False)).withColumn("expected", F.lit(False))
-    platform = m.groupBy(*BY).agg(F.first("platform").alias("__p"))
-    d = d.join(platform, BY).withColumn("stretched", F.coalesce(F.col("median_s") > 1.5 * expected_s, F.lit(False)))
+def heartbeats(m: DataFrame, expected_s: float | None = None, cfg: DataFrame | None = None) -> DataFrame:
+    """Cadence per segment, against ``expected_s`` or, without it, the interval that ``cfg`` states."""
+    d = S.cadence(m.where("heartbeat"), ["capture_id", "segment"], ORDER, "ts").join(m.groupBy(*BY).agg(F.first("platform").alias("__p")), BY)
+    d = _with_interval(d, expected_s, cfg)
+    d = d.withColumn("stretched", F.coalesce((F.col("interval_s") > 0) & (F.col("median_s") > 1.5 * F.col("interval_s")), F.lit(False)))
     return d.withColumn("expected", F.col("stretched") & (F.col("__p") == "ios") & (F.col("max_s") <= 450)).drop("__p")
 
 
+def _with_interval(d: DataFrame, expected_s: float | None, cfg: DataFrame | None) -> DataFrame:
+    if expected_s is not None or cfg is None:
+        return d.withColumn("interval_s", F.lit(expected_s).cast("double"))
+    return d.join(settings(cfg, __hb="heartbeatInterval"), BY, "left").withColumn("interval_s", F.col("__hb").try_cast("double")).drop("__hb")
+
+
 def duty_cycle(m: DataFrame, gap_table: DataFrame) -> DataFrame:
     """Span, active hours, positions per active hour."""
     g = m.groupBy(*BY).agg((X.seconds_between(F.min("ts"), F.max("ts")) / 3600).alias("span_h"), _count("persisted"))
@@ -270,11 +291,11 @@ def unknown_examples(classified: DataFrame, n: int = 5) -> DataFrame:
     return d.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
 
-def anomalies(m: DataFrame, gap_table: DataFrame, coverage_table: DataFrame | None = None, heartbeat_s: float | None = None, excerpt: bool = False) -> DataFrame:
+def anomalies(m: DataFrame, gap_table: DataFrame, coverage_table: DataFrame | None = None, heartbeat_s: float | None = None, excerpt: bool = False, cfg: DataFrame | None = None) -> DataFrame:
     """Rule results, in the order high, warn, info and then by rule; an excerpt has no wedge-candidate gaps."""
     at = lambda d, detail: d.select("capture_id", F.lit(-1).cast("bigint").alias("seq"), detail.alias("detail"))
     s = lambda c: F.col(c).cast("string")
-    par, web = parity(m), http_health(m)
+    par, web = parity(m, cfg), http_health(m)
     parts = []
     if not excerpt:
         parts.append(("wedge-candidate-gap", "high", gap_table.where("kind = 'wedge-candidate'").select("capture_id", "seq", s("gap_s").alias("detail"))))
@@ -288,8 +309,9 @@ def anomalies(m: DataFrame, gap_table: DataFrame, coverage_table: DataFrame | No
     parts.append(("mock-locations", "info", at(mocks, s("mock"))))
     if coverage_table is not None:
         parts.append(("vocabulary-drift", "warn", at(coverage_table.where("alarm"), s("unknown_rate"))))
-    if heartbeat_s is not None:
-        segs = segments(m).join(heartbeats(m, heartbeat_s), ["capture_id", "segment"], "left").join(header(m).select("capture_id", "platform"), BY)
+    if heartbeat_s is not None or cfg is not None:
+        known = _with_interval(segments(m), heartbeat_s, cfg).where("interval_s > 0").drop("interval_s")
+        segs = known.join(heartbeats(m, heartbeat_s, cfg), ["capture_id", "segment"], "left").join(header(m).select("capture_id", "platform"), BY)
         absent = segs.where(F.col("n").isNull() & (X.seconds_between(F.col("start"), F.col("end")) >= 1800))
         parts.append(("heartbeat-absent", "info", at(absent, s("segment"))))
         parts.append(("heartbeat-cadence", "warn", at(segs.where("stretched and not expected and platform = 'android'"), s("median_s"))))

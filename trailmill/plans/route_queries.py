@@ -184,3 +184,27 @@ def compact_round_trip(spark, d):
     e = events(spark, d).select("event_id", F.col("event_type").alias("layer"), F.col("event_type").alias("category"), (F.col("user_id") % 3 + 1).alias("count"))
     small = enrich.compact(e).withColumn("n", F.col("count"))
     return enrich.inflate(small).select("event_id", "category", "n")
+
+
+#: Two kinds of persisted records for one of destroyed ones: about half of the days are out of balance.
+LIFE = {
+    "view": ("INFO", "SQLiteLocationDAO", "persist", "ok"), "purchase": ("INFO", "SQLiteLocationDAO", "persist", "more"), "click": ("INFO", "SQLiteLocationDAO", "destroy", "ok"),
+    "error": ("INFO", "HttpService", "flush", "HTTP POST: a"), "signup": ("INFO", "Tasks", "run", "startBackgroundTask: 1"),
+}
+
+
+@query("""WITH g AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS capture_id, count(*) FILTER (event_type IN ('view', 'purchase')) AS persisted, count(*) FILTER (event_type = 'error') AS posted, count(*) FILTER (event_type = 'click') AS destroyed,
+count(*) FILTER (event_type = 'signup') AS task_start, CAST(0 AS BIGINT) AS task_stop FROM events GROUP BY 1)
+SELECT *, persisted >= 10 AND 2 * destroyed < persisted AND capture_id NOT LIKE '%5' AS imbalance FROM g""")
+def parity_by_config(spark, d):
+    m = _records(spark, d, LIFE)
+    cfg = m.select("capture_id").distinct().select("capture_id", F.lit("http.autoSync").alias("key"), F.when(F.col("capture_id").like("%5"), "false").otherwise("true").alias("value"))
+    return findings.parity(m, cfg)
+
+
+@query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS capture_id, 'v' || min(event_id) AS a, 'deep' AS b FROM events WHERE event_type = 'view' GROUP BY 1""")
+def config_settings(spark, d):
+    e = events(spark, d).where("event_type = 'view'").groupBy(F.col("day").alias("capture_id")).agg(F.min("event_id").alias("m"))
+    given = {"a": F.concat(F.lit("v"), "m"), "x.a": F.lit("hidden"), "x.y.b": F.lit("deeper"), "x.b": F.lit("deep")}
+    pairs = F.create_map(*(c for k, v in given.items() for c in (F.lit(k), v)))
+    return findings.settings(e.select("capture_id", F.explode(pairs)), a="a", b="b")
