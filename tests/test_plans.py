@@ -55,34 +55,48 @@ def test_fragments():
     f = vocabulary.fragments
     assert ("stop timer ", True) in f(r"stop timer (\d+)") and ("maybe", False) in f(r"x(?:maybe)?y") and ("left", False) in f(r"(left|right) side")
     assert (" side", True) in f(r"(left|right) side") and f("(") == [] and ("ab", True) in f(r"(?:ab)+")
-    assert vocabulary.qualifies("abcd") and not vocabulary.qualifies("a b c") and vocabulary.qualifies("🔵")
+    assert vocabulary.qualifies("abcd") and vocabulary.qualifies("a b c") and not vocabulary.qualifies("  abc ") and not vocabulary.qualifies(None) and vocabulary.qualifies("🔵")
 
 
 ENTRIES = [
     Entry("exact", "android", "Http", "flush", "INFO", "🔵", [r"flush started n=(\d+)"]),
     Entry("other", "android", "Db", "flush", "INFO", None, [r"flush started n=(\d+)"]),
-    Entry("long", "android", "Http", "flush", "INFO", None, [r"flush started n=(\d+) with extra words"]),
+    Entry("long", "android", "Http", "flush", "INFO", None, [r"flush started n=(\d+) with many extra words"]),
     Entry("catch", "android", "Log", "any", "WARN", None, [r".*"], flags=["builder-catchall"]),
-    Entry("old", "android", "Old", "x", None, None, [r"retired message here"], valid_to="2.0"),
+    Entry("old", "android", "Old", "x", None, None, [r"retired message here"], valid_to="2.0", source=["Old.java:9"]),
     Entry("pass", "android", "Raw", None, None, None, [], flags=["passthrough"]),
+    Entry("selector", "android", "Hb", "x", None, None, [r"heart ❤️ beats"]),
+    Entry("bare", "android", "Bare", "x", None, None, [r"n=\d+"]),
+    Entry("both", "android", "Both", "x", "WARN", "⚠", [r"zz"]),
     Entry("drifty", "android", "Dr", "x", None, None, [r"connection to server was lost (\d+)"]),
-    Entry("twin1", "ios", "Tw", "a:", None, None, [r"same text \d"], semantic="s"),
-    Entry("twin2", "ios", "Tw", "a:", None, None, [r"same text \d"], semantic="t"),
+    Entry("twin1", "ios", "Tw", "a:", None, None, [r"same text \d"], semantic="s", source=["Tw.m:1"]),
+    Entry("twin2", "ios", "Tw", "a:", None, None, [r"same text \d"], semantic="t", source=["Tw.m:2", "Tw.m:1"]),
     Entry("iany", "ios", "Tw", "b:", None, None, [r".+"], flags=["builder-catchall"]),
 ]
 
 
 @pytest.mark.parametrize("r,status,sites,conf", [
     (dict(raw="x flush started n=3", tag_class="Http", tag_method="flush", level="INFO", icon="🔵"), "matched", ["exact"], "exact"),
-    (dict(raw="x flush started n=3 with extra words", tag_class="Db", tag_method="flush"), "matched", ["long"], "exact"),
-    (dict(raw="x flush started n=3", tag_class="None"), "matched", ["exact", "other"], "ambiguous"),
+    (dict(raw="x flush started n=3 with many extra words", tag_class="Db", tag_method="flush"), "matched", ["long"], "exact"),
+    (dict(raw="x flush started n=3", tag_class="None"), "matched", ["exact"], "ambiguous"),
     (dict(raw="anything", tag_class="Log", tag_method="zz", level="WARN"), "matched", ["catch"], "exact"),
     (dict(raw="anything", tag_class="Log", level="INFO"), "unknown", [], None),
-    (dict(raw="retired message here", tag_class="Old", version="1.9"), "matched", ["old"], "exact"),
-    (dict(raw="retired message here", tag_class="Old", version="2.1", tag_method="x"), "drift", [], None),
-    (dict(raw="whatever", tag_class="Raw", tag_method="q"), "passthrough", ["pass"], "exact"),
-    (dict(raw="the connection to the server got lost", tag_class="Dr", tag_method="x"), "drift", [], None),
-    (dict(raw="same text 1", platform="ios", tag_class="Tw", tag_method="a:"), "matched", ["twin1", "twin2"], "ambiguous"),
+    (dict(raw="retired message here", tag_class="Old", version="1.9"), "matched", ["Old.java:9"], "exact"),
+    (dict(raw="retired message here", tag_class="Old", version="2.1", tag_method="x"), "unknown", [], None),
+    (dict(raw="retired message was here", tag_class="Old", version="1.9 (4063)", tag_method="x"), "drift", ["Old.java:9"], "fuzzy"),
+    (dict(raw="retired message was here", tag_class="Old", version="2.1", tag_method="x"), "unknown", [], None),
+    (dict(raw="whatever", tag_class="Raw", tag_method="q"), "passthrough", [], "exact"),
+    (dict(raw="the connection to the server got lost", tag_class="Dr", tag_method="x"), "drift", [], "fuzzy"),
+    (dict(raw="the Connection To the server got lost", tag_class="Dr", tag_method="x"), "unknown", [], None),
+    (dict(raw="heart ❤️ beats", tag_class="Hb"), "matched", ["selector"], "exact"),
+    (dict(raw="heart ❤ beats", tag_class="Zz"), "unknown", [], None),
+    (dict(raw="n=12 k", tag_class="Bare"), "matched", ["bare"], "exact"),
+    (dict(raw="n=12 k", tag_class="LoggerFacade$Entry"), "unknown", [], None),
+    (dict(raw="zz", tag_class="LoggerFacade$Entry", level="WARN", icon="⚠"), "matched", ["both"], "exact"),
+    (dict(raw="x flush started n=3", tag_class="Logger"), "passthrough", [], "exact"),
+    (dict(raw="q", platform="ios", tag_class="TSLocationManager", tag_method="log:message:"), "passthrough", [], "exact"),
+    (dict(raw="same text 1", platform="ios", tag_class="Tw", tag_method="a:"), "matched", ["Tw.m:1", "Tw.m:2"], "ambiguous"),
+    (dict(raw="same text 1", platform="ios", tag_class="Tw", tag_method="c:d:"), "matched", ["Tw.m:1", "Tw.m:2"], "ambiguous"),
     (dict(raw="new text", platform="ios", tag_class="Tw", tag_method="b:"), "matched", ["iany"], "exact"),
     (dict(raw="nothing", platform="ios", tag_class="Qq"), "unknown", [], None),
 ])
@@ -266,3 +280,13 @@ def test_heartbeat_interval_of_the_configuration(spark):
     gap = findings.gaps(m)
     assert "heartbeat-cadence" in [r.kind for r in findings.anomalies(m, gap, cfg=cfg("30")).collect()]
     assert "heartbeat-cadence" not in [r.kind for r in findings.anomalies(m, gap, cfg=cfg("60")).collect()]
+
+
+def test_meanings(spark, tmp_path):
+    (tmp_path / "m.yaml").write_text("categories:\n- {match_class: Http.*, category: http}\n- {match_class: '(', category: bad}\n- {match_body_hint: saved, category: store}\n- {match_semantic: tw, category: twins}\nbody_emoji_hints: {'💾': saved}\nicon_semantics:\n  android:\n  - {icon: '⚠️', semantic: warn, family: severity, valid_from: '2.0'}\n", encoding="utf-8")
+    m, warn = vocabulary.load_meanings(str(tmp_path / "m.yaml"))
+    assert len(m.categories) == 3 and len(warn) == 1 and vocabulary.load_meanings(str(tmp_path / "none.yaml"))[1]
+    rows = [("android", "x flush started n=3", "LoggerFacade", None, "INFO", "⚠", "2.1"), ("android", "💾 zz", "Q", None, None, "⚠", "1.0"), ("android", None, None, None, None, None, None), ("ios", "same text 1", "Tw", "a:", None, None, None)]
+    d = spark.createDataFrame(rows, "platform string, raw string, tag_class string, tag_method string, level string, icon string, version string")
+    got = [(r.klass.status, r.category, r.klass.semantic, r.klass.family) for r in vocabulary.interpret(vocabulary.classify(d, ENTRIES), m).collect()]
+    assert got == [("matched", "http", "warn", "severity"), ("unknown", "store", None, None), ("unknown", None, None, None), ("matched", None, None, None)]

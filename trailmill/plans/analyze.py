@@ -22,7 +22,7 @@ from . import findings as N
 from . import layers as L
 from . import enrich as E
 from . import redact, router, sinks
-from .vocabulary import Entry, classify, load_entries
+from .vocabulary import Entry, Meanings, classify, interpret, load_entries, load_meanings
 
 VERSION = "0.1.0"
 
@@ -41,27 +41,28 @@ def prepare(captures: DataFrame) -> DataFrame:
     return N.with_state(N.with_segments(m))
 
 
-def analyze(spark: SparkSession, paths: list[str], year: int | None = None, entries: list[Entry] | None = None, excerpt: bool = False, heartbeat_s: float | None = None, rules: router.Rules | None = None, builds: dict[str, str] | None = None) -> Analysis:
+def analyze(spark: SparkSession, paths: list[str], year: int | None = None, entries: list[Entry] | None = None, excerpt: bool = False, heartbeat_s: float | None = None, rules: router.Rules | None = None, builds: dict[str, str] | None = None, meanings: Meanings | None = None) -> Analysis:
     """All findings of all captures as tables; nothing runs until a table is used, but for the records, which many
     tables share and which are kept (on disk beyond memory). ``rules`` place and leave out markers; ``builds`` names the
-    versions of build numbers."""
+    versions of build numbers; ``meanings`` gives classified records categories and meanings of icons."""
     found = C.read_captures(spark, paths, year)
     dup = C.duplicates(found.where("kind = 'text'").select("path", "text"), "path", "text")
     found = found.join(dup, "path", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
     m = prepare(found.where("not duplicate and kind = 'text' and platform <> 'unknown'")).persist(StorageLevel.MEMORY_AND_DISK)
     seg, gap = N.segments(m), N.gaps(m)
-    cov = unk = None
+    cov = unk = kinds = None
     if entries:
         versioned = m.join(seg.select("capture_id", "segment", F.col("version").alias("v")), ["capture_id", "segment"], "left")
         k = classify(versioned.select("capture_id", "seq", "platform", "raw", "tag_class", "tag_method", "level", "icon", X.resolve_version(F.col("v"), builds or {}).alias("version")), entries)
-        k = k.persist(StorageLevel.MEMORY_AND_DISK)
+        k = interpret(k, meanings or Meanings()).persist(StorageLevel.MEMORY_AND_DISK)
         cov, unk = N.coverage(k), N.unknown_examples(k)
+        kinds = k.groupBy("capture_id", "category", k.klass.semantic.alias("semantic"), k.klass.family.alias("family")).agg(F.count("*").alias("n"))
     h, cfg = N.header(m), N.config(m)
     tables = {
         "header": h, "config": cfg, "segments": seg, "gaps": gap, "lane": S.lane_intervals(m, ["capture_id"], "seq", "ts"), "dedup": N.dedup(m), "pairs": N.pairs(m), "parity": N.parity(m, cfg),
         "http": N.http_health(m), "status": N.status_histogram(m), "connectivity": N.connectivity(m), "urls": N.url_report(m), "geofence": N.geofence_health(m), "motion": N.motion_health(m, cfg=cfg),
         "activity": N.activity_histogram(m), "power": N.power_events(m), "heartbeats": N.heartbeats(m, heartbeat_s, cfg), "duty": N.duty_cycle(m, gap), "auth": N.auth_timeline(m), "end_state": N.end_state(m),
-        "coverage": cov, "unknown": unk, "anomalies": N.anomalies(m, gap, cov, heartbeat_s, excerpt, cfg), "missing": N.missing_evidence(h, cfg, seg), "sessions": L.sessions(L.fixes(m), gap, m),
+        "coverage": cov, "unknown": unk, "categories": kinds, "anomalies": N.anomalies(m, gap, cov, heartbeat_s, excerpt, cfg), "missing": N.missing_evidence(h, cfg, seg), "sessions": L.sessions(L.fixes(m), gap, m),
     }
     tables |= {
         "launches": E.launches(m), "fence_evidence": E.fence_evidence(m), "deliveries": E.event_pairs(m), "upload_outcomes": E.upload_outcomes(m), "notable_config": E.notable_config(cfg),
@@ -119,6 +120,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--redact", action=argparse.BooleanOptionalAction, default=True)
     p.add_argument("--year", type=int)
     p.add_argument("--vocabulary", action="append", default=[], metavar="PLATFORM=FILE")
+    p.add_argument("--meanings", help="file with categories, hints and meanings of icons")
     p.add_argument("--rules", help="file with rules for the map's layers")
     p.add_argument("--version", action="version", version=VERSION)
     a = p.parse_args(argv)
@@ -142,7 +144,10 @@ def main(argv: list[str] | None = None) -> int:
     rules, warnings = router.load_rules(a.rules)
     for w in warnings:
         print(w, file=sys.stderr)
-    res = analyze(spark, a.files, a.year, entries or None, rules=rules)
+    meanings, warnings = load_meanings(a.meanings) if a.meanings else (None, [])
+    for w in warnings:
+        print(w, file=sys.stderr)
+    res = analyze(spark, a.files, a.year, entries or None, rules=rules, meanings=meanings)
     ids = [r[0] for r in res.tables["header"].select("capture_id").orderBy("capture_id").collect()]
     made = sinks.output_dir(a.out)
     aliases = redacted(res.records)[1] if a.redact else None

@@ -120,8 +120,8 @@ def vocab_drift(spark, d):
 @query("""SELECT doc_id, CASE WHEN regexp_matches(source || '.' || lang, '^src1[0-9]?\\.en') THEN 'first' WHEN contains(text, '@') THEN 'mail' WHEN regexp_matches(lang, 'fr|es') THEN 'romance' ELSE '' END AS category FROM documents""")
 def category_rules(spark, d):
     rules = [{"match_class": "src1[0-9]?\\.en", "category": "first"}, {"match_body_hint": "@", "category": "mail"}, {"match_semantic": "fr|es", "category": "romance"}]
-    hint = F.when(F.col("text").contains("@"), "@")
-    return table(spark, d, "documents").select("doc_id", F.coalesce(vocabulary.category(rules, F.col("source"), F.col("lang"), hint, F.col("lang")), F.lit("")).alias("category"))
+    hints = vocabulary.body_hints({"@": "@"}, F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(vocabulary.category(rules, F.col("source"), F.col("lang"), hints, F.col("lang")), F.lit("")).alias("category"))
 
 
 _LETTERS = "CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INT)) WHEN n <= 702 THEN chr(CAST(65 + (n - 27) // 26 AS INT)) || chr(CAST(65 + (n - 1) % 26 AS INT)) ELSE chr(CAST(65 + (n - 703) // 676 AS INT)) || chr(CAST(65 + ((n - 703) // 26) % 26 AS INT)) || chr(CAST(65 + (n - 703) % 26 AS INT)) END"
@@ -189,8 +189,36 @@ def payload_filter(spark, d):
 
 @query()
 def config_dump(spark, d):
-    """Truncated JSON dumps have no SQL form: rows and unit tests only."""
+    """Truncated JSON dumps: rows and unit tests only."""
     body = F.concat(F.lit('\n{\n  "user": '), F.col("user_id").cast("string"), F.lit(',\n  "opts": {\n    "a": [1, 2]\n  },\n  "cut": "'))
     s = P.annotate(R.assemble(_rendered(spark, d, body)))
     c = F.col("structs.config_dump")
     return s.select("capture_id", "seq", c["data"].alias("data"), c["truncated"].alias("truncated"))
+
+
+# An invented vocabulary over the rendered events: each case of the matcher has its type of event.
+_SITES = [
+    ("even", "Sdkclick", "INFO", "🔵", r"user \d*[02468]\n?\Z", None, []),
+    ("even-error", "Other", "ERROR", None, r"user \d*[02468]\n?\Z", None, []),
+    ("old", "Other", None, None, r"  🔵 user \d*5\Z", "1.2", []),
+    ("loose", "Sdkview", "INFO", None, r"\d", None, []),
+    ("changed", "Sdkpurchase", None, None, "WARN user Sdkpurchase gone", None, []),
+    ("app", "Sdksignup", None, None, "", None, ["passthrough"]),
+]
+
+
+@query("""WITH e AS (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY event_id) - 1 AS seq FROM e),
+c AS (SELECT *, CASE WHEN event_type = 'signup' THEN 'passthrough app exact' WHEN user_id % 10 = 5 AND user_id % 5 + user_id % 3 <= 2 THEN 'matched old exact' WHEN user_id % 2 = 0 AND event_type = 'error' THEN 'matched even ambiguous'
+WHEN user_id % 2 = 0 THEN 'matched even exact' WHEN event_type = 'view' THEN 'matched loose exact' WHEN event_type = 'purchase' THEN 'drift changed fuzzy' ELSE 'unknown  ' END AS x FROM r)
+SELECT day AS capture_id, seq, string_split(x, ' ')[1] AS status, string_split(x, ' ')[2] AS site, string_split(x, ' ')[3] AS confidence,
+CASE WHEN event_type = 'click' THEN 'input' WHEN event_type IN ('error', 'purchase') AND user_id % 10 = 3 THEN 'three' ELSE '' END AS category, 'notice' AS semantic FROM c""")
+def vocab_matcher(spark, d):
+    entries = [vocabulary.Entry(i, "android", c, "run", lv, ic, [p] if p else [], valid_to=to, flags=fl, source=[i]) for i, c, lv, ic, p, to, fl in _SITES]
+    r = R.assemble(_rendered(spark, d))
+    user = F.regexp_extract("raw", "user ([0-9]+)", 1).cast("int")
+    k = vocabulary.classify(r.withColumn("version", F.concat(F.lit("1."), (user % 5 + user % 3).cast("string"), F.lit(" (77)"))), entries)
+    rules = [{"match_class": "Sdkclick\\.run", "category": "input"}, {"match_class": "Sdk(view|signup)", "category": ""}, {"match_body_hint": "three", "category": "three"}]
+    m = vocabulary.Meanings(rules, {"3": "three"}, [{"platform": "android", "icon": "🔵️", "semantic": "notice", "valid_from": "1.0"}])
+    at = vocabulary.interpret(k.withColumn("raw", F.regexp_extract("raw", "[0-9]\\z", 0)), m)
+    klass = F.col("klass")
+    return at.select("capture_id", "seq", klass["status"].alias("status"), F.coalesce(F.get(klass["sites"], F.lit(0)), F.lit("")).alias("site"), F.coalesce(klass["confidence"], F.lit("")).alias("confidence"), F.coalesce("category", F.lit("")).alias("category"), klass["semantic"].alias("semantic"))

@@ -2,13 +2,15 @@
 
 Entries (id, class, method, level, icon, patterns, anchor, valid_from, valid_to, flags, semantic, family) are data,
 loaded from YAML or JSON. From each pattern's parse tree come its literal fragments; an automaton over the anchors
-proposes entries for a record, and their patterns decide. All of it runs in Arrow batches with the vocabulary
-broadcast; its size is checked against ``MAX_ENTRIES``. ``candidates_join`` is the same proposal step as a join.
+proposes entries for a record, and their patterns decide on its text as it is. Entries without an anchor are catch-alls,
+which only decide where no other entry does. All of it runs in Arrow batches with the vocabulary broadcast; its size is
+checked against ``MAX_ENTRIES``. Meanings (category, hints, icons) are column expressions over the result.
 
 Ties break on the position in the vocabulary."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from dataclasses import dataclass, field
@@ -23,7 +25,12 @@ DRIFT_SHARE, DRIFT_TOKENS = 0.60, 3
 CATCHALL_TIES, CATCHALL_SITES = 3, 6
 _EMOJI = re.compile("[\U0001f000-\U0001faff⌀-⏿☀-➿⬀-⯿‼⁉]")
 _SELECTORS = str.maketrans("", "", "︎️")
-_WORD = re.compile(r"[A-Za-z]{3,}")
+_WORD = re.compile(r"[A-Za-z0-9_]{3,}")
+_METHOD_TAIL = re.compile(r"(?:_block_invoke(?:_?\d+)?|\[λ\]|\$\d+)$")
+
+# Tags of the logging layer itself, and tags of bodies that applications write.
+HELPER_TAGS = ("TSLog", "Logger", "LoggerFacade", "LoggerFacade$Entry")
+BRIDGE_TAGS = {"ios": ("TSLocationManager", "log"), "android": ("Logger", "")}
 
 
 @dataclass
@@ -45,15 +52,9 @@ class Entry:
 
 
 def version_key(v: str | None) -> tuple[int, ...] | None:
-    if v is None or not re.search(r"\d", v):
-        return None
-    return tuple(([int(x) for x in re.findall(r"\d+", v)] + [0] * 4)[:4])
-
-
-def valid_in(e: Entry, version: str | None) -> bool:
-    v = version_key(version)
-    low, high = version_key(e.valid_from), version_key(e.valid_to)
-    return v is None or ((low is None or v >= low) and (high is None or v <= high))
+    """Four numbers of a version, without what follows in parentheses; None where there is none."""
+    numbers = re.findall(r"\d+", str(v).partition("(")[0]) if v is not None else []
+    return tuple(([int(x) for x in numbers] + [0] * 4)[:4]) if numbers else None
 
 
 def newest_version(versions: list[str]) -> str | None:
@@ -104,8 +105,8 @@ def fragments(pattern: str) -> list[tuple[str, bool]]:
     return out
 
 
-def qualifies(text: str) -> bool:
-    return len(re.sub(r"\s", "", text)) >= MIN_ANCHOR or bool(_EMOJI.search(text))
+def qualifies(text: str | None) -> bool:
+    return bool(text) and (len(text.strip()) >= MIN_ANCHOR or bool(_EMOJI.search(text)))
 
 
 def load_entries(path: str, platform: str) -> tuple[list[Entry], list[str]]:
@@ -131,6 +132,9 @@ def load_entries(path: str, platform: str) -> tuple[list[Entry], list[str]]:
             continue
         r = {("cls" if k == "class" else k): v for k, v in r.items()}
         known = {k: v for k, v in r.items() if k in Entry.__dataclass_fields__}
+        known = {k: v for k, v in known.items() if v is not None}
+        if "method" in known:
+            known["method"] = _METHOD_TAIL.sub("", known["method"])
         out.append(Entry(**{"platform": platform, **known}))
     return out, warn
 
@@ -141,145 +145,172 @@ def overlay(entries: list[Entry], sources: dict[str, list[str]]) -> None:
         e.source = list(sources.get(e.id, e.source))
 
 
+class Site:
+    """An entry made ready: compiled patterns, automaton keys, length of the longest literal, words, valid versions."""
+
+    def __init__(self, e: Entry):
+        self.entry = e
+        self.patterns = []
+        self.keys: set[str] = set()
+        self.words = set(_WORD.findall(e.anchor or ""))
+        self.low, self.high = version_key(e.valid_from), version_key(e.valid_to)
+        lengths = [0]
+        for p in e.patterns:
+            try:
+                self.patterns.append(re.compile(p, re.M | re.S))
+            except re.error:
+                continue
+            parts = fragments(p)
+            self.words.update(w for text, _ in parts for w in _WORD.findall(text))
+            sure = [text for text, ok in parts if ok]
+            lengths += [len(t.strip()) for t in sure]
+            longest = max(sure, key=len, default="").strip("\n")
+            if qualifies(longest):
+                self.keys.add(longest.translate(_SELECTORS))
+        if qualifies(e.anchor):
+            self.keys.add(e.anchor.translate(_SELECTORS))
+            lengths.append(len(e.anchor.strip()))
+        self.length = max(lengths)
+        self.passing = "passthrough" in e.flags
+        self.loose = not self.passing and ("builder-catchall" in e.flags or not self.keys)
+
+    def valid(self, v: tuple | None) -> bool:
+        return v is None or ((self.low is None or self.low <= v) and (self.high is None or v <= self.high))
+
+    def matches(self, raw: str) -> bool:
+        return any(p.search(raw) for p in self.patterns)
+
+    def agreement(self, level, icon) -> tuple[bool, bool]:
+        e = self.entry
+        return bool(e.level) and e.level == level, bool(e.icon) and e.icon == icon
+
+
 class Matcher:
     """Decides for one record at a time; made once per worker."""
 
-    def __init__(self, entries: list[Entry], rules: dict | None = None):
+    def __init__(self, entries: list[Entry]):
         import ahocorasick
 
         if len(entries) > MAX_ENTRIES:
             raise ValueError(f"{len(entries)} entries; at most {MAX_ENTRIES} are broadcast")
-        self.entries, self.rules = entries, rules or {}
-        self.compiled, self.length, self.tokens = [], [], []
-        self.automata: dict[str, object] = {}
-        self.exact: dict[tuple, list[int]] = {}
-        self.by_class: dict[tuple, list[int]] = {}
-        self.passing: dict[tuple, int] = {}
-        anchors: dict[str, dict[str, set[int]]] = {}
-        for i, e in enumerate(entries):
-            good = []
-            longest = 0
-            words: set[str] = set()
-            for p in e.patterns:
-                try:
-                    good.append(re.compile(p, re.M | re.S))
-                except re.error:
-                    continue
-                frags = fragments(p)
-                safe = [t.translate(_SELECTORS) for t, ok in frags if ok]
-                longest = max([longest, *map(len, safe)])
-                best = max((t for t in safe if qualifies(t)), key=len, default=None)
-                if best:
-                    anchors.setdefault(e.platform, {}).setdefault(best, set()).add(i)
-                words |= {w.lower() for t, _ in frags for w in _WORD.findall(t)}
-            if e.anchor and qualifies(e.anchor):
-                anchors.setdefault(e.platform, {}).setdefault(e.anchor.translate(_SELECTORS), set()).add(i)
-            self.compiled.append(good)
-            self.length.append(longest)
-            self.tokens.append(words)
-            if "passthrough" in e.flags:
-                self.passing.setdefault((e.platform, e.cls, e.method), i)
-                if not e.method:
-                    self.passing.setdefault((e.platform, e.cls, None), i)
-                continue
-            self.exact.setdefault((e.platform, e.cls, e.method), []).append(i)
-            self.by_class.setdefault((e.platform, e.cls), []).append(i)
-        for platform, table in anchors.items():
-            a = ahocorasick.Automaton()
-            for text, ids in table.items():
-                a.add_word(text, tuple(sorted(ids)))
+        self.sites = [Site(e) for e in entries]
+        self.at: dict[tuple, list[int]] = {}  # (platform, passing, class[, method])
+        self.loose: dict[str, list[int]] = {}
+        keys: dict[str, dict[str, list[int]]] = {}
+        for i, s in enumerate(self.sites):
+            e = s.entry
+            where = (e.platform, s.passing, e.cls or "")
+            for k in (where, (*where, e.method or "")):
+                self.at.setdefault(k, []).append(i)
+            if s.loose:
+                self.loose.setdefault(e.platform, []).append(i)
+            elif not s.passing:
+                for k in s.keys:
+                    keys.setdefault(e.platform, {}).setdefault(k, []).append(i)
+        self.automata = {}
+        for platform, table in keys.items():
+            a = self.automata[platform] = ahocorasick.Automaton()
+            for k, ids in table.items():
+                a.add_word(k, ids)
             a.make_automaton()
-            self.automata[platform] = a
+        self.versions: dict[str | None, tuple | None] = {}
 
-    def _catchall(self, i: int) -> bool:
-        return "builder-catchall" in self.entries[i].flags
+    def classify(self, r: dict) -> dict:
+        """status, sites, confidence, semantic, family, drift_of, cls, method of a record with platform, raw, tag_class,
+        tag_method, level, icon, version."""
+        platform, raw, cls, method = r["platform"], r["raw"], r["tag_class"] or "", r["tag_method"] or ""
+        version = r["version"]
+        if version not in self.versions:
+            if len(self.versions) > 10_000:
+                self.versions.clear()
+            self.versions[version] = version_key(version)
+        v = self.versions[version]
+        S, helper = self.sites, is_helper(cls)
+        here = (platform, True, cls)
+        for i in self.at.get((*here, method)) or self.at.get(here, ()):
+            if S[i].valid(v):
+                return _answer("passthrough", "exact", [S[i].entry], S[i].entry.source)
+        tag, begin = BRIDGE_TAGS.get(platform, ("", ""))
+        if tag and cls == tag and method.startswith(begin):
+            return _answer("passthrough", "exact", [], [])
 
-    def _proposed(self, platform: str, raw: str) -> list[int]:
         a = self.automata.get(platform)
-        return sorted({i for _, ids in a.iter(raw) for i in ids}) if a is not None else []
-
-    def _agreement(self, i: int, r: dict) -> tuple[int, int]:
-        e = self.entries[i]
-        tag = 0
-        if e.cls and e.cls == r["tag_class"]:
-            tag = 2 if e.method and e.method == r["tag_method"] else 1
-        return tag, int(bool(e.level) and e.level == r["level"]) + int(bool(e.icon) and e.icon == r["icon"])
-
-    def _verified(self, ids, r: dict) -> list[int]:
-        return [i for i in ids if valid_in(self.entries[i], r["version"]) and any(p.search(r["raw"]) for p in self.compiled[i])]
-
-    def _best(self, ids: list[int], r: dict) -> list[int]:
-        scored = [((self.length[i], *self._agreement(i, r)), i) for i in ids]
-        top = max(s for s, _ in scored)
-        return [i for s, i in scored if s == top]
+        found = sorted({i for _, ids in a.iter(raw.translate(_SELECTORS)) for i in ids}) if a is not None else []
+        found = [i for i in found if S[i].valid(v)]
+        here = (platform, False, cls)
+        near = []  # entries of the record's own tag
+        if cls and platform == "ios":
+            near = [i for i in self.at.get((*here, method), ()) if S[i].valid(v)]
+        if cls and not near and (platform == "ios" or not helper):
+            near = [i for i in self.at.get(here, ()) if S[i].valid(v)]
+
+        def tell(i: int) -> tuple[int, int, int]:
+            e = S[i].entry
+            own = 0 if not cls or helper or e.cls != cls else 2 if e.method and e.method == method else 1
+            return S[i].length, own, sum(S[i].agreement(r["level"], r["icon"]))
+
+        def best(pool, loose: bool) -> tuple[list[int], int]:
+            """The best of the pool's entries that match, and how many match."""
+            good = [i for i in pool if S[i].loose == loose and S[i].matches(raw)]
+            ranks = [tell(i) for i in good]
+            top = max(ranks, default=None)
+            return [i for i, x in zip(good, ranks) if x == top], len(good)
 
-    def classify(self, r: dict) -> dict:
-        """status, sites, confidence, semantic, family, drift_of of a record with platform, raw, tag_class, tag_method,
-        level, icon, version."""
-        p, c, m = r["platform"], r["tag_class"], r["tag_method"]
-        raw = r["raw"].translate(_SELECTORS)
-        r = {**r, "raw": raw}
-        for key in ((p, c, m), (p, c, None)):
-            if c is not None and key in self.passing:
-                return self._result("passthrough", [self.passing[key]])
-        bucket = self.exact.get((p, c, m)) or self.by_class.get((p, c), [])
-        helper = c is None or is_helper(c, m)
         group: list[int] = []
-        if p == "ios":
-            group = self._verified([i for i in bucket if not self._catchall(i)], r)
-            if not group:
-                group = self._verified([i for i in self._proposed(p, raw) if not self._catchall(i)], r)
+        if platform == "ios":
+            group = best(near, False)[0] or best(found, False)[0]
             if not group:
-                loose = self._verified([i for i in bucket if self._catchall(i)], r)
-                group = loose if len(loose) <= CATCHALL_TIES else []
+                last, n = best(near, True)
+                group = last if n <= CATCHALL_TIES else []
         else:
-            group = self._verified([i for i in self._proposed(p, raw) if not self._catchall(i)], r)
+            group = best(found, False)[0]
             if not group:
-                pool = [i for i in (self.by_class.get((p, c), []) if not helper else range(len(self.entries))) if self._catchall(i) and self.entries[i].platform == p]
-                need = 2 if helper else 1
-                pool = [i for i in pool if self._agreement(i, r)[1] >= need]
-                loose = self._verified(pool, r)
-                if loose:
-                    best = self._best(loose, r)
-                    sites = {(self.entries[i].cls, self.entries[i].method) for i in best}
-                    group = best if len(best) <= CATCHALL_TIES and len(sites) <= CATCHALL_SITES else []
+                if cls and not helper:
+                    pool = [i for i in near if any(S[i].agreement(r["level"], r["icon"])) or not (S[i].entry.level or S[i].entry.icon)]
+                else:
+                    pool = [i for i in self.loose.get(platform, ()) if S[i].valid(v) and all(S[i].agreement(r["level"], r["icon"]))]
+                last, _ = best(pool, True)
+                if len(last) <= CATCHALL_TIES and len({x for i in last for x in S[i].entry.source}) <= CATCHALL_SITES:
+                    group = last
         if group:
-            return self._result("matched", self._best(group, r))
-        near = self._drift(r, bucket)
-        if near is not None:
-            return {**self._result("drift", []), "drift_of": self.entries[near].id}
-        return self._result("unknown", [])
+            es = [S[i].entry for i in group]
+            return _answer("matched", "exact" if len(es) == 1 else "ambiguous", es, list(dict.fromkeys(x for e in es for x in e.source)) or [es[0].id])
+        pool = sorted({*near, *found})
+        if pool:
+            words, share, at = set(_WORD.findall(raw)), 0.0, None
+            for i in pool:
+                w = S[i].words
+                if len(w) >= DRIFT_TOKENS and (x := len(w & words) / len(w)) >= DRIFT_SHARE and x > share:
+                    share, at = x, S[i].entry
+            if at is not None:
+                return {**_answer("drift", "fuzzy", [at], at.source), "drift_of": at.id}
+        return _answer("unknown", None, [], [])
 
-    def _drift(self, r: dict, bucket: list[int]) -> int | None:
-        words = {w.lower() for w in _WORD.findall(r["raw"])}
-        best, at = 0.0, None
-        for i in sorted(set(bucket) | set(self._proposed(r["platform"], r["raw"]))):
-            t = self.tokens[i]
-            if len(t) >= DRIFT_TOKENS and (share := len(t & words) / len(t)) >= DRIFT_SHARE and share > best:
-                best, at = share, i
-        return at
 
-    def _result(self, status: str, ids: list[int]) -> dict:
-        es = [self.entries[i] for i in ids]
-        one = lambda xs: next(iter(xs)) if len(xs) == 1 else None
-        return {
-            "status": status, "sites": [e.id for e in es], "confidence": ("exact" if len(es) == 1 else "ambiguous") if es else None,
-            "semantic": one({e.semantic for e in es}), "family": one({e.family for e in es}), "drift_of": None,
-        }
+def _answer(status: str, confidence: str | None, entries: list[Entry], sites: list[str]) -> dict:
+    first = entries[0] if entries else None
+    same = lambda name: (getattr(first, name) or None) if len({getattr(e, name) for e in entries}) == 1 else None
+    return {
+        "status": status, "sites": list(sites), "confidence": confidence, "semantic": same("semantic"), "family": same("family"), "drift_of": None,
+        "cls": first.cls if first else None, "method": first.method if first else None,
+    }
 
 
-def is_helper(cls: str, method: str | None) -> bool:
-    """Tags of logging helpers, which say nothing about the site."""
-    return cls.startswith("LoggerFacade") or cls.endswith("$Entry") or (method or "") in ("log", "printLog")
+def is_helper(cls: str | None) -> bool:
+    """Tags of the logging layer, which say nothing about the site."""
+    return bool(cls) and (cls in HELPER_TAGS or cls.startswith("LoggerFacade") or cls.endswith("$Entry"))
 
 
-KLASS = "struct<status:string,sites:array<string>,confidence:string,semantic:string,family:string,drift_of:string>"
-_TYPE = pa.struct([("status", pa.string()), ("sites", pa.list_(pa.string())), ("confidence", pa.string()), ("semantic", pa.string()), ("family", pa.string()), ("drift_of", pa.string())])
-_MATCHERS: dict[int, Matcher] = {}
+KLASS = "struct<status:string,sites:array<string>,confidence:string,semantic:string,family:string,drift_of:string,cls:string,method:string>"
+_TYPE = pa.struct([("status", pa.string()), ("sites", pa.list_(pa.string())), *((n, pa.string()) for n in ("confidence", "semantic", "family", "drift_of", "cls", "method"))])
+_MATCHERS: dict[str, Matcher] = {}
 
 
-def _matcher(key: int, entries: list[Entry]) -> Matcher:
+def _matcher(key: str, entries: list[Entry]) -> Matcher:
+    """The worker's matcher of a vocabulary, by the digest of its entries; a few are kept."""
     if key not in _MATCHERS:
+        while len(_MATCHERS) >= 4:
+            _MATCHERS.pop(next(iter(_MATCHERS)))
         _MATCHERS[key] = Matcher(entries)
     return _MATCHERS[key]
 
@@ -288,15 +319,16 @@ def classify(records: DataFrame, entries: list[Entry], version: str = "version")
     """``records`` with ``klass``; needs platform, raw, tag_class, tag_method, level, icon and a version column."""
     spark: SparkSession = records.sparkSession
     shared = spark.sparkContext.broadcast(entries)
-    key = id(shared)
+    key = hashlib.sha256(repr(entries).encode()).hexdigest()
     needed = ["platform", "raw", "tag_class", "tag_method", "level", "icon"]
     at = {c: records.columns.index(c) for c in needed} | {"version": records.columns.index(version)}
+    unknown = _answer("unknown", None, [], [])
 
     def run(batches):
         m = _matcher(key, shared.value)
         for b in batches:
-            cols = {k: b.column(i).to_pylist() for k, i in at.items()}
-            rows = [m.classify({k: v[j] for k, v in cols.items()}) for j in range(b.num_rows)]
+            cols = [b.column(i).to_pylist() for i in at.values()]
+            rows = [m.classify(dict(zip(at, r))) if r[1] is not None else unknown for r in zip(*cols)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, _TYPE)], names=[*b.schema.names, "klass"])
 
     schema = records.select("*", F.lit(None).cast(KLASS).alias("klass")).schema
@@ -333,11 +365,6 @@ def candidates(texts: DataFrame, key: str, text: str, literals: list[tuple[int,
     return src.mapInArrow(run, f"key {src.dtypes[0][1]}, literal bigint")
 
 
-def candidates_join(texts: DataFrame, key: str, text: str, literals: DataFrame) -> DataFrame:
-    """The same by a join for small inputs; ``literals`` has (literal, s)."""
-    return texts.join(literals, F.col(text).contains(F.col("s"))).select(F.col(key).alias("key"), "literal")
-
-
 def token_share(texts: DataFrame, key: str, text: str, entries: DataFrame, share: float = DRIFT_SHARE, least: int = DRIFT_TOKENS) -> DataFrame:
     """(key, literal, share): entries (literal, s) of at least ``least`` distinct words, of which a text holds at least
     that share. Words meet by equality: no text meets an entry that it shares no word with."""
@@ -349,37 +376,86 @@ def token_share(texts: DataFrame, key: str, text: str, entries: DataFrame, share
     return hit.withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= share).select("key", "literal", "share")
 
 
-def category(rules: list[dict], cls, method, hint, semantic):
-    """First matching category rule: class pattern (anchored at the begin of 'class.method'), body hint, or semantic."""
-    site = F.concat_ws(".", cls, method)
-    out = None
+def category(rules: list[dict], cls, method, hints, semantic):
+    """Category of the first rule that holds. What decides a rule is its class pattern (at the begin of 'class.method'),
+    else its hint (one of ``hints``), else its pattern of the meaning."""
+    site = F.concat(F.coalesce(cls, F.lit("")), F.lit("."), F.coalesce(method, F.lit("")))
+    chain = []
     for r in rules:
-        cond = F.lit(True)
         if r.get("match_class"):
-            cond = cond & site.rlike(f"^(?:{r['match_class']})")
-        if r.get("match_body_hint"):
-            cond = cond & (hint == r["match_body_hint"])
-        if r.get("match_semantic"):
-            cond = cond & semantic.rlike(r["match_semantic"])
-        cond = F.coalesce(cond, F.lit(False))
-        out = F.when(cond, r["category"]) if out is None else out.when(cond, r["category"])
-    return F.lit(None).cast("string") if out is None else out
-
-
-def icon_meaning(rules: list[dict], platform, icon, version, what: str = "semantic"):
-    """Meaning of an icon by platform and version range: of the whole icon, else of its first character."""
+            cond = site.rlike(f"^(?:{r['match_class']})")
+        elif r.get("match_body_hint"):
+            cond = F.array_contains(hints, r["match_body_hint"])
+        elif r.get("match_semantic"):
+            cond = semantic.rlike(f"^(?:{r['match_semantic']})")
+        else:
+            continue
+        chain.append(F.when(cond, r["category"]))
+    return F.coalesce(*chain, F.lit(None).cast("string"))
+
+
+def icon_meaning(rules: list[dict], platform, icon, version):
+    """Meaning (semantic, family) of an icon by platform and version range: of the whole icon, else of its first character."""
     from ..functions.exprs import version_in
 
     def chain(c):
-        out = None
+        out = []
         for r in rules:
-            cond = F.coalesce((platform == r["platform"]) & (c == r["icon"]) & version_in(version, F.lit(r.get("valid_from")).cast("string"), F.lit(r.get("valid_to")).cast("string")), F.lit(False))
-            out = F.when(cond, r.get(what)) if out is None else out.when(cond, r.get(what))
-        return F.lit(None).cast("string") if out is None else out
+            ok = (platform == r["platform"]) & (c == r["icon"].translate(_SELECTORS).strip())
+            ok = ok & version_in(version, F.lit(r.get("valid_from")).cast("string"), F.lit(r.get("valid_to")).cast("string"))
+            out.append(F.when(ok, F.struct(F.lit(r.get("semantic")).cast("string").alias("semantic"), F.lit(r.get("family")).cast("string").alias("family"))))
+        return out
 
-    return F.coalesce(chain(icon), chain(F.left(icon, F.lit(1))))
+    return F.coalesce(*chain(icon), *chain(F.left(icon, F.lit(1))), F.lit(None).cast("struct<semantic:string,family:string>"))
 
 
 def body_hints(hints: dict[str, str], raw):
     """Names of all hint emoji that a record holds, in the hints' order."""
-    return F.array_compact(F.array(*(F.when(raw.contains(k), v) for k, v in hints.items()))) if hints else F.array().cast("array<string>")
+    plain = F.regexp_replace(raw, "[\ufe0e\ufe0f]", "")
+    found = [F.when(plain.contains(k.translate(_SELECTORS)), v) for k, v in hints.items()]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+
+
+@dataclass
+class Meanings:
+    """What icons, emoji in bodies and tags mean: rules, in order."""
+
+    categories: list[dict] = field(default_factory=list)
+    hints: dict[str, str] = field(default_factory=dict)
+    icons: list[dict] = field(default_factory=list)
+
+
+def load_meanings(path: str) -> tuple[Meanings, list[str]]:
+    """Meanings and warnings of a YAML or JSON file with categories, body_emoji_hints and icon_semantics by platform."""
+    try:
+        import yaml
+
+        with open(path, encoding="utf-8") as f:
+            data = yaml.safe_load(f) or {}  # JSON is YAML
+    except Exception as e:  # a missing or invalid file gives no rules and says so
+        return Meanings(), [f"{path}: {e}"]
+    warn, good = [], []
+    for r in data.get("categories") or []:
+        try:
+            if not isinstance(r, dict) or "category" not in r:
+                raise ValueError("no category")
+            for k in ("match_class", "match_semantic"):
+                re.compile(str(r.get(k) or ""))
+            good.append(r)
+        except (ValueError, re.error) as e:
+            warn.append(f"{path}: rule {r!r} left out: {e}")
+    icons = [{**r, "platform": p} for p, rs in (data.get("icon_semantics") or {}).items() for r in rs or [] if isinstance(r, dict) and "icon" in r]
+    return Meanings(good, {str(k): str(v) for k, v in (data.get("body_emoji_hints") or {}).items()}, icons), warn
+
+
+def interpret(classified: DataFrame, m: Meanings, version: str = "version") -> DataFrame:
+    """``classified`` with ``category``, and icons' meanings where ``klass`` has none. The matched entry's class and method
+    stand for a tag that is missing or of the logging layer."""
+    k, tag = F.col("klass"), F.coalesce("tag_class", F.lit(""))
+    plumbing = (tag == "") | tag.isin(*HELPER_TAGS) | tag.startswith("LoggerFacade") | tag.endswith("$Entry")
+    stand_in = plumbing & k["status"].isin("matched", "drift", "passthrough") & k["cls"].isNotNull()
+    cls, method = F.when(stand_in, k["cls"]).otherwise(F.col("tag_class")), F.when(stand_in, k["method"]).otherwise(F.col("tag_method"))
+    icon = icon_meaning(m.icons, F.col("platform"), F.col("icon"), F.col(version))
+    out = classified.withColumn("category", category(m.categories, cls, method, body_hints(m.hints, F.col("raw")), k["semantic"]))
+    filled = k.withField("semantic", F.coalesce(k["semantic"], icon["semantic"])).withField("family", F.coalesce(k["family"], icon["family"]))
+    return out.withColumn("klass", filled)
