@@ -424,6 +424,10 @@ def test_cross_parser_against_a_plain_parse():
     ts = ["".join(rnd.choice("abcxyz dq") for _ in range(rnd.randint(1, 90))) for _ in range(50)]
     seqs = [langid._code_points(t) for t in ts]
     got = p.phrases(seqs, 10**6)
+    sparse = langid.CrossParser(samples, 0)
+    assert sparse.dense is None and p.dense is not None
+    for block in (1, 2, 7, 64):
+        assert (p.phrases(seqs, block) == got).all() and (sparse.phrases(seqs, block) == got).all()
     for k, lang in enumerate(p.langs):
         known = "".join(map(chr, langid._code_points(samples[lang])))
         for j, s in enumerate(seqs):
@@ -436,6 +440,25 @@ def test_cross_parser_against_a_plain_parse():
             assert got[k, j] == n, (lang, t)
 
 
+def test_cross_parser_blocks_and_memory():
+    rnd = random.Random(5)
+    p = langid.CrossParser({"a": "a" * 40 + "".join(rnd.choice("abc ") for _ in range(3000)), "b": "ab" * 30 + "".join(rnd.choice("abd ") for _ in range(3000)), "none": ""})
+    ts = ["a" * 5000, "ab" * 2500, "".join(rnd.choice("abcd ") for _ in range(9000)), "x" * 1500, "a", ""]
+    seqs = [langid._code_points(t) for t in ts]
+    want = p.phrases(seqs, 10**6)
+    assert (p.phrases(seqs, 512) == want).all() and (p.phrases(seqs, 100) == want).all()
+    wide = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(32_000))
+    p = langid.CrossParser({"wide": wide})
+    assert p.symbols > 2900 and p.dense is None and p.moves.keys.nbytes + p.moves.targets.nbytes + p.first.nbytes < 20_000_000
+    assert p.phrases([langid._code_points(wide[:5000])], 512).tolist() == [[1]]
+
+
+def test_language_samples_are_of_different_texts_and_places(spark):
+    ts = ["same opening " * 200 + f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 300 for i in range(40)] + ["copy of a text"] * 60
+    s = langid.learn(documents(spark, ts))["en"]
+    assert s.count("copy of a text") <= 1 and sum(f"word{c}" in s for c in "abcdefghij") >= 3
+
+
 def test_language_id(spark):
     vocab = {"en": ["the", "and", "house", "running", "with"], "de": ["der", "und", "haus", "laufen", "mit"], "fr": ["le", "et", "maison", "courir", "avec"]}
     rnd = random.Random(9)

@@ -5,11 +5,14 @@ longest phrases that occur in the language's sample (a longest match, then one f
 sample predicts the text well. The cost of a language is phrases * log2(sample length), normalised by the text's
 length; the cheapest language wins, ties go to the smaller label.
 
-The automaton's transitions are one dense table, in which a failing transition already holds the state that the next
-phrase begins with, marked by the top bit. Texts are parsed in blocks of ``block`` characters, many blocks and all
-languages at a time, with one table look-up per character and language. A phrase ends at a block's end.
+The automata's transitions are one hash table of (state, symbol), whose size grows with the transitions only; a letter
+that has none begins the next phrase. Where states times symbols are few (``dense_cells``), the table is spelled out, as
+one look-up is faster; the result is the same. Texts are parsed in blocks of ``block`` characters, many blocks and all languages
+at a time. Each block is first parsed on its own; then the phrase that is open at its begin is carried on until a phrase
+begins where one began before, from where on both parses agree. So the blocks don't show in the result.
 
-Sample bound: ``train_chars`` characters per language, from the ``train_docs`` labelled texts of the least hash.
+Sample bound: ``train_chars`` characters per language, from different texts among the ``train_docs`` labelled ones of
+the least hash, each from a place in the text that its hash names.
 
 Defined cases: a null text, or one without a letter, gives ``und`` and score 0; no labelled rows at all give ``und``
 for every row; an empty table gives an empty result; equal rows get equal results; other columns are not read.
@@ -85,36 +88,86 @@ class SuffixAutomaton:
         self.next = nxt
 
 
+class Transitions:
+    """(state, symbol) -> state, in an open hash table of at most a quarter load."""
+
+    _EMPTY = np.uint64(2**64 - 1)
+
+    def __init__(self, keys: np.ndarray, targets: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys = np.full(1 << bits, self._EMPTY, dtype=np.uint64)
+        self.targets = np.zeros(1 << bits, dtype=np.uint32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            some = left[self.keys[at[left]] == self._EMPTY]
+            slots, who = np.unique(at[some], return_index=True)  # one key takes a free slot
+            self.keys[slots], self.targets[slots] = keys[some[who]], targets[some[who]]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The states of ``keys``; those of ``other`` where there is none."""
+        at = self._slot(keys)
+        seen = self.keys[at]
+        out = np.where(seen == keys, self.targets[at], other)
+        more = np.nonzero((seen != keys) & (seen != self._EMPTY))
+        while len(more[0]):
+            at[more] = (at[more] + 1) & self.mask
+            seen = self.keys[at[more]]
+            hit = seen == keys[more]
+            found = tuple(m[hit] for m in more)
+            out[found] = self.targets[at[found]]
+            go = ~hit & (seen != self._EMPTY)
+            more = tuple(m[go] for m in more)
+        return out
+
+
 class CrossParser:
-    """Languages' automata in one dense table."""
+    """Languages' automata in one table."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], dense_cells: int = 1 << 24):
         self.langs = sorted(samples)
         seqs = [_code_points(samples[x]) for x in self.langs]
         known = np.unique(np.concatenate([*seqs, np.zeros(1, np.uint32)]))  # 0, the gap, comes first
         self.symbols = len(known) + 1  # the last stands for all other letters
         self.lut = np.full(sys.maxunicode + 1, len(known), dtype=np.uint8 if self.symbols < 256 else np.uint32)
         self.lut[known] = np.arange(len(known))
-        rows, roots, base = [], [], 0
-        for seq in seqs:
+        keys, targets, between, base = [], [], [], 0
+        self.first = np.zeros((len(seqs), self.symbols), dtype=np.uint32)  # the state that a phrase's first letter leads to
+        for k, seq in enumerate(seqs):
             auto = SuffixAutomaton(self.lut[seq].tolist())
-            n, width = len(auto.next), self.symbols
-            t = np.full((n + 1, width), -1, dtype=np.int64)
-            for s, m in enumerate(auto.next):
-                if m:
-                    t[s, list(m)] = [(base + x) * width for x in m.values()]
-            # the last row stands between phrases: the next letter begins one. A letter that never occurs leads back to it
-            between = (base + n) * width
-            first = np.where(t[0] < 0, between, t[0])
-            rows.append(np.where(t < 0, first[None, :] | int(_FLAG), t).astype(np.uint32))
-            roots.append(between)
+            n = len(auto.next)
+            keys.append(np.array([(base + i) * self.symbols + c for i, m in enumerate(auto.next) for c in m], dtype=np.uint64))
+            targets.append(np.array([base + x for m in auto.next for x in m.values()], dtype=np.uint32))
+            # one more state stands between phrases: the next letter begins one. A letter that never occurs leads back to it
+            between.append(base + n)
+            self.first[k] = base + n
+            for c, x in auto.next[0].items():
+                self.first[k, c] = base + x
             base += n + 1
-        self.table = np.concatenate(rows).ravel() if rows else np.zeros(0, np.uint32)
-        if len(self.table) >= int(_FLAG):
+        if base >= int(_FLAG):
             raise ValueError("the samples are too large for 31-bit states")
-        self.roots = np.array(roots, dtype=np.uint32)
+        self.first |= _FLAG
+        self.moves = Transitions(np.concatenate([*keys, np.zeros(0, np.uint64)]), np.concatenate([*targets, np.zeros(0, np.uint32)]))
+        self.roots = np.array(between, dtype=np.uint32)
+        self.dense = None
+        if base * self.symbols <= dense_cells:
+            ends = [0, *(int(r) + 1 for r in self.roots)]
+            spans = [np.arange(a * self.symbols, b * self.symbols, dtype=np.uint64) for a, b in zip(ends, ends[1:])]
+            rows = [self.moves.get(x, np.tile(f, len(x) // self.symbols)) for x, f in zip(spans, self.first)]
+            self.dense = np.concatenate([*rows, np.zeros(0, np.uint32)])
         self.bits = np.array([math.log2(max(2, len(s))) for s in seqs])
 
+    def _step(self, state: np.ndarray, codes: np.ndarray, langs) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense[state * np.uint32(self.symbols) + codes]
+        return self.moves.get(state.astype(np.uint64) * np.uint64(self.symbols) + codes.astype(np.uint64), self.first[langs, codes])
+
     def phrases(self, texts: list[np.ndarray], block: int) -> np.ndarray:
         """Phrases per language (rows) and text (columns); texts as code points."""
         out = np.zeros((len(self.langs), len(texts)), dtype=np.int64)
@@ -128,16 +181,55 @@ class CrossParser:
         start = np.repeat(np.cumsum(lens) - lens, nb) + within * block
         size = np.minimum(block, np.repeat(lens, nb) - within * block)
         order = np.argsort(-size, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        before = np.where(within[order] > 0, place[order - 1], -1)  # the block that a block goes on from
         owner, start, size = owner[order], start[order], size[order]
         active = len(size) - np.searchsorted(size[::-1], np.arange(1, int(size[0]) + 1), "left")
         state = np.repeat(self.roots[:, None], len(size), axis=1)
-        count = np.zeros(state.shape, dtype=np.int32)
-        table = self.table
+        count = np.zeros(state.shape, dtype=np.int64)
+        begins = []
         for t in range(int(size[0])):
             a = active[t]
-            nxt = table[state[:, :a] + codes[start[:a] + t]]
-            count[:, :a] += (nxt >> 31).astype(np.int32)
+            c = codes[start[:a] + t]
+            nxt = self._step(state[:, :a], c, slice(None))
+            begins.append(nxt >= _FLAG)
+            count[:, :a] += begins[-1]
             state[:, :a] = nxt & ~_FLAG
+        # carry open phrases over the begins of blocks; again where a block's end changed by that, up to no change
+        alone, extra = state.copy(), np.zeros_like(count)
+        given = np.repeat(self.roots[:, None], len(size), axis=1)
+        lanes = np.flatnonzero(before >= 0)
+        while True:
+            ends = state[:, before[lanes]]
+            k, j = np.nonzero(ends != given[:, lanes])
+            lane, now = lanes[j], ends[k, j]
+            if not len(lane):
+                break
+            given[k, lane] = now
+            by_size = np.argsort(lane, kind="stable")
+            k, lane, now = k[by_size], lane[by_size], now[by_size]
+            more, met = np.zeros(len(lane), np.int64), np.zeros(len(lane), bool)
+            state[k, lane] = alone[k, lane]  # unless the carried parse gets to the end
+            for t in range(int(size[lane[0]]) + 1):
+                ended = size[lane] <= t if size[lane[-1]] <= t else None
+                if ended is not None or t % 16 == 0:
+                    if ended is not None:
+                        state[k[ended], lane[ended]] = now[ended]
+                    out_of = met if ended is None else met | ended
+                    extra[k[out_of], lane[out_of]] = more[out_of]
+                    go = ~out_of
+                    k, lane, now, more, met = k[go], lane[go], now[go], more[go], met[go]
+                    at = start[lane]
+                    if not len(lane):
+                        break
+                nxt = self._step(now, codes[at + t], k)
+                mine, own = nxt >= _FLAG, begins[t][k, lane]
+                more += mine
+                more -= own
+                met |= mine & own
+                now = nxt & ~_FLAG
+        count += extra
         for k in range(len(self.langs)):
             out[k] = np.bincount(owner, weights=count[k], minlength=len(texts)).astype(np.int64)
         return out
@@ -170,7 +262,8 @@ class CrossParser:
 
 
 def training_samples(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int, train_chars: int) -> dict[str, str]:
-    """Text per language: of the rows of least hash, at most ``train_docs`` rows and ``train_chars`` characters."""
+    """Text per language: of the rows of least hash, different texts of at most ``train_docs`` rows and ``train_chars``
+    characters, from a place in each text that its hash names."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     key = F.xxhash64(F.col(id_col).cast("string"))
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
@@ -182,7 +275,10 @@ def training_samples(labelled: DataFrame, id_col: str, text_col: str, lang_col:
         chance = chance.when(F.col(lang_col) == lang, min(1.0, 3.0 * train_docs / n))
     some = rows.where(F.pmod(key, F.lit(1 << 30)) <= chance * float(1 << 30))
     each = max(1, train_chars // train_docs)
-    picked = some.select(F.col(lang_col).alias("g"), key.alias("k"), F.substring(text_col, 1, 4 * each).alias("t")).collect()
+    room = F.greatest(F.lit(1), F.char_length(text_col) - 4 * each + 1)
+    at = (F.pmod(F.xxhash64(text_col), room) + 1).cast("int")
+    cut = some.select(F.col(lang_col).alias("g"), key.alias("k"), F.substring(F.col(text_col), at, F.lit(4 * each)).alias("t"))
+    picked = cut.groupBy("g", "t").agg(F.min("k").alias("k")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: (r.g, r.k, r.t)):
         got = out.setdefault(r.g, [])
