@@ -331,8 +331,12 @@ def test_arc_versions_and_conversion():
         assert desc.version == v and off > 0 and rec.body == body and rec.url.startswith("http://x/%20y") and rec.date == "20200102030405"
         (h, block), = warc.read_warc(warc.convert(rec))
         assert h["WARC-Type"] == "response" and block == body and h["WARC-Date"] == "2020-01-02T03:04:05Z" and h["WARC-Payload-Digest"] == "sha1:" + warc.base32_sha1(b"abc")
-        (h, block), = warc.read_warc(warc.convert(rec, "4"))
+        url, earlier = warc.quoted("http://x/fïrst"), "20200101000000"
+        (_, one), = list(warc.read_arc(warc.gzip_member(warc.arc_header(v, "b", earlier)) + warc.gzip_member(warc.arc_record(v, "http://x/fïrst", earlier, body.replace(b"Row: 5", b"Row: 4"), "b", 9))))[1:]
+        (to, _), = warc.read_warc(warc.convert(one))
+        (h, block), = warc.read_warc(warc.convert(rec, (4, url, earlier)))
         assert h["WARC-Type"] == "revisit" and h[warc.ROW_OF] == "4" and block == body[:-3]
+        assert (h["WARC-Refers-To"], h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"]) == (to["WARC-Record-ID"], to["WARC-Target-URI"], to["WARC-Date"])
         assert next(warc.read_warc(warc.convert(desc)))[0]["WARC-Type"] == "warcinfo"
     cut = warc.arc_header(1, "a", "2020") + warc.arc_record(1, "http://x", "2020", body, "a", 0)[:-6]
     assert list(warc.read_arc(cut))[1][1].truncated

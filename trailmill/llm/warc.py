@@ -89,8 +89,13 @@ def arc_header(version: int, name: str, date: str) -> bytes:
     return f"filedesc://{name} 0.0.0.0 {date} text/plain 200 - - 0 {name} {len(lines)}\n".encode() + lines + b"\n"
 
 
+def quoted(url: str) -> str:
+    """A URL as ARC header lines hold it, without blanks."""
+    return quote(url, safe="%/:=&?~#+!$,;'@()*[]") or "about:blank"
+
+
 def arc_record(version: int, url: str, date: str, body: bytes, name: str, offset: int, content_type: str = "text/html", ip: str = "0.0.0.0") -> bytes:
-    url = quote(url, safe="%/:=&?~#+!$,;'@()*[]") or "about:blank"
+    url = quoted(url)
     if version == 1:
         head = f"{url} {ip} {date} {content_type} {len(body)}\n"
     else:
@@ -164,8 +169,9 @@ def warc_record(kind: str, headers: list[tuple[str, str]], block: bytes) -> byte
     return ("WARC/1.0\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
-def convert(r: ArcRecord, refers_to: str | None = None) -> bytes:
-    """The WARC record of an ARC record; a revisit of row ``refers_to`` if given."""
+def convert(r: ArcRecord, refers_to: tuple[int, str, str] | None = None) -> bytes:
+    """The WARC record of an ARC record; a revisit of the record of equal payload with ``refers_to`` (row, URL, date as
+    in its ARC header) if given."""
     date = iso_date(r.date)
     if r.url.startswith("filedesc://"):
         info = f"software: trailmill\r\nformat: WARC File Format 1.0\r\nconverted-from: ARC {r.version}\r\n".encode()
@@ -180,7 +186,9 @@ def convert(r: ArcRecord, refers_to: str | None = None) -> bytes:
         return warc_record("resource", [*head, ("Content-Type", r.content_type or "application/octet-stream")], r.body)
     head.append(("Content-Type", "application/http; msgtype=response"))
     if refers_to is not None:
-        return warc_record("revisit", [*head, ("WARC-Profile", PROFILE), (ROW_OF, refers_to)], header)
+        of, url, then = str(refers_to[0]), refers_to[1], iso_date(refers_to[2])
+        link = [("WARC-Refers-To", record_id(url, then, digest, of)), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", then)]
+        return warc_record("revisit", [*head, ("WARC-Profile", PROFILE), *link, (ROW_OF, of)], header)
     return warc_record("response", head, r.body)
 
 
@@ -205,7 +213,7 @@ def read_warc(data: bytes):
 
 
 def write_arcs(pages: DataFrame, out: str, id_col: str, url_col: str, text_col: str, date: str = "20200101000000", bytes_per_archive: int = 8_000_000) -> DataFrame:
-    """Write rows as ARC archives in ``out``; (arc, off, row, digest): one row per record. Versions alternate."""
+    """Write rows as ARC archives in ``out``; (arc, off, row, digest, url, date): one row per record. Versions alternate."""
 
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -214,7 +222,7 @@ def write_arcs(pages: DataFrame, out: str, id_col: str, url_col: str, text_col:
         def close():
             nonlocal members, size, index, n
             write_file(f"{out}/{part:06d}-{n:06d}.arc.gz", b"".join(members))
-            table = pa.RecordBatch.from_arrays([pa.array([x[i] for x in index], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["arc", "off", "row", "digest"])
+            table = pa.RecordBatch.from_arrays([pa.array([x[i] for x in index], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["arc", "off", "row", "digest", "url", "date"])
             n, members, size, index = n + 1, [], 0, []
             return table
 
@@ -230,7 +238,7 @@ def write_arcs(pages: DataFrame, out: str, id_col: str, url_col: str, text_col:
                 row = "" if i.as_py() is None else str(i.as_py())
                 body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{ROW}: {row}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
                 m = gzip_member(arc_record(version, u.as_py() or "about:blank", date, body, name, size))
-                index.append((f"{out}/{name}", size, i.as_py(), base32_sha1(payload)))
+                index.append((f"{out}/{name}", size, i.as_py(), base32_sha1(payload), quoted(u.as_py() or "about:blank"), date))
                 members.append(m)
                 size += len(m)
                 raw += len(body)
@@ -240,16 +248,19 @@ def write_arcs(pages: DataFrame, out: str, id_col: str, url_col: str, text_col:
             yield close()
 
     src = pages.select(F.col(id_col).cast("bigint").alias("i"), F.col(url_col).alias("u"), F.col(text_col).alias("t"))
-    return src.mapInArrow(run, "arc string, off bigint, row bigint, digest string")
+    return src.mapInArrow(run, "arc string, off bigint, row bigint, digest string, url string, date string")
 
 
 def convert_archives(index: DataFrame, out: str, min_bytes: int = 0) -> DataFrame:
-    """Convert the archives of ``index`` (arc, off, row, digest); one row (warc, records) per archive.
+    """Convert the archives of ``index`` (arc, off, row, digest, url, date); one row (warc, records) per archive.
 
     Of equal payloads the smallest row stays a response. An archive holds a bounded number of bytes, so the list of
     its records is bounded too."""
-    first = index.groupBy("digest").agg(F.min("row").alias("first"))
-    decided = index.join(first, "digest").select("arc", "off", F.when(F.coalesce(F.col("row") != F.col("first"), F.col("first").isNotNull()), F.col("first")).alias("of"))
+    # null where no record has a row: such records stay responses
+    named = F.when(F.col("row").isNotNull(), F.struct("row", "url", "date"))
+    first = index.groupBy("digest").agg(F.min(named).alias("first"))
+    same = F.col("row").eqNullSafe(F.col("first.row"))
+    decided = index.join(first, "digest").select("arc", "off", F.when(~same, F.col("first")).alias("of"))
     per = decided.groupBy("arc").agg(F.collect_list(F.when(F.col("of").isNotNull(), F.struct("off", "of"))).alias("of"))
 
     def run(batches):
@@ -257,13 +268,13 @@ def convert_archives(index: DataFrame, out: str, min_bytes: int = 0) -> DataFram
             paths, counts = [], []
             for arc, of in zip(*b.columns):
                 name = arc.as_py()
-                refers = {x["off"]: x["of"] for x in of.as_py()}
+                refers = {x["off"]: tuple(x["of"][c] for c in ("row", "url", "date")) for x in of.as_py()}
                 members = []
                 for off, r in read_arc(read_file(name)):
                     target = refers.get(off)
                     parts = http_parts(r.body)
                     small = parts is not None and len(parts[1]) < min_bytes
-                    members.append(gzip_member(convert(r, None if target is None or small else str(target))))
+                    members.append(gzip_member(convert(r, None if target is None or small else target)))
                 path = f"{out}/{name.rsplit('/', 1)[1].removesuffix('.arc.gz')}.warc.gz"
                 write_file(path, b"".join(members))
                 paths.append(path)
