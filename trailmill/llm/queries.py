@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lm_score, neardup_vectors, pieces, pii, sharding, simhash, training_order, warc
+from . import conversations, decontam, langid, lexical, lm_score, mixing, neardup_vectors, pieces, pii, sharding, simhash, training_order, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_lm_score": lm_score.op9_lm_score,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+        "op11_conversation_repair": conversations.op11_conversation_repair,
+        "op12_lexical_search": lexical.op12_lexical_search,
+        "op13_mixing": mixing.op13_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": decontam.SQL, "op2_embedding_near_dedup": neardup_vectors.SQL, "op5_warc": warc.SQL, "op9_lm_score": lm_score.SQL}
+    return {"op1_benchmark_decontamination": decontam.SQL, "op2_embedding_near_dedup": neardup_vectors.SQL, "op5_warc": warc.SQL, "op9_lm_score": lm_score.SQL, "op12_lexical_search": lexical.SQL, "op13_mixing": mixing.SQL}
