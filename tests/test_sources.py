@@ -141,7 +141,7 @@ def test_analysis_end_to_end(spark, folder):
     text = sinks.digest(res.tables, one)
     assert text == sinks.digest(res.tables, one) and "suspension" in text and text.count("\n") < 250
     doc = sinks.layer_document(res.features, one)
-    assert {"fixes", "track", "auth"} <= set(doc) and len(doc["fixes"]["features"]) == 3
+    assert {"fixes", "track"} <= set(doc) and "auth" not in doc and len(doc["fixes"]["features"]) == 3
     page = sinks.map_page({"x</script>": {"features": []}}, "<t>")
     assert "</script>\":" not in page and "http://www.w3.org" in page and "src=" not in page
 

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import seconds_between
+from . import scan
+from .shared import written
+
+#: Dyadic ranges reach over 2 ** _LEVELS bounds of a stream.
+_LEVELS = 40
 
 
 def neighbours(events: DataFrame, fixes: DataFrame, by: list[str], ts: str, tie: list[str], payload: list[str]) -> DataFrame:
@@ -93,15 +98,46 @@ def count_within(left: DataFrame, right: DataFrame, by: list[str], key: list[str
     return d.where("__s <> 0").groupBy(*by, *key).agg(F.sum(F.col("__c") * F.col("__s")).cast("bigint").alias("n"))
 
 
-def longest_in(sessions: DataFrame, gaps: DataFrame, by: list[str], key: str, low: Column, high: Column, at: str, size: str, payload: list[str]) -> DataFrame:
-    """``sessions`` with the ``payload`` of the longest gap whose ``at`` lies in [low, high); ties take the earliest.
-    Both sides hold few rows per capture; the join is on the capture."""
-    g = gaps.select(*by, *(F.col(c).alias(f"__{c}") for c in dict.fromkeys([at, size, *payload])))
-    s = sessions.withColumn("__lo", low).withColumn("__hi", high)
-    d = s.join(g, by).where((F.col(f"__{at}") >= F.col("__lo")) & (F.coalesce(F.col(f"__{at}") < F.col("__hi"), F.lit(True))))
-    w = Window.partitionBy(*by, key).orderBy(F.desc(f"__{size}"), f"__{at}")
-    best = d.withColumn("__r", F.row_number().over(w)).where("__r = 1").select(*by, key, *(F.col(f"__{c}").alias(f"gap_{c}") for c in payload))
-    return sessions.join(best, [*by, key], "left")
+def count_between(left: DataFrame, right: DataFrame, by: list[str], key: list[str], low: str, high: str, at: str, large: bool = False) -> DataFrame:
+    """(by, key, n): rows of ``right`` with ``at`` in [low, high] of each row of ``left``; intervals may overlap.
+
+    A sweep: bounds and rows are sorted together, a running count says how many rows lie before each bound, and the
+    difference is the answer. ``large`` deals the sweep in segments."""
+    mark = lambda c, kind: left.select(*by, *key, F.col(c).alias("__at"), F.lit(kind).alias("__kind"))
+    rows = right.where(F.col(at).isNotNull()).select(*by, *(F.lit(None).cast(left.schema[k].dataType).alias(k) for k in key), F.col(at).alias("__at"), F.lit(1).alias("__kind"))
+    order = ["__at", "__kind"]
+    d = mark(low, 0).union(rows).union(mark(high, 2))
+    # equal places are rows of one kind, whose counts don't show until the bound after them
+    d = scan.run(scan.deal(d, by, order) if large else d, by, order, __c=scan.total((F.col("__kind") == 1).cast("int")))
+    return d.where("__kind <> 1").groupBy(*by, *key).agg(F.sum(F.col("__c") * (F.col("__kind") - 1)).cast("bigint").alias("n"))
+
+
+def longest_in(sessions: DataFrame, gaps: DataFrame, by: list[str], key: str, low: Column, high: Column, at: str, size: str, payload: list[str], large: bool = False) -> DataFrame:
+    """``sessions`` with the ``payload`` of the longest gap whose ``at`` lies in [low, high), unbounded if ``high`` is null;
+    ties take the earliest; intervals may overlap.
+
+    A sweep assigns each gap to the piece between two neighbouring bounds. Pieces are summed up over dyadic ranges, and each
+    interval asks for the few ranges that it consists of: joins are on (by, level, range), and no interval meets all gaps."""
+    order = ["__at", "__kind"]
+    sessions = written(sessions, "intervals") if large else sessions
+    s = sessions.select(*by, key, low.alias("__lo"), high.alias("__hi"))
+    bounds = s.select(*by, F.explode(F.array("__lo", "__hi")).alias("__at")).where(F.col("__at").isNotNull()).distinct().withColumn("__kind", F.lit(0))
+    rows = gaps.where(F.col(at).isNotNull()).select(*by, F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.struct(F.col(size).alias("size"), F.struct(*(F.col(c).alias(c) for c in payload)).alias("of")).alias("__gap"))
+    d = bounds.unionByName(rows, allowMissingColumns=True)
+    d = scan.run(scan.deal(d, by, order) if large else d, by, order, __piece=scan.total((F.col("__kind") == 0).cast("int")))
+    early = F.min(F.struct((-F.col("__gap.size")).alias("less"), F.col("__at").alias("at"), F.col("__gap.of").alias("of")))
+    pieces = d.where("__kind = 1").groupBy(*by, "__piece").agg(early.alias("__best"))
+    levels = F.sequence(F.lit(0), F.lit(_LEVELS))
+    up = pieces.withColumn("__level", F.explode(levels)).groupBy(*by, "__level", F.expr("shiftright(__piece, __level)").alias("__range")).agg(F.min("__best").alias("__best"))
+    number = d.where("__kind = 0").select(*by, "__at", "__piece")
+    lo, hi = number.withColumnsRenamed({"__at": "__lo", "__piece": "__a"}), number.withColumnsRenamed({"__at": "__hi", "__piece": "__b"})
+    asked = s.join(lo, [*by, "__lo"]).join(hi, [*by, "__hi"], "left").withColumn("__b", F.coalesce("__b", F.lit(1 << _LEVELS).cast("bigint")))
+    # at each level: the range at the left end if its number is odd, the one at the right end if that is
+    asked = asked.withColumn("__level", F.explode(levels)).withColumn("__l", F.expr("shiftright(__a + shiftleft(1L, __level) - 1, __level)")).withColumn("__r", F.expr("shiftright(__b, __level)"))
+    ends = F.array(F.when(F.col("__l") % 2 == 1, F.col("__l")), F.when((F.col("__r") % 2 == 1) & (F.col("__r") - 1 >= F.col("__l") + F.col("__l") % 2), F.col("__r") - 1))
+    asked = asked.where("__l < __r").withColumn("__range", F.explode(F.array_compact(ends)))
+    got = asked.join(up, [*by, "__level", "__range"]).groupBy(*by, key).agg(F.min("__best").alias("__best"))
+    return sessions.join(got.select(*by, key, *(F.col("__best.of")[c].alias(f"gap_{c}") for c in payload)), [*by, key], "left")
 
 
 def neighbour_within(left: DataFrame, marks: DataFrame, by: list[str], seq: str, ts: str, rows: int = 60, seconds: float = 15.0) -> DataFrame:

@@ -2,7 +2,8 @@
 
 ``by`` are the columns of a capture (one ordered stream), ``order`` its order. Every operator is one exchange on
 ``by``; several on the same ``by`` and ``order`` share it. Order is explicit everywhere, so results don't depend on how
-rows are dealt to tasks.
+rows are dealt to tasks. Operators that say so take a table dealt in segments (``scan.deal``) too: then no task holds a
+whole capture.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.exprs import haversine_m, seconds_between
+from . import scan
 
 
 def window(by: list[str], order: list[str]) -> WindowSpec:
@@ -34,21 +36,34 @@ def islands(starts: Column, by: list[str], order: list[str]) -> Column:
 
 def gaps(df: DataFrame, by: list[str], order: list[str], ts: str, at_least: float) -> DataFrame:
     """Silences between consecutive timed rows of at least so many seconds: one row per gap, the row after it with
-    ``start`` (the time before) and ``gap_s``."""
-    w = window(by, order)
-    d = df.where(F.col(ts).isNotNull()).withColumn("start", F.lag(ts).over(w))
+    ``start`` (the time before) and ``gap_s``. Takes segments."""
+    d = scan.run(df.where(F.col(ts).isNotNull()), by, order, start=scan.previous(F.col(ts)))
     return d.withColumn("gap_s", seconds_between(F.col("start"), F.col(ts))).where(F.col("gap_s") >= at_least)
 
 
+def _seen(rows: Column, within: float) -> Column:
+    """True if a flag holds in ``rows`` (t, f) before one that is more than ``within`` seconds after the first."""
+    late = F.transform(rows, lambda x: F.coalesce(x["t"] - rows[0]["t"] > int(within * 1e6), F.lit(False)))
+    first_late = F.array_position(late, F.lit(True))
+    kept = F.when(first_late > 0, F.slice(rows, F.lit(1), (first_late - 1).cast("int"))).otherwise(rows)
+    return F.exists(kept, lambda x: x["f"])
+
+
+def _timed(ts: str, flag: Column) -> Column:
+    return F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.coalesce(flag, F.lit(False)).alias("f"))
+
+
 def lookahead(df: DataFrame, by: list[str], order: list[str], ts: str, flag: Column, rows: int = 8, within: float = 60.0) -> Column:
     """True if ``flag`` holds in this or one of the next rows, at most ``rows`` in all; the look ends at the first row
     more than ``within`` seconds later. Rows without a time pass."""
     w = window(by, order).rowsBetween(0, rows - 1)
-    ahead = F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.coalesce(flag, F.lit(False)).alias("f"))).over(w)
-    late = F.transform(ahead, lambda x: F.coalesce(x["t"] - ahead[0]["t"] > int(within * 1e6), F.lit(False)))
-    first_late = F.array_position(late, F.lit(True))
-    kept = F.when(first_late > 0, F.slice(ahead, F.lit(1), (first_late - 1).cast("int"))).otherwise(ahead)
-    return F.exists(kept, lambda x: x["f"])
+    return _seen(F.collect_list(_timed(ts, flag)).over(w), within)
+
+
+def look_ahead(df: DataFrame, by: list[str], order: list[str], ts: str, flags: dict[str, Column], rows: int = 8, within: float = 60.0) -> DataFrame:
+    """``df`` with a ``lookahead`` of each flag. Takes segments."""
+    d = scan.run(df, by, order, **{k: scan.ahead(_timed(ts, f), rows) for k, f in flags.items()})
+    return d.withColumns({k: _seen(F.col(k), within) for k in flags})
 
 
 def classify_gap(banner: Column, alarm: Column, platform: Column) -> Column:
@@ -69,32 +84,42 @@ def segments(df: DataFrame, by: list[str], order: str, banner: Column, absorb: i
     return F.greatest(n - absorbed, F.lit(0)).cast("int")
 
 
+def with_segments(df: DataFrame, by: list[str], order: str, banner: Column, absorb: int = 3, out: str = "segment") -> DataFrame:
+    """``df`` with the process lifetime of ``segments``. Takes segments of ``scan.deal``."""
+    d = scan.run(
+        df, by, [order], __n=scan.total(F.when(banner, 1).otherwise(0)), __banner=scan.whole(F.when(banner, F.col(order)), F.min), __first=scan.whole(F.col(order), F.min)
+    )
+    absorbed = F.coalesce((F.col("__banner") - F.col("__first") <= absorb).cast("int"), F.lit(0))
+    return d.withColumn(out, F.greatest(F.col("__n") - absorbed, F.lit(0)).cast("int")).drop("__n", "__banner", "__first")
+
+
 def state_lane(df: DataFrame, by: list[str], order: list[str], reset: Column, strong: Column, weak: Column, confirm: Column) -> DataFrame:
-    """App state per row, with ``boundary`` where any push changed it.
+    """App state per row, with ``boundary`` where any push changed it. Takes segments.
 
     ``reset`` (a state or null) starts a lifetime, ``strong`` (foreground, background or null) sets the state on the
     same row after it. ``weak`` makes a state that isn't foreground headless, ``confirm`` only an unknown one; both hold
     until the next strong event.
     """
-    w = window(by, order)
     d = df.withColumn("__r", reset).withColumn("__s", strong).withColumn("__w", F.coalesce(weak, F.lit(False))).withColumn("__c", F.coalesce(confirm, F.lit(False)))
-    event = F.coalesce("__s", "__r")
-    d = d.withColumn("__base", F.coalesce(last_known(event, by, order), F.lit("unknown"))).withColumn("__isle", islands(event.isNotNull(), by, order))
-    inside = Window.partitionBy(*by, "__isle").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    skull, conf = F.max("__w").over(inside), F.max("__c").over(inside)
-    base = F.col("__base")
-    state = F.when(base == "foreground", base).when(base == "headless", base).when(skull | ((base == "unknown") & conf), "headless").otherwise(base)
-    d = d.withColumn("state", state)
-    s0 = F.lag("state").over(w)
+    event, place = F.coalesce("__s", "__r"), F.struct(*order)
+    d = scan.run(
+        d, by, order, __base=scan.last(event), __at=scan.most(F.when(event.isNotNull(), place)), __weak=scan.most(F.when(F.col("__w"), place)), __conf=scan.most(F.when(F.col("__c"), place))
+    )
+    # since the last strong event: its place is not after the last weak one
+    since = lambda c: F.col(c).isNotNull() & F.coalesce(F.col(c) >= F.col("__at"), F.lit(True))
+    base = F.coalesce("__base", F.lit("unknown"))
+    state = F.when(base == "foreground", base).when(base == "headless", base).when(since("__weak") | ((base == "unknown") & since("__conf")), "headless").otherwise(base)
+    d = scan.run(d.withColumn("state", state), by, order, __s0=scan.previous(F.col("state")))
+    s0 = F.col("__s0")
     s1 = F.coalesce(F.col("__r"), s0)
     s2 = F.coalesce(F.col("__s"), s1)
     boundary = s0.isNull() | (s1 != s0) | (s2 != s1) | (F.col("state") != s2)
-    return d.withColumn("boundary", boundary).drop("__r", "__s", "__w", "__c", "__base", "__isle")
+    return d.withColumn("boundary", boundary).drop("__r", "__s", "__w", "__c", "__base", "__at", "__weak", "__conf", "__s0")
 
 
 def lane_intervals(lane: DataFrame, by: list[str], order: str, ts: str) -> DataFrame:
-    """One row per interval of a ``state_lane``: (by, interval, state, first_seq, last_seq, start, end)."""
-    d = lane.withColumn("interval", islands(F.col("boundary"), by, [order]))
+    """One row per interval of a ``state_lane``: (by, interval, state, first_seq, last_seq, start, end). Takes segments."""
+    d = scan.run(lane, by, [order], interval=scan.total(F.when(F.col("boundary"), 1).otherwise(0)))
     return d.groupBy(*by, "interval").agg(
         F.min_by("state", order).alias("state"), F.min(order).alias("first_seq"), F.max(order).alias("last_seq"), F.min(ts).alias("start"), F.max(ts).alias("end")
     )
@@ -102,20 +127,24 @@ def lane_intervals(lane: DataFrame, by: list[str], order: str, ts: str) -> DataF
 
 def sessions(df: DataFrame, by: list[str], ts: str, tie: list[str], silence: float, least: int = 2) -> DataFrame:
     """Rows with ``session`` (0, 1, …): time-ordered runs split at silences of at least ``silence`` seconds; runs of
-    fewer than ``least`` rows are dropped."""
+    fewer than ``least`` rows are dropped. Takes segments."""
     order = [ts, *tie]
-    split = seconds_between(F.lag(ts).over(window(by, order)), F.col(ts)) >= silence
-    d = df.withColumn("__run", islands(F.coalesce(split, F.lit(False)), by, order))
-    d = d.withColumn("__n", F.count("*").over(Window.partitionBy(*by, "__run"))).where(F.col("__n") >= least)
-    # dense ranks after short runs went
-    return d.withColumn("session", F.dense_rank().over(Window.partitionBy(*by).orderBy("__run")) - 1).drop("__run", "__n")
+    d = scan.run(df, by, order, __before=scan.previous(F.struct(F.col(ts).alias("t"))))
+    d = d.withColumn("__split", F.col("__before").isNull() | F.coalesce(seconds_between(F.col("__before")["t"], F.col(ts)) >= silence, F.lit(False)))
+    # a run counts if its first row is followed by enough rows that don't split
+    d = scan.run(d, by, order, __look=scan.ahead(F.col("__split"), least))
+    long = (F.size("__look") == least) & ~F.exists(F.slice("__look", 2, least), lambda x: x)
+    d = d.withColumn("__long", F.when(F.col("__split"), long))
+    d = scan.run(d, by, order, __kept=scan.last(F.col("__long")), session=scan.total(F.when(F.col("__long"), 1).otherwise(0)))
+    return d.where("__kept").withColumn("session", (F.col("session") - 1).cast("int")).drop("__before", "__split", "__look", "__long", "__kept")
 
 
 def session_summary(df: DataFrame, by: list[str], ts: str, tie: list[str], lat: str, lon: str) -> DataFrame:
-    """(by, session, start, end, n, distance_m) of rows with ``session``."""
-    w = Window.partitionBy(*by, "session").orderBy(ts, *tie)
-    leg = haversine_m(F.lag(lat).over(w), F.lag(lon).over(w), F.col(lat), F.col(lon))
-    return df.withColumn("__leg", F.coalesce(leg, F.lit(0.0))).groupBy(*by, "session").agg(
+    """(by, session, start, end, n, distance_m) of rows with ``session``. Takes segments."""
+    d = scan.run(df, by, [ts, *tie], __before=scan.previous(F.struct("session", F.col(lat).alias("y"), F.col(lon).alias("x"))))
+    p = F.col("__before")
+    leg = F.when(p["session"] == F.col("session"), haversine_m(p["y"], p["x"], F.col(lat), F.col(lon)))
+    return d.withColumn("__leg", F.coalesce(leg, F.lit(0.0))).groupBy(*by, "session").agg(
         F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"), F.sum("__leg").alias("distance_m")
     )
 
@@ -133,9 +162,11 @@ def session_bounds(summary: DataFrame, by: list[str], capture: DataFrame, pad: f
 
 
 def pair_balance(df: DataFrame, by: list[str], order: list[str], first: Column, second: Column) -> DataFrame:
-    """(by, firsts, seconds, paired, unpaired, orphans): each second closes one open first; a row can be both."""
-    d = df.select(*by, *order, first.cast("int").alias("__f"), second.cast("int").alias("__s"))
-    d = d.withColumn("__d", F.sum(F.col("__f") - F.col("__s")).over(so_far(by, order)))
+    """(by, firsts, seconds, paired, unpaired, orphans): each second closes one open first; a row can be both. Takes
+    segments."""
+    seg = scan.segment_of(df, order)
+    d = df.select(*by, *order, *([seg] if seg else []), first.cast("int").alias("__f"), second.cast("int").alias("__s"))
+    d = scan.run(d, by, order, __d=scan.total(F.col("__f") - F.col("__s")))
     g = d.groupBy(*by).agg(F.sum("__f").alias("firsts"), F.sum("__s").alias("seconds"), F.greatest(F.lit(0), -F.min("__d")).alias("orphans"))
     paired = F.col("seconds") - F.col("orphans")
     return g.withColumn("paired", paired).withColumn("unpaired", F.col("firsts") - paired)
@@ -238,7 +269,7 @@ def clip_legs(vertices: DataFrame, by: list[str], order: list[str], ts: str, low
 
 
 def year_offset(df: DataFrame, month: str, by: list[str], order: list[str], out: str = "years") -> DataFrame:
-    """Add the years passed so far: each step from December to January adds one."""
-    d = df.withColumn("__prev", F.lag(month).over(window(by, order)))
-    step = (F.col("__prev") == 12) & (F.col(month) == 1)
-    return d.withColumn(out, islands(F.coalesce(step, F.lit(False)), by, order)).drop("__prev")
+    """Add the years passed so far: each step from December to January adds one. Takes segments."""
+    d = scan.run(df, by, order, __prev=scan.previous(F.col(month)))
+    step = F.coalesce((F.col("__prev") == 12) & (F.col(month) == 1), F.lit(False))
+    return scan.run(d.withColumn("__step", step.cast("int")), by, order, **{out: scan.total(F.col("__step"))}).drop("__prev", "__step")

@@ -35,20 +35,21 @@ class Analysis:
     features: DataFrame
 
 
-def prepare(captures: DataFrame) -> DataFrame:
-    """Annotated records with marks, segments and app state."""
-    m = N.marks(P.annotate(R.assemble(captures)))
+def prepare(captures: DataFrame, large: bool = False) -> DataFrame:
+    """Annotated records with marks, segments and app state; ``large`` deals captures in segments."""
+    m = N.marks(P.annotate(R.assemble(captures, large)))
     return N.with_state(N.with_segments(m))
 
 
-def analyze(spark: SparkSession, paths: list[str], year: int | None = None, entries: list[Entry] | None = None, excerpt: bool = False, heartbeat_s: float | None = None, rules: router.Rules | None = None, builds: dict[str, str] | None = None, meanings: Meanings | None = None) -> Analysis:
+def analyze(spark: SparkSession, paths: list[str], year: int | None = None, entries: list[Entry] | None = None, excerpt: bool = False, heartbeat_s: float | None = None, rules: router.Rules | None = None, builds: dict[str, str] | None = None, meanings: Meanings | None = None, large_bytes: int = 64 << 20) -> Analysis:
     """All findings of all captures as tables; nothing runs until a table is used, but for the records, which many
     tables share and which are kept (on disk beyond memory). ``rules`` place and leave out markers; ``builds`` names the
-    versions of build numbers; ``meanings`` gives classified records categories and meanings of icons."""
+    versions of build numbers; ``meanings`` gives classified records categories and meanings of icons. If a file has more than
+    ``large_bytes``, captures are dealt in segments, so that none of them is one task."""
     found = C.read_captures(spark, paths, year)
     dup = C.duplicates(found.where("kind = 'text'").select("path", "text"), "path", "text")
     found = found.join(dup, "path", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
-    m = prepare(found.where("not duplicate and kind = 'text' and platform <> 'unknown'")).persist(StorageLevel.MEMORY_AND_DISK)
+    m = prepare(found.where("not duplicate and kind = 'text' and platform <> 'unknown'"), C.largest_bytes(spark, paths) > large_bytes).persist(StorageLevel.MEMORY_AND_DISK)
     seg, gap = N.segments(m), N.gaps(m)
     cov = unk = kinds = None
     if entries:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import aggregate as A
 from ..operators import asof as J
+from ..operators import scan
 from ..operators import sequence as S
 
 BY, ORDER = ["day"], ["event_id"]
@@ -164,6 +165,57 @@ def session_ended_by(spark, d):
     return out.select("day", *_long("session"), F.col("gap_gap_s").alias("gap_s"), F.coalesce("gap_start_us", F.lit(-1)).alias("gap_start_us"))
 
 
+# One stream: all events as a single capture, dealt in segments ----------------------------------------------------------
+
+ONE = "e AS (SELECT *, 0 AS one, epoch_us(ts) AS us FROM events)"
+
+
+def _one(spark, d) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("one", F.lit(0)).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return scan.deal(e, ["one"], ["event_id"], 20_000)
+
+
+@query(f"""WITH {ONE}, g AS (SELECT *, lag(us) OVER (ORDER BY event_id) AS before FROM e),
+l AS (SELECT event_id, {_LOOK} AS found FROM (SELECT event_id, {", ".join(f"lead(event_type = 'signup', {i}) OVER w AS t{i}, lead(us, {i}) OVER w - us AS d{i}" for i in range(8))} FROM e WINDOW w AS (ORDER BY event_id)) x)
+SELECT g.event_id, before AS start_us, (us - before) / 1e6 AS gap_s, found FROM g JOIN l ON g.event_id = l.event_id WHERE (us - before) / 1e6 >= 600""")
+def one_stream_gaps(spark, d):
+    e = S.look_ahead(_one(spark, d), ["one"], ORDER, "ts", {"found": _kind("signup")})
+    return S.gaps(e, ["one"], ORDER, "ts", 600.0).select("event_id", _us("start", "start_us"), "gap_s", "found")
+
+
+@query(f"""WITH {_LANE.replace(E, ONE).replace("PARTITION BY day, isle", "PARTITION BY isle").replace("PARTITION BY day ", "")}, i AS (SELECT *, sum(CASE WHEN boundary THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS k FROM n)
+SELECT CAST(k AS BIGINT) AS interval_no, arg_min(state, event_id) AS state, min(event_id) AS first_seq, max(event_id) AS last_seq, min(us) AS start_us, max(us) AS end_us FROM i GROUP BY k""")
+def one_stream_lane(spark, d):
+    e = scan.run(_one(spark, d), ["one"], ORDER, before=scan.previous(F.col("event_id")))
+    reset = F.when(_kind("signup") & F.col("before").isNotNull(), F.when(F.col("user_id") % 3 == 0, "headless").otherwise("unknown"))
+    strong = F.when(_kind("view"), "foreground").when(_kind("error"), "background")
+    lane = S.state_lane(e, ["one"], ORDER, reset, strong, F.col("value") > 90, _kind("click"))
+    i = S.lane_intervals(lane, ["one"], "event_id", "us")
+    return i.select(F.col("interval").alias("interval_no"), "state", "first_seq", "last_seq", F.col("start").alias("start_us"), F.col("end").alias("end_us"))
+
+
+_ONE_SESS = _SESS.replace(E, ONE).replace("PARTITION BY day, ", "PARTITION BY ").replace("PARTITION BY day ", "").replace("SELECT day, ", "SELECT ").replace("GROUP BY day, ", "GROUP BY ").replace(">= 1200", ">= 300")
+
+
+@query(f"""WITH {_ONE_SESS}, n AS (SELECT *, lead(start_us) OVER (ORDER BY session) AS next_us FROM q),
+g AS (SELECT * FROM (SELECT us AS gap_at, (us - lag(us) OVER (ORDER BY us, event_id)) / 1e6 AS gap_s FROM e) WHERE gap_s >= 60),
+j AS (SELECT session, gap_s, gap_at, row_number() OVER (PARTITION BY session ORDER BY gap_s DESC, gap_at) AS r FROM n JOIN g ON gap_at >= start_us AND coalesce(gap_at < next_us + 600000000, true)),
+c AS (SELECT session, count(*) AS events FROM n JOIN e ON us BETWEEN start_us - 300000000 AND end_us + 300000000 GROUP BY session)
+SELECT CAST(n.session AS BIGINT) AS session, start_us, end_us, n.n, events, coalesce(gap_s, -1) AS longest_s, coalesce(gap_at, -1) AS longest_at FROM n JOIN c ON c.session = n.session LEFT JOIN j ON j.session = n.session AND r = 1""")
+def one_stream_sessions(spark, d):
+    """Sessions, the events within five minutes of each, and the longest silence up to ten minutes into the next one: both
+    kinds of intervals overlap."""
+    e = _one(spark, d)
+    order, one = ["ts", "event_id"], ["one"]
+    s = S.session_summary(S.sessions(scan.deal(_positions(e), one, order, 5_000), one, "ts", ORDER, 300.0), one, "ts", ORDER, "lat", "lon")
+    s = s.select("one", "session", _us("start", "start_us"), _us("end", "end_us"), "n").withColumnRenamed("n", "fixes")
+    s = s.withColumn("next_us", F.lead("start_us").over(S.window(one, ["session"]))).withColumn("low", F.col("start_us") - 300_000_000).withColumn("high", F.col("end_us") + 300_000_000)
+    silences = S.gaps(scan.deal(e, one, order, 20_000), one, order, "ts", 60.0).select("one", F.col("us").alias("at"), "gap_s")
+    out = J.longest_in(s, silences, one, "session", F.col("start_us"), F.col("next_us") + 600_000_000, "at", "gap_s", ["gap_s", "at"], True)
+    out = out.join(J.count_between(s, e, one, ["session"], "low", "high", "us", True).withColumnRenamed("n", "events"), [*one, "session"])
+    return out.select(*_long("session"), "start_us", "end_us", F.col("fixes").alias("n"), "events", F.coalesce("gap_gap_s", F.lit(-1.0)).alias("longest_s"), F.coalesce("gap_at", F.lit(-1)).alias("longest_at"))
+
+
 @query(f"""WITH {E}, x AS (SELECT day, CAST(event_type IN ('click', 'signup') AS INT) AS f, CAST(event_type IN ('purchase', 'signup') AS INT) AS s, sum(CAST(event_type IN ('click', 'signup') AS INT) - CAST(event_type IN ('purchase', 'signup') AS INT)) OVER (PARTITION BY day ORDER BY event_id) AS depth FROM e),
 g AS (SELECT day, sum(f) AS firsts, sum(s) AS seconds, greatest(0, -min(depth)) AS orphans FROM x GROUP BY day)
 SELECT day, CAST(firsts AS BIGINT) AS firsts, CAST(seconds AS BIGINT) AS seconds, CAST(orphans AS BIGINT) AS orphans, CAST(seconds - orphans AS BIGINT) AS paired, CAST(firsts - (seconds - orphans) AS BIGINT) AS unpaired FROM g""")

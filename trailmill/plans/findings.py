@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import exprs as X
 from ..operators import aggregate as A
+from ..operators import scan
 from ..operators import sequence as S
 
 BY, ORDER = ["capture_id"], ["seq"]
@@ -107,17 +108,16 @@ def marks(records: DataFrame) -> DataFrame:
 
 
 def with_segments(m: DataFrame) -> DataFrame:
-    return m.withColumn("segment", S.segments(m, BY, "seq", F.col("banner")))
+    return S.with_segments(m, BY, "seq", F.col("banner"))
 
 
 def with_state(m: DataFrame) -> DataFrame:
     """App state; a new segment resets it, except on the capture's first record."""
-    w = S.window(BY, ORDER)
-    d = m.withColumn("__new", F.coalesce(F.col("segment") != F.lag("segment").over(w), F.lit(False)))
-    boot = F.max("headless_boot").over(Window.partitionBy("capture_id", "segment"))
-    d = d.withColumn("__boot", boot)
+    d = scan.run(m, BY, ORDER, __before=scan.previous(F.col("segment")))
+    d = d.withColumn("__new", F.coalesce(F.col("segment") != F.col("__before"), F.lit(False)))
+    d = scan.run(d, ["capture_id", "segment"], ORDER, __boot=scan.whole(F.col("headless_boot"), F.max))
     reset = F.when(F.col("__new"), F.when(F.col("__boot"), "headless").otherwise("unknown"))
-    return S.state_lane(d, BY, ORDER, reset, F.col("strong"), F.col("skull"), F.col("headless_ok")).drop("__new", "__boot")
+    return S.state_lane(d, BY, ORDER, reset, F.col("strong"), F.col("skull"), F.col("headless_ok")).drop("__before", "__new", "__boot")
 
 
 def segments(m: DataFrame) -> DataFrame:
@@ -128,10 +128,11 @@ def segments(m: DataFrame) -> DataFrame:
 
 
 def gaps(m: DataFrame, at_least: float = GAP_S) -> DataFrame:
-    d = m.select("capture_id", "platform", "seq", "ts", "banner", "alarm", "segment")
-    w = S.window(BY, ORDER)
-    d = d.withColumn("__death", F.col("banner") | F.coalesce(F.col("segment") != F.lag("segment").over(w), F.lit(False)))
-    d = d.withColumn("look_death", S.lookahead(d, BY, ORDER, "ts", F.col("__death"))).withColumn("look_alarm", S.lookahead(d, BY, ORDER, "ts", F.col("alarm")))
+    seg = scan.segment_of(m, ORDER)
+    d = m.select("capture_id", "platform", "seq", "ts", "banner", "alarm", "segment", *([seg] if seg else []))
+    d = scan.run(d, BY, ORDER, __before=scan.previous(F.col("segment")))
+    d = d.withColumn("__death", F.col("banner") | F.coalesce(F.col("segment") != F.col("__before"), F.lit(False)))
+    d = S.look_ahead(d, BY, ORDER, "ts", {"look_death": F.col("__death"), "look_alarm": F.col("alarm")})
     g = S.gaps(d, BY, ORDER, "ts", at_least)
     return g.select("capture_id", "seq", "start", F.col("ts").alias("end"), "gap_s", S.classify_gap(F.col("look_death"), F.col("look_alarm"), F.col("platform")).alias("kind"))
 

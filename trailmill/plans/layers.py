@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import exprs as X
 from ..operators import aggregate as A
 from ..operators import asof as J
+from ..operators import scan
 from ..operators import sequence as S
 from . import enrich as E
 from . import router
@@ -30,14 +31,16 @@ def fixes(m: DataFrame) -> DataFrame:
 
 def sessions(fix: DataFrame, gap_table: DataFrame, m: DataFrame) -> DataFrame:
     """Tracking outings with bounds, distance, record count and what ended them."""
-    f = S.sessions(fix.where(F.col("ts").isNotNull()), BY, "ts", ["seq", "i"], 1200.0)
+    large = scan.segment_of(m, ["seq"]) is not None
+    f = fix.where(F.col("ts").isNotNull())
+    f = S.sessions(scan.deal(f, BY, ["ts", "seq", "i"]) if large else f, BY, "ts", ["seq", "i"], 1200.0)
     s = S.session_summary(f, BY, "ts", ["seq", "i"], "lat", "lon")
     capture = m.groupBy(*BY).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
     s = S.session_bounds(s, BY, capture).withColumn("next_start", F.lead("start").over(S.window(BY, ["session"])))
     g = gap_table.select("capture_id", F.col("start").alias("g_start"), "gap_s", "kind")
-    s = J.longest_in(s, g, BY, "session", F.col("end"), F.col("next_start"), "g_start", "gap_s", ["kind", "gap_s"])
+    s = J.longest_in(s, g, BY, "session", F.col("end"), F.col("next_start"), "g_start", "gap_s", ["kind", "gap_s"], large)
     t = m.where(F.col("ts").isNotNull()).select("capture_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    n = s.select("capture_id", "session", "low_s", "high_s").join(t, BY).where("t between low_s and high_s").groupBy("capture_id", "session").agg(F.count("*").alias("records"))
+    n = J.count_between(s, t, BY, ["session"], "low_s", "high_s", "t", large).withColumnRenamed("n", "records")
     return s.join(n, ["capture_id", "session"], "left").withColumnRenamed("gap_kind", "ended_by").drop("next_start")
 
 

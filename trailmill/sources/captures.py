@@ -71,6 +71,11 @@ def read_captures(spark: SparkSession, paths: list[str], year: int | None = None
     return d.withColumn("notes", note)
 
 
+def largest_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Size of the largest file, from the listing: no content is read."""
+    return spark.read.format("binaryFile").load(paths).agg(F.max("length")).first()[0] or 0
+
+
 def text_lines(text: Column) -> Column:
     """Array of lines; an end of line at the end of the text adds none."""
     lines = F.split(text, LINE_END, -1)
