@@ -156,6 +156,19 @@ def earliest_direction(text: Column, moving: list[str], stationary: list[str]) -
     return F.when(m.isNull() & s.isNull(), None).otherwise(F.coalesce(m < s, s.isNull()))
 
 
+def circle(lat: str, lon: str, radius_m: str, corners: int = 32) -> Column:
+    """A closed ring of (lon, lat) at a distance on the sphere around a position."""
+    at, r = F.radians(F.col(lat)), F.col(radius_m) / 6371000.0
+
+    def corner(i):
+        a = F.radians(i * 360.0 / corners)
+        y = F.asin(F.sin(at) * F.cos(r) + F.cos(at) * F.sin(r) * F.cos(a))
+        x = F.radians(F.col(lon)) + F.atan2(F.sin(a) * F.sin(r) * F.cos(at), F.cos(r) - F.sin(at) * F.sin(y))
+        return F.array(F.round(F.degrees(x), 7), F.round(F.degrees(y), 7))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(corners)), lambda i: corner(i % corners))
+
+
 def speed_bucket(v: Column, bins: int = 8, top: float = 30.0) -> Column:
     """Bucket 0..bins-1 of a speed; -1 for null."""
     b = F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(top - 0.01)) / top * bins)

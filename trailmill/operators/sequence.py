@@ -185,13 +185,25 @@ def consume_pairs(df: DataFrame, by: list[str], order: list[str], ts: str, kind:
 def episodes(df: DataFrame, by: list[str], order: list[str], ts: str, opens: Column, folds: Column, within: float = 5.0) -> DataFrame:
     """Collapse bookkeeping rows into the transition they follow: adds ``episode`` (running number of the transition)
     and ``folded``, true for rows that are suppressed. A bookkeeping row further away than ``within`` ends the
-    episode: later rows are not folded either."""
+    episode: later rows are not folded either. Without a time nothing is folded or ended."""
     d = df.withColumn("__o", F.coalesce(opens, F.lit(False))).withColumn("__f", F.coalesce(folds, F.lit(False)))
     d = d.withColumn("episode", islands(F.col("__o"), by, order)).withColumn("__t", last_known(F.when(F.col("__o"), F.col(ts)), by, order))
-    far = F.col("__f") & (F.abs(seconds_between(F.col("__t"), F.col(ts))) > within)
+    away = F.abs(seconds_between(F.col("__t"), F.col(ts)))
+    far = F.col("__f") & (away > within)
     inside = Window.partitionBy(*by, "episode").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ended = F.max(F.coalesce(far, F.lit(False))).over(inside)
-    return d.withColumn("folded", F.col("__f") & (F.col("episode") > 0) & ~ended).drop("__o", "__f", "__t")
+    return d.withColumn("folded", F.col("__f") & (F.col("episode") > 0) & ~ended & F.coalesce(away <= within, F.lit(False))).drop("__o", "__f", "__t")
+
+
+def fold_first(df: DataFrame, by: list[str], order: list[str], opens: Column, values: dict[str, Column]) -> DataFrame:
+    """(by, order, extra) of the transitions of ``episodes``: the first value that a folded row gives under each name, as a
+    map of texts. One aggregation per episode; the row itself is its opening one."""
+    place = F.struct(*order)
+    told = {k: F.min_by(v, F.when(F.col("folded") & v.isNotNull(), place)) for k, v in values.items()}
+    g = df.where("episode > 0").groupBy(*by, "episode").agg(F.min(F.when(opens, place)).alias("__at"), *(v.alias(f"__v_{k}") for k, v in told.items()))
+    pairs = F.create_map(*(x for k in values for x in (F.lit(k), F.col(f"__v_{k}").cast("string"))))
+    out = g.select(*by, *(F.col("__at")[c].alias(c) for c in order), F.map_filter(pairs, lambda k, v: v.isNotNull()).alias("extra"))
+    return out.where(F.size("extra") > 0)
 
 
 def flush_outcomes(df: DataFrame, by: list[str], order: list[str], status: Column, finish: Column, noop: Column, outcome: Column | None = None) -> DataFrame:

@@ -22,7 +22,10 @@ SECRET = ["url", "authorization"]
 #: Defaults that properties are left out at; "ts" and "layer" name another property.
 DEFAULTS = {"slice_ts": ("from", "ts"), "category": ("from", "layer"), "placement": ("is", "placed"), "dt_s": ("is", 0.0), "own_position": ("is", False), "severity": ("is", "normal"), "count": ("is", 1)}
 TINT = {"ENTER": "green", "EXIT": "red", "DWELL": "amber"}
-SUPPRESSED = "Ignoring (?:spurious|duplicate|deferred|stationary) geofence|Deferring geofence transition"
+#: The beginnings of records about transitions that are held back.
+SUPPRESSED = ["Ignoring spurious geofence", "Ignoring duplicate geofence", "Ignoring deferred geofence", "Ignoring stationary geofence", "Deferring geofence transition"]
+#: Names under which records state a fence's numbers, and whether a unit of metres has to follow.
+FENCE_MEASURES = {"dist_m": (["dist", "distance"], True), "radius_m": (["radius"], True), "outside_by_m": (["outsideBy"], False), "required_speed_mps": (["requiredSpeed"], False)}
 
 
 def event_name(method: Column, raw: Column) -> Column:
@@ -42,21 +45,34 @@ def stamp_fixes(fixes: DataFrame, dispatches: DataFrame, within: float = 2.0) ->
     return d.withColumn("delivered", a | b).withColumn("headless", F.when(b, F.col("prev_skull")).when(a, F.col("next_skull")).otherwise(False)).drop("prev_ts", "next_ts", "prev_skull", "next_skull")
 
 
+def measures(raw: Column) -> Column:
+    """All name=number pairs of a text in order: (name, value, metres)."""
+    hits = F.regexp_extract_all(raw, F.lit("[A-Za-z]+=[0-9.]+m?"), F.lit(0))
+    value = lambda x: F.rtrim(F.substring_index(x, "=", -1), F.lit("m")).try_cast("double")
+    return F.transform(hits, lambda x: F.struct(F.substring_index(x, "=", 1).alias("name"), value(x).alias("value"), x.endswith("m").alias("metres")))
+
+
+def measure(pairs: str, *names: str, metres: bool = False) -> Column:
+    """The first value that ``pairs`` has under one of the names."""
+    fits = lambda x: x["name"].isin(*names) & (x["metres"] if metres else F.lit(True))
+    return F.get(F.filter(pairs, fits), F.lit(0))["value"]
+
+
 def fence_evidence(m: DataFrame) -> DataFrame:
     """Fence records with what they measured: distances, verdict, tint, and the trigger's and anchor's positions."""
     raw = F.col("raw")
-    num = lambda p: F.nullif(F.regexp_extract(raw, p, 1), F.lit("")).try_cast("double")
+    held_back = F.coalesce(*[F.when(raw.contains(p), p) for p in SUPPRESSED])
     locs = F.coalesce("structs.locations", F.array_compact(F.array("structs.location")))
-    d = m.where(F.col("transition").isNotNull() | F.col("spurious") | raw.rlike(SUPPRESSED)).withColumn("labels", labelled_locations(raw, locs))
+    d = m.where(F.col("transition").isNotNull() | F.col("spurious") | held_back.isNotNull()).withColumn("labels", labelled_locations(raw, locs)).withColumn("measures", measures(raw))
     at = lambda k: F.try_element_at("labels", F.lit(k))
     trigger, anchor = F.coalesce(at("Trigger"), at("trigger")), F.coalesce(at("Stationary"), at("stationary"), at("Last"), at("last"), at("B"), at("b"))
-    dist, radius = num("dist(?:ance)?=([\\d.]+)m"), num("radius=([\\d.]+)m")
+    dist, radius, outside, _ = (measure("measures", *names, metres=metres) for names, metres in FENCE_MEASURES.values())
     tint = F.lit(None).cast("string")
     for k, v in TINT.items():
         tint = F.when(F.upper("transition") == k, v).otherwise(tint)
     return d.select(
-        "capture_id", "seq", "ts", F.col("structs.geofence.identifier").alias("identifier"), F.col("transition").alias("action"), tint.alias("tint"), X.extract(raw, f"({SUPPRESSED})").alias("suppressed"),
-        dist.alias("dist_m"), radius.alias("radius_m"), num("outsideBy=([\\d.]+)").alias("outside_by_m"), num("minPossibleDist(?:ance)?=([\\d.]+)").alias("min_possible_m"), num("accuracy=([\\d.]+)m").alias("trigger_acc_m"),
+        "capture_id", "seq", "ts", F.col("structs.geofence.identifier").alias("identifier"), F.col("transition").alias("action"), tint.alias("tint"), held_back.alias("suppressed"),
+        dist.alias("dist_m"), radius.alias("radius_m"), outside.alias("outside_by_m"), measure("measures", "minPossibleDist", "minPossibleDistance").alias("min_possible_m"), measure("measures", "accuracy", metres=True).alias("trigger_acc_m"),
         F.when((dist > 0) & (radius > 0), F.when(dist > radius, "outside fence").otherwise("inside fence")).alias("verdict"),
         trigger["lat"].alias("trigger_lat"), trigger["lon"].alias("trigger_lon"), anchor["lat"].alias("anchor_lat"), anchor["lon"].alias("anchor_lon"),
     )
@@ -72,8 +88,12 @@ def implied_legs(evidence: DataFrame, fixes: DataFrame) -> DataFrame:
 
 
 def stationary_radius(m: DataFrame, default: float = 150.0) -> DataFrame:
-    r = F.nullif(F.regexp_extract("raw", r"(?is)stationary\s*(?:geofence|region).{0,160}?radius=([\d.]+)m", 1), F.lit("")).try_cast("double")
-    return m.withColumn("__r", r).groupBy(*BY).agg(F.coalesce(F.min_by("__r", F.when(F.col("__r").isNotNull(), F.col("seq"))), F.lit(default)).alias("radius_m"))
+    """(capture_id, radius_m, stated): the radius that the first record states close behind the name of the standstill's
+    fence, else the default."""
+    behind = F.get(F.split(F.lower("raw"), "stationary\\s*(?=geofence|region)", 2), F.lit(1))
+    d = m.where(F.lower("raw").contains("stationary")).withColumn("pairs", measures(F.left(behind, F.lit(190)))).withColumn("r", measure("pairs", "radius", metres=True))
+    said = d.groupBy(*BY).agg(F.min_by("r", F.when(F.col("r").isNotNull(), F.col("seq"))).alias("r"))
+    return m.select(*BY).distinct().join(said, BY, "left").select(*BY, F.coalesce("r", F.lit(default)).alias("radius_m"), F.col("r").isNotNull().alias("stated"))
 
 
 def upload_outcomes(m: DataFrame) -> DataFrame:

@@ -86,8 +86,8 @@ def marks(records: DataFrame) -> DataFrame:
         "spurious": F.when(fence.isNotNull(), has("spurious")).otherwise(has("Ignoring spurious geofence")),
         "transition": F.coalesce(F.when(fence["action"].isin("ENTER", "EXIT", "DWELL"), fence["action"]), X.extract(raw, TRANSITION), F.when(ios & has("didEnterRegion"), "ENTER").when(ios & has("didExitRegion"), "EXIT")),
         "available": _bool(raw, r"Location availability: (true|false)"),
-        "activity": F.coalesce(act["type"], X.extract(raw, r"onMotionActivityChange:\] ?(\w+)/\d+")),
-        "confidence": F.coalesce(act["confidence"].cast("bigint"), _n(raw, r"onMotionActivityChange:\] ?\w+/(\d+)")),
+        "activity": F.coalesce(act["type"], X.extract(raw, r"onMotionActivityChange:\] \| (\w+)/\d+ \|")),
+        "confidence": F.coalesce(act["confidence"].cast("bigint"), _n(raw, r"onMotionActivityChange:\] \| \w+/(\d+) \|")),
         "trigger_armed": has("startMotionTriggerTimer") | has("Motion-trigger timer engaged"),
         "trigger_reset": has("resetMotionTriggerTimer"),
         "stationary_exit": F.lower(raw).contains("exit stationary"),

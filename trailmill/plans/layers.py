@@ -16,15 +16,18 @@ from . import enrich as E
 from . import router
 
 BY = ["capture_id"]
-#: Phrases of records that quote positions rather than report them.
-REFERENCE = "(?m)Trigger vs |Trigger=|Stationary=|Ignoring \\w+ geofence|Deferring geofence|^\\s*╟?─?\\s*[AB]:\\s*[-\\d]|Synthesizing missed-ENTER|Updated geofence state|Normalizing stale PENDING_"
-RADIUS_M = 150.0
+#: What stands in records that quote positions rather than report them; router.FENCE_QUOTED does too.
+QUOTED = ["Trigger vs ", "Trigger=", "Stationary="]
+#: Beginnings of a comparison's rows, which quote them too.
+COMPARED = "(?m)^\\s*╟?─?\\s*[AB]:\\s*[-\\d]"
 
 
 def fixes(m: DataFrame) -> DataFrame:
     """Reported positions (capture_id, seq, i, ts, lat, lon, speed, mock)."""
     locs = F.coalesce("structs.locations", F.array_compact(F.array("structs.location")))
-    d = m.where(~F.col("raw").rlike(REFERENCE)).select("capture_id", "seq", "ts", F.posexplode(locs).alias("i", "l"))
+    raw = F.col("raw")
+    quotes = router.any_of(raw, [*QUOTED, *router.FENCE_QUOTED]) | raw.rlike("Ignoring \\w+ geofence") | raw.contains("Deferring geofence") | raw.rlike(COMPARED)
+    d = m.where(~quotes).select("capture_id", "seq", "ts", F.posexplode(locs).alias("i", "l"))
     d = d.select("capture_id", "seq", "i", "ts", F.col("l.lat").alias("lat"), F.col("l.lon").alias("lon"), F.col("l.acc").alias("acc"), F.col("l.speed").alias("speed"), F.col("l.mock").alias("mock"))
     return d.where(X.valid_position(F.col("lat"), F.col("lon")))
 
@@ -65,7 +68,7 @@ def folded(m: DataFrame) -> list[DataFrame]:
     sent = side(E.event_pairs(m).where("kind = 'fire'"), event=F.col("event"), delivered=F.col("delivered"))
     done = side(E.upload_outcomes(m), last_status=F.col("last_status"), success=F.col("success"), synced=F.col("synced"), duration_ms=F.col("duration_ms"))
     fence = side(E.fence_evidence(m), tint=F.col("tint"), verdict=F.col("verdict"), dist_m=F.col("dist_m"), radius_m=F.col("radius_m"))
-    return [sent, fence, done]
+    return [sent, fence, done, router.fence_episodes(m)[1]]
 
 
 def placed_events(m: DataFrame, fix: DataFrame, rules: router.Rules | None = None) -> DataFrame:
@@ -74,7 +77,7 @@ def placed_events(m: DataFrame, fix: DataFrame, rules: router.Rules | None = Non
     d = router.with_context(router.without(m, router.told_elsewhere(m)))
     d = d.withColumn("layer_list", router.layer_list(rules or router.Rules(), d)).where(F.size("layer_list") > 0)
     e = router.decorate(d, ["capture_id", "seq"], *folded(m)).select(
-        "capture_id", "seq", "ts", "platform", "raw", "extra", "severity", "pace", "transition", "layer_list", "shape", F.array_join(X.content_lines(F.concat(F.array("header_msg"), "body"), 2), "\n").alias("text"), own["lat"].alias("own_lat"), own["lon"].alias("own_lon"),
+        "capture_id", "seq", "ts", "platform", "raw", "extra", "severity", router.direction(F.col("raw")).alias("pace"), "transition", "layer_list", "shape", F.array_join(X.content_lines(F.concat(F.array("header_msg"), "body"), 2), "\n").alias("text"), own["lat"].alias("own_lat"), own["lon"].alias("own_lon"),
     )
     n = J.neighbours(e, fix.select("capture_id", "seq", "ts", "lat", "lon"), BY, "ts", ["seq"], ["lat", "lon"])
     n = J.locate(n, "ts", "lat", "lon")
@@ -104,7 +107,9 @@ def features(m: DataFrame, gap_table: DataFrame, rules: router.Rules | None = No
     def props(**kw):
         return F.to_json(F.struct(*(v.alias(k) for k, v in kw.items())))
 
-    parts = [fix.select("capture_id", F.lit("fixes").alias("layer"), "seq", F.lit("Point").alias("geometry"), point().alias("coordinates"), props(t=iso("ts"), acc=F.col("acc"), speed=F.col("speed"), mock=F.col("mock")).alias("props"))]
+    sent = m.where((E.event_name(F.col("tag_method"), F.col("raw")) == "location") & F.col("ts").isNotNull()).select("capture_id", "ts", "seq", "skull")
+    stamped = E.stamp_fixes(fix, sent)
+    parts = [stamped.select("capture_id", F.lit("fixes").alias("layer"), "seq", F.lit("Point").alias("geometry"), point().alias("coordinates"), props(t=iso("ts"), acc=F.col("acc"), speed=F.col("speed"), mock=F.col("mock"), delivered=F.when(F.col("delivered"), True), headless=F.when(F.col("headless"), True)).alias("props"))]
     v = track(fix, gap_table)
     line = v.groupBy("capture_id", "run").agg(F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("vertex", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), "speed", "ts"))).alias("v"))
     coords = F.to_json(F.transform("v", lambda x: F.array(x["lon"], x["lat"])))
@@ -121,7 +126,10 @@ def features(m: DataFrame, gap_table: DataFrame, rules: router.Rules | None = No
     parts.append(b.select("capture_id", F.lit("launch").alias("layer"), "seq", F.lit("Point").alias("geometry"), point().alias("coordinates"), props(t=iso("ts"), version=F.col("version"), anchor_dt_s=F.col("signed_s")).alias("props")))
     placed = placed_events(m, fix, rules)
     mk = markers(placed, rules)
-    parts.append(mk.select("capture_id", "layer", F.col("first_seq").alias("seq"), F.lit("Point").alias("geometry"), point().alias("coordinates"), props(count=F.col("n"), times=F.transform("times", X.iso_text), last=X.iso_text(F.col("last_ts")), text=F.col("text"), severity=F.col("severity"), placement=F.col("placement"), anchor_dt_s=F.col("dt_s"), icon=F.col("icon"), tint=F.col("tint"), offset_clock=F.col("clock"), folded=F.col("extra")).alias("props")))
+    parts.append(mk.select("capture_id", "layer", F.col("first_seq").alias("seq"), F.lit("Point").alias("geometry"), point().alias("coordinates"), props(count=F.col("n"), times=F.transform("times", X.iso_text), last=X.iso_text(F.col("last_ts")), text=F.col("text"), severity=F.col("severity"), placement=F.col("placement"), anchor_dt_s=F.col("dt_s"), icon=F.col("icon"), tint=F.col("tint"), moving=F.col("pace"), offset_clock=F.col("clock"), folded=F.col("extra")).alias("props")))
+    stands = placed.where(~F.coalesce("pace", F.lit(True)) & (F.col("layer") == "motionchange") & router.attribute(rules or router.Rules(), F.col("platform"), F.col("layer"), F.col("raw"), "stationary_region"))
+    ring = stands.join(E.stationary_radius(m), BY)
+    parts.append(ring.select("capture_id", "layer", "seq", F.lit("Polygon").alias("geometry"), F.to_json(F.array(X.circle("lat", "lon", "radius_m"))).alias("coordinates"), props(t=iso("ts"), role=F.lit("stationary-region"), radius_m=F.col("radius_m"), stated=F.col("stated")).alias("props")))
     legs = S.connectors(placed.where("layer = 'motionchange' and pace is not null"), BY, ["ts", "seq"], "pace", ["lat", "lon"])
     parts.append(legs.select("capture_id", F.lit("motionchange").alias("layer"), "seq", F.lit("LineString").alias("geometry"), F.to_json(F.array(F.array("from_lon", "from_lat"), F.array("lon", "lat"))).alias("coordinates"), props(t=iso("ts")).alias("props")))
     implied = E.implied_legs(E.fence_evidence(m), fix)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import alias_letters, valid_position
+from ..operators import scan
+from ..operators.shared import written
 
 # Characters that end a URL besides white space, and those that don't count at its end.
 URL_STOPS = "\"'<>]),;|}"
@@ -32,6 +34,9 @@ PASSES = {
     "pkg": f"(?<![\\w.$@-]){_SEGMENT}(?:[.]{_SEGMENT}){{2,}}",
 }
 
+#: What a text needs for a pass to find anything; texts without it are not split.
+GATES = {"url": "://", "coord": "[0-9]\\s*,\\s*[+-]?[0-9]", "uuid": "[0-9A-Fa-f]{8}-", "pkg": "[\\w$][.][A-Za-z]"}
+
 
 def _read(kind: str, x: Column, allowed: list[str]) -> Column:
     """A match as (key, raw, ok, bracketed): its identity, the part to replace, whether it counts."""
@@ -55,7 +60,7 @@ def _read(kind: str, x: Column, allowed: list[str]) -> Column:
 
 
 def _matches(text: Column, kind: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(PASSES[kind]), F.lit(0))
+    return F.when(text.rlike(GATES[kind]), F.regexp_extract_all(text, F.lit(PASSES[kind]), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _masked(text: Column, kind: str, alias, allowed: list[str]) -> Column:
@@ -66,7 +71,8 @@ def _masked(text: Column, kind: str, alias, allowed: list[str]) -> Column:
         return F.when(hit["ok"], F.replace(x, hit["raw"], alias(hit["key"]))).otherwise(x)
 
     gaps = F.split(text, PASSES[kind], -1)
-    return F.array_join(F.zip_with(gaps, F.transform(_matches(text, kind), one), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    whole = F.array_join(F.zip_with(gaps, F.transform(_matches(text, kind), one), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    return F.when(text.rlike(GATES[kind]), whole).otherwise(text)
 
 
 def found(df: DataFrame, text: str, allowed: list[str] = ALLOWED) -> DataFrame:
@@ -110,15 +116,18 @@ def _exact(df: DataFrame, names: DataFrame, by: list[str], text: str) -> DataFra
     return df.join(lists, by, "left").withColumn("__text", F.aggregate(F.coalesce("__names", none), F.col(text), step)).drop("__names")
 
 
-def alias_table(df: DataFrame, by: list[str], order: list[str], text: str, registered: DataFrame | None = None, allowed: list[str] = ALLOWED) -> DataFrame:
+def alias_table(df: DataFrame, by: list[str], order: list[str], text: str, registered: DataFrame | None = None, allowed: list[str] = ALLOWED, large: int = 1_000_000) -> DataFrame:
     """(by, kind, key, raw, alias). ``registered`` (by, kind, value) comes first in its kind, in order of value."""
     names = None if registered is None else _numbered(registered, by)
     d = df.withColumn("__text", F.col(text)) if names is None else _exact(df, names, by, text)
     hits = found(d, "__text", allowed).select(*by, F.struct(*order).alias("at"), F.inline("hits")).select(*by, "kind", "key", "raw", F.struct("at", "pass", "pos").alias("at"))
     first = hits.groupBy(*by, "kind", "key", "raw").agg(F.min("at").alias("at"))
-    first = first.withColumn("at", F.min("at").over(Window.partitionBy(*by, "kind", "key")))
-    n = F.dense_rank().over(Window.partitionBy(*by, "kind").orderBy("at", "key"))
-    out = first.select(*by, "kind", "key", "raw", _alias(n).alias("alias"))
+    # one row a string; numbers are running counts, over segments where a capture has many strings
+    keys = written(first.groupBy(*by, "kind", "key").agg(F.min("at").alias("at"), F.collect_set("raw").alias("raws")), "aliases")
+    at = keys.select(*by, "kind", "key", "raws", *(F.col(f"at.{a}").alias(f"__at{i}") for i, a in enumerate(("at", "pass", "pos"))))
+    place = ["__at0", "__at1", "__at2", "key"]
+    at = scan.run(scan.deal_if_large(at, [*by, "kind"], place, large), [*by, "kind"], place, __n=scan.total(F.lit(1)))
+    out = at.select(*by, "kind", "key", F.explode("raws").alias("raw"), _alias(F.col("__n")).alias("alias"))
     return out if names is None else out.unionByName(names)
 
 

@@ -109,7 +109,7 @@ def vocab_best(spark, d):
     return g.withColumn("confidence", F.when(F.col("ties") == 1, "exact").otherwise("ambiguous"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS word FROM documents), e AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS ws FROM benchmark),
+@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]{3,}'))) AS word FROM documents), e AS (SELECT item_id, list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]{3,}')) AS ws FROM benchmark),
 x AS (SELECT item_id, len(ws) AS total, unnest(ws) AS word FROM e WHERE len(ws) >= 3), h AS (SELECT doc_id, item_id, total, count(*) AS n FROM w JOIN x USING (word) GROUP BY 1, 2, 3)
 SELECT doc_id AS key, item_id AS literal, n / total AS share FROM h WHERE n / total >= 0.6""")
 def vocab_drift(spark, d):

@@ -18,6 +18,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators.shared import written
 
 MAX_ENTRIES = 200_000
 MIN_ANCHOR = 4
@@ -365,15 +368,29 @@ def candidates(texts: DataFrame, key: str, text: str, literals: list[tuple[int,
     return src.mapInArrow(run, f"key {src.dtypes[0][1]}, literal bigint")
 
 
-def token_share(texts: DataFrame, key: str, text: str, entries: DataFrame, share: float = DRIFT_SHARE, least: int = DRIFT_TOKENS) -> DataFrame:
+def token_share(texts: DataFrame, key: str, text: str, entries: DataFrame, share: float = DRIFT_SHARE, least: int = DRIFT_TOKENS, broadcast_rows: int = 200_000) -> DataFrame:
     """(key, literal, share): entries (literal, s) of at least ``least`` distinct words, of which a text holds at least
-    that share. Words meet by equality: no text meets an entry that it shares no word with."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)))
-    e = entries.select("literal", words(F.col("s")).alias("w")).withColumn("total", F.size("w")).where(F.col("total") >= least)
-    e = e.select("literal", "total", F.explode("w").alias("word"))
-    t = texts.select(F.col(key).alias("key"), F.explode(words(F.col(text))).alias("word"))
-    hit = t.join(e, "word").groupBy("key", "literal", "total").agg(F.count("*").alias("n"))
-    return hit.withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= share).select("key", "literal", "share")
+    that share; words as the matcher's.
+
+    A prefix-filtered overlap join: a text that lacks the rarest words of an entry, one more than it may lack, cannot hold
+    enough of it. So texts and entries meet by those words only, ordered by how many texts hold them, and pairs that meet
+    are verified on whole word sets. Words that most texts hold join nothing, unless an entry has no rarer ones."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(_WORD.pattern), F.lit(0)))
+    near = lambda d: F.broadcast(d) if d.limit(broadcast_rows + 1).count() <= broadcast_rows else d
+    held = written(texts.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words(F.col(text)).alias("words")), "words")
+    e = entries.select("literal", words(F.col("s")).alias("own")).withColumn("total", F.size("own")).where(F.col("total") >= least)
+    # the least number of words that makes the share, found with the same division as the share itself
+    enough = F.element_at(F.filter(F.sequence(F.lit(1), F.col("total")), lambda n: n / F.col("total") >= share), 1)
+    e = written(e.withColumn("need", enough), "entries")
+    each = e.select("literal", "total", "need", F.explode("own").alias("word"))
+    said = held.select("row", F.explode("words").alias("word"))
+    seen = said.join(near(each.select("word").distinct()), "word").groupBy("word").agg(F.count("*").alias("texts"))
+    rarest = F.row_number().over(Window.partitionBy("literal").orderBy(F.coalesce("texts", F.lit(0)), "word"))
+    prefix = each.join(seen, "word", "left").withColumn("nth", rarest).where(F.col("nth") <= F.col("total") - F.col("need") + 1)
+    pairs = said.join(near(prefix.select("word", "literal")), "word").select("row", "literal").distinct()
+    whole = pairs.join(held, "row").join(near(e.select("literal", "own", "total")), "literal")
+    out = whole.withColumn("share", F.size(F.array_intersect("words", "own")) / F.col("total"))
+    return out.where(F.col("share") >= share).select("key", "literal", "share")
 
 
 def category(rules: list[dict], cls, method, hints, semantic):

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from ..functions.exprs import duration_ms, extract
 
 NUM = "-?\\d+(?:\\.\\d+)?(?:[Ee]-?\\d+)?"
-_ANDROID_LOCATION = "(?<![A-Za-z0-9_])Location\\[((?:[^\\[\\]]|\\[(?:[^\\[\\]]|\\[[^\\[\\]]*\\])*\\])*)(?:\\](?:, time: (\\d+))?)?"
+_LOCATION = "(?<![A-Za-z0-9_])Location\\["
+#: Where no bracket closes a position: its balanced beginning.
+_OPEN_ENDED = "^((?:[^\\[\\]]|\\[(?:[^\\[\\]]|\\[[^\\[\\]]*\\])*\\])*)"
 _PIN = "(?m)(?:(\\d+):)?📍<([+-]?\\d+(?:\\.\\d+)?),([+-]?\\d+(?:\\.\\d+)?)>(?:\\s*\\+/-\\s*([\\d.]+)m)?(?:\\s*\\(speed\\s+(-?[\\d.]+)\\s+mps\\s*/\\s*course\\s+(-?[\\d.]+)\\))?(?:\\s*@\\s*([^|\\n]+?))?(?:\\s*\\|\\s*age:\\s*(\\d+)\\s*ms)?\\s*$"
 _AB = "(?m)^\\s*╟?─?\\s*([AB]):\\s*(.+?)\\s*$"
-_EXTRA = "([A-Za-z_]\\w*)=(" + NUM + ")"
+_PAIR = "(?:^|[\\s,])?[A-Za-z_]\\w*=" + NUM
 
 
 def _d(c: Column) -> Column:
@@ -38,20 +40,75 @@ def _last_wins(pairs: Column, kind: str) -> Column:
     return F.aggregate(pairs, empty, lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])))
 
 
-def _android_location(inner: Column, time: Column) -> Column:
-    head = "^(\\S+) (-?\\d+(?:\\.\\d+)?),(-?\\d+(?:\\.\\d+)?)"
-    num = lambda *keys: _d(F.regexp_extract(inner, f"(?:^|[\\s,])(?:{'|'.join(keys)})=({NUM})", 1))
-    pairs = F.transform(F.regexp_extract_all(inner, F.lit(_EXTRA), F.lit(0)), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substring_index(x, "=", -1).try_cast("double").alias("v")))
+def closed(rest: Column, opening: str = "[", closing: str = "]") -> Column:
+    """Length of what stands before the bracket that closes ``rest``, which begins inside one; null if none does.
+
+    A running depth over the pieces between closing brackets: each opens as many as it holds, and its end closes one."""
+    pieces = F.split(rest, "\\" + closing, -1)
+    opened = lambda p: F.length(p) - F.length(F.replace(p, F.lit(opening), F.lit("")))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(-1).alias("at"))
+
+    def step(s, p):
+        return F.when(s["depth"] > 0, F.struct((s["depth"] + opened(p) - 1).alias("depth"), (s["at"] + F.length(p) + 1).alias("at"))).otherwise(s)
+
+    # the last piece is ended by the text, not by a bracket
+    end = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step)
+    return F.when(end["depth"] == 0, end["at"])
+
+
+def _bracketed(text: Column) -> Column:
+    """(i, t): inside of each outermost position in a text, and the milliseconds written behind it."""
+    chunks = F.split(text, _LOCATION, -1)
+    size = F.length(F.lit("Location["))
+    none = F.array().cast("array<struct<i:string,t:string>>")
+
+    def step(s, chunk):
+        # positions are read from where each begins to the end of the text, since another may stand inside it
+        begin = s["begin"] + F.length(chunk) + size
+        rest = F.substring(text, begin + 1, F.length(text))
+        end = closed(rest)
+        inner = F.coalesce(F.left(rest, end), F.regexp_extract(rest, _OPEN_ENDED, 1))
+        time = F.when(end.isNotNull(), F.regexp_extract(F.substring(rest, end + 2, F.lit(40)), "^, time: (\\d+)", 1))
+        taken = F.struct(begin.alias("begin"), (begin + F.length(inner)).alias("until"), F.concat(s["found"], F.array(F.struct(inner.alias("i"), time.alias("t")))).alias("found"))
+        return F.when(begin < s["until"], s.withField("begin", begin)).otherwise(taken)
+
+    start = F.struct(F.lit(0).alias("begin"), F.lit(-1).alias("until"), none.alias("found"))
+    # the last chunk begins no further position
+    return F.aggregate(F.slice(chunks, F.lit(1), F.size(chunks) - 1), start, step)["found"]
+
+
+def _android_location(inner: Column, time: Column, pairs: Column, head: Column) -> Column:
+    def num(*keys):
+        return F.get(F.filter(pairs, lambda x: x["own"] & x["k"].isin(*keys)), F.lit(0))["v"]
+
+    names = F.reverse(F.transform(pairs, lambda x: x["k"]))
+    values = F.reverse(F.transform(pairs, lambda x: x["v"]))
+    last = F.array_distinct(names)
     return F.struct(
-        _d(F.regexp_extract(inner, head, 2)).alias("lat"), _d(F.regexp_extract(inner, head, 3)).alias("lon"),
+        _d(F.get(head, F.lit(1))).alias("lat"), _d(F.get(head, F.lit(2))).alias("lon"),
         num("hAcc", "acc").alias("acc"), num("vel").alias("speed"), num("bear").alias("course"), num("alt").alias("alt"),
-        extract(inner, head, 1).alias("provider"), F.lower(inner).rlike("\\bmock\\b").alias("mock"),
+        F.nullif(F.get(head, F.lit(0)), F.lit("")).alias("provider"), F.lower(inner).rlike("\\bmock\\b").alias("mock"),
         duration_ms(F.regexp_extract(inner, "et=\\+?(\\S+)", 1)).alias("et_ms"), F.lit(None).cast("bigint").alias("age_ms"),
         F.lit(None).cast("int").alias("batch_index"), F.nullif(time, F.lit("")).try_cast("bigint").alias("time_ms"), F.lit(None).cast("string").alias("time_text"),
-        num("vAcc").alias("vacc"), num("sAcc").alias("sacc"), num("bAcc").alias("bacc"), _last_wins(pairs, "double").alias("extras"),
+        num("vAcc").alias("vacc"), num("sAcc").alias("sacc"), num("bAcc").alias("bacc"),
+        F.map_from_arrays(last, F.transform(last, lambda k: F.element_at(values, F.array_position(names, k).cast("int")))).alias("extras"),
     )
 
 
+def _pairs(inner: Column) -> Column:
+    """key=number of a position: (k, v, own), own if it stands at the begin or behind a blank or comma."""
+    hits = F.regexp_extract_all(inner, F.lit(_PAIR), F.lit(0))
+    bare = lambda x: F.regexp_replace(x, "^[\\s,]", "")
+    first = F.substring_index(inner, "=", 1)
+    return F.transform(hits, lambda x, i: F.struct(F.substring_index(bare(x), "=", 1).alias("k"), F.substring_index(x, "=", -1).try_cast("double").alias("v"), (x.rlike("^[\\s,]") | ((i == 0) & (first == F.substring_index(x, "=", 1)))).alias("own")))
+
+
+def _head(inner: Column) -> Column:
+    """Provider, latitude and longitude, with which a position begins; an empty array where it doesn't."""
+    begin = F.regexp_extract(inner, "^\\S+ -?\\d+(?:\\.\\d+)?,-?\\d+(?:\\.\\d+)?", 0)
+    return F.when(begin != "", F.split(begin, "[ ,](?=-?\\d+(?:\\.\\d+)?(?:,|$))", -1)).otherwise(F.array().cast("array<string>"))
+
+
 def _pin_location(hit: Column) -> Column:
     g = lambda i: F.regexp_extract(hit, _PIN, i)
     none = lambda t: F.lit(None).cast(t)
@@ -69,9 +126,10 @@ def bare_text(raw: Column) -> Column:
 
 
 def locations(bare: Column) -> Column:
-    """All positions of a record's ``bare_text``."""
-    hits = F.regexp_extract_all(bare, F.lit(_ANDROID_LOCATION), F.lit(0))
-    a = F.when(bare.contains("Location["), F.transform(F.transform(hits, lambda x: F.struct(F.regexp_extract(x, _ANDROID_LOCATION, 1).alias("i"), F.regexp_extract(x, _ANDROID_LOCATION, 2).alias("t"))), lambda x: _android_location(x["i"], x["t"])))
+    """All positions of a record's ``bare_text``, brackets inside them nested to any depth."""
+    # each step is an array of its own, so that it is evaluated once per position
+    parts = F.transform(_bracketed(bare), lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"), _pairs(x["i"]).alias("p"), _head(x["i"]).alias("h")))
+    a = F.when(bare.contains("Location["), F.transform(parts, lambda x: _android_location(x["i"], x["t"], x["p"], x["h"])))
     p = F.when(bare.contains("📍<"), F.transform(F.regexp_extract_all(bare, F.lit(_PIN), F.lit(0)), _pin_location))
     return F.filter(F.coalesce(a, p), lambda x: x["lat"].isNotNull() & x["lon"].isNotNull())
 
@@ -111,7 +169,9 @@ def motion_activity(raw: Column) -> Column:
 
 
 def intent(raw: Column) -> Column:
-    inner = F.regexp_extract(raw, "Intent ?\\{((?:[^{}]|\\{(?:[^{}]|\\{[^{}]*\\})*\\})*)", 1)
+    """Fields of an intent, braces inside it nested to any depth; of one that nothing closes, its balanced beginning."""
+    rest = F.get(F.split(raw, "Intent ?\\{", 2), F.lit(1))
+    inner = F.coalesce(F.left(rest, closed(rest, "{", "}")), F.regexp_extract(rest, "^((?:[^{}]|\\{(?:[^{}]|\\{[^{}]*\\})*\\})*)", 1))
     f = lambda k: extract(inner, f"\\b{k}=([^\\s}}]+)").alias(k)
     return F.when(raw.rlike("Intent ?\\{"), F.struct(f("act"), f("dat"), f("cmp")))
 
@@ -135,7 +195,7 @@ def http(raw: Column) -> Column:
 
 def nserror(raw: Column) -> Column:
     p = "Error Domain=(\\S+) Code=(-?\\d+)(?: \\\\?\"(.*?)\\\\?\")?"
-    said = F.coalesce(extract(raw, "UserInfo=\\{NSLocalizedDescription=([^,}]*)"), F.nullif(F.nullif(F.regexp_extract(raw, p, 3), F.lit("(null)")), F.lit("")))
+    said = F.coalesce(extract(raw, "UserInfo=\\{NSLocalizedDescription=([^}]*)"), F.nullif(F.nullif(F.regexp_extract(raw, p, 3), F.lit("(null)")), F.lit("")))
     return F.when(raw.contains("Error Domain="), F.struct(extract(raw, p, 1).alias("domain"), F.nullif(F.regexp_extract(raw, p, 2), F.lit("")).try_cast("bigint").alias("code"), said.alias("desc")))
 
 
