@@ -110,7 +110,7 @@ def duration_ms(text: Column) -> Column:
     parts = [("d", 86_400_000), ("h", 3_600_000), ("m(?!s)", 60_000), ("s", 1000), ("ms", 1)]
     total, some = F.lit(0).cast("bigint"), F.lit(False)
     for unit, ms in parts:
-        v = F.regexp_extract(text, f"(\\d+){unit}", 1).try_cast("bigint")
+        v = F.nullif(F.regexp_extract(text, f"(\\d+){unit}", 1), F.lit("")).try_cast("bigint")
         total, some = total + F.coalesce(v * ms, F.lit(0)), some | v.isNotNull()
     return F.when(some, total)
 

@@ -377,19 +377,19 @@ def token_share(texts: DataFrame, key: str, text: str, entries: DataFrame, share
     are verified on whole word sets. Words that most texts hold join nothing, unless an entry has no rarer ones."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(_WORD.pattern), F.lit(0)))
     near = lambda d: F.broadcast(d) if d.limit(broadcast_rows + 1).count() <= broadcast_rows else d
-    held = written(texts.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words(F.col(text)).alias("words")), "words")
     e = entries.select("literal", words(F.col("s")).alias("own")).withColumn("total", F.size("own")).where(F.col("total") >= least)
     # the least number of words that makes the share, found with the same division as the share itself
     enough = F.element_at(F.filter(F.sequence(F.lit(1), F.col("total")), lambda n: n / F.col("total") >= share), 1)
-    e = written(e.withColumn("need", enough), "entries")
-    each = e.select("literal", "total", "need", F.explode("own").alias("word"))
-    said = held.select("row", F.explode("words").alias("word"))
-    seen = said.join(near(each.select("word").distinct()), "word").groupBy("word").agg(F.count("*").alias("texts"))
+    each = written(e.withColumn("need", enough).select("literal", "total", "need", F.explode("own").alias("word")), "entries")
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words(F.col(text)).alias("words")).select("row", "key", F.explode("words").alias("word"))
+    said = written(rows.join(near(each.select("word").distinct()), "word"), "words")
+    seen = said.groupBy("word").agg(F.count("*").alias("texts"))
     rarest = F.row_number().over(Window.partitionBy("literal").orderBy(F.coalesce("texts", F.lit(0)), "word"))
     prefix = each.join(seen, "word", "left").withColumn("nth", rarest).where(F.col("nth") <= F.col("total") - F.col("need") + 1)
-    pairs = said.join(near(prefix.select("word", "literal")), "word").select("row", "literal").distinct()
-    whole = pairs.join(held, "row").join(near(e.select("literal", "own", "total")), "literal")
-    out = whole.withColumn("share", F.size(F.array_intersect("words", "own")) / F.col("total"))
+    prefix = written(prefix.select("word", "literal"), "prefixes")
+    pairs = written(said.join(near(prefix), "word").select("row", "literal").distinct(), "pairs")
+    held = said.join(near(pairs), "row").join(near(each.select("literal", "word", "total")), ["literal", "word"])
+    out = held.groupBy("row", "literal").agg(F.first("key").alias("key"), (F.count("*") / F.first("total")).alias("share"))
     return out.where(F.col("share") >= share).select("key", "literal", "share")
 
 

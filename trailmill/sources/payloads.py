@@ -77,7 +77,7 @@ def _bracketed(text: Column) -> Column:
     return F.aggregate(F.slice(chunks, F.lit(1), F.size(chunks) - 1), start, step)["found"]
 
 
-def _android_location(inner: Column, time: Column, pairs: Column, head: Column) -> Column:
+def _android_location(inner: Column, time: Column, pairs: Column, head: Column, elapsed: Column) -> Column:
     def num(*keys):
         return F.get(F.filter(pairs, lambda x: x["own"] & x["k"].isin(*keys)), F.lit(0))["v"]
 
@@ -88,7 +88,7 @@ def _android_location(inner: Column, time: Column, pairs: Column, head: Column)
         _d(F.get(head, F.lit(1))).alias("lat"), _d(F.get(head, F.lit(2))).alias("lon"),
         num("hAcc", "acc").alias("acc"), num("vel").alias("speed"), num("bear").alias("course"), num("alt").alias("alt"),
         F.nullif(F.get(head, F.lit(0)), F.lit("")).alias("provider"), F.lower(inner).rlike("\\bmock\\b").alias("mock"),
-        duration_ms(F.regexp_extract(inner, "et=\\+?(\\S+)", 1)).alias("et_ms"), F.lit(None).cast("bigint").alias("age_ms"),
+        duration_ms(elapsed).alias("et_ms"), F.lit(None).cast("bigint").alias("age_ms"),
         F.lit(None).cast("int").alias("batch_index"), F.nullif(time, F.lit("")).try_cast("bigint").alias("time_ms"), F.lit(None).cast("string").alias("time_text"),
         num("vAcc").alias("vacc"), num("sAcc").alias("sacc"), num("bAcc").alias("bacc"),
         F.map_from_arrays(last, F.transform(last, lambda k: F.element_at(values, F.array_position(names, k).cast("int")))).alias("extras"),
@@ -128,8 +128,8 @@ def bare_text(raw: Column) -> Column:
 def locations(bare: Column) -> Column:
     """All positions of a record's ``bare_text``, brackets inside them nested to any depth."""
     # each step is an array of its own, so that it is evaluated once per position
-    parts = F.transform(_bracketed(bare), lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"), _pairs(x["i"]).alias("p"), _head(x["i"]).alias("h")))
-    a = F.when(bare.contains("Location["), F.transform(parts, lambda x: _android_location(x["i"], x["t"], x["p"], x["h"])))
+    parts = F.transform(_bracketed(bare), lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"), _pairs(x["i"]).alias("p"), _head(x["i"]).alias("h"), F.nullif(F.regexp_extract(x["i"], "et=\\+?(\\S+)", 1), F.lit("")).alias("e")))
+    a = F.when(bare.contains("Location["), F.transform(parts, lambda x: _android_location(x["i"], x["t"], x["p"], x["h"], x["e"])))
     p = F.when(bare.contains("📍<"), F.transform(F.regexp_extract_all(bare, F.lit(_PIN), F.lit(0)), _pin_location))
     return F.filter(F.coalesce(a, p), lambda x: x["lat"].isNotNull() & x["lon"].isNotNull())
 
@@ -382,8 +382,11 @@ def _config(raw: pd.Series) -> pd.DataFrame:
 
 
 def annotate(records: DataFrame) -> DataFrame:
-    """``records`` with ``structs``. Only records that can hold a dump go through Python."""
+    """``records`` with ``structs``. Only records that can hold a dump go through Python. Parsing is the costly part, so
+    records are dealt evenly before it: windows leave whole captures in few tasks."""
     raw = F.col("raw")
+    if "capture_id" in records.columns:
+        records = records.repartition("capture_id", "seq")
     # what is used more than once is a column of its own, so that it is evaluated once
     d = records.withColumn("__bare", bare_text(raw)).withColumn("__locs", locations(F.col("__bare"))).withColumn("__filter", filter_map(raw))
     many = (F.size("__locs") > 1) | F.exists("__locs", lambda x: x["batch_index"].isNotNull())
