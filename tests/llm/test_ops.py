@@ -179,11 +179,29 @@ def test_recall_weighs_vectors_and_tables_grow(spark):
     truth = spark.createDataFrame([(1, i) for i in range(100, 400)] + [(2, 3), (4, 5)], "u bigint, v bigint")
     comps = spark.createDataFrame([(x, 1) for x in [1, *range(100, 400)]] + [(4, 4), (5, 4)], "node bigint, component bigint")
     assert abs(neardup_vectors._recall(truth, comps) - 2 / 3) < 1e-9
-    assert neardup_vectors._recall(truth.where("u < 0"), comps) == 1.0
+    assert neardup_vectors._recall(truth.where("u < 0"), comps) is None
     sizes = [neardup_vectors._tables_for(n, 0.93, 0.99) for n in (0, 100, 5000, 100_000, 3_000_000)]
     assert sizes == sorted(sizes) and sizes[0] == 1 and sizes[-1] > 2 * sizes[2]
 
 
+def test_few_links_are_audited_by_other_sorts(spark, monkeypatch):
+    """A hundred audited vectors of many, none of them linked: the graph's lost links are seen all the same."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(400, 16))
+    v[1], v[3] = v[0] * 2, v[2] + 0.01
+    df = spark.createDataFrame([(i, [float(x) for x in r], "l") for i, r in enumerate(v)], "vec_id bigint, embedding array<double>, label string")
+    monkeypatch.setattr(neardup_vectors, "_audit", lambda nodes, threshold, audit: spark.createDataFrame([], "u bigint, v bigint"))
+    real, calls = neardup_vectors.neighbour_graph, []
+
+    def blind(nodes, *a):
+        calls.append(a)
+        return real(nodes, *a).where("false")
+
+    monkeypatch.setattr(neardup_vectors, "neighbour_graph", blind)
+    got = {r.vec_id: r.component_id for r in neardup_vectors.vector_dedup(df).collect()}
+    assert len(calls) > 2 and got[1] == 0 and got[3] == 2 and got[5] == 5
+
+
 def test_every_turn_is_measured_and_the_last_resort_is_exact(spark, monkeypatch):
     rng = np.random.default_rng(7)
     v = np.repeat(rng.standard_normal((60, 16)), 2, axis=0) + 0.08 * rng.standard_normal((120, 16))
@@ -463,6 +481,14 @@ def test_language_samples_are_of_different_texts_and_places(spark):
     assert s.count("copy of a text") <= 1 and sum(f"word{c}" in s for c in "abcdefghij") >= 3
 
 
+def test_language_samples_with_null_and_repeated_ids(spark, monkeypatch):
+    rows = [(None, f"text number {i} of many", "en") for i in range(500)] + [(7, f"noch ein text {i}", "de") for i in range(500)] + [(None, "always the same", "fr")] * 500 + [(1, "seul", "fr")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = langid.training_samples(df, "doc_id", "text", "lang", 4, 4000)
+    assert {k: len(v.split("\n")) for k, v in got.items()} == {"en": 4, "de": 4, "fr": 2} and "seul" in got["fr"]
+    assert got == langid.training_samples(df.repartition(7), "doc_id", "text", "lang", 4, 4000)
+
+
 def test_language_id(spark):
     vocab = {"en": ["the", "and", "house", "running", "with"], "de": ["der", "und", "haus", "laufen", "mit"], "fr": ["le", "et", "maison", "courir", "avec"]}
     rnd = random.Random(9)
@@ -490,7 +516,7 @@ def test_language_id(spark):
 @pytest.fixture(scope="module")
 def codec():
     with open(pieces.default_model(), "rb") as f:
-        return pieces.PieceCodec(f.read(), cache=500, pairs=2000)
+        return pieces.PieceCodec(f.read(), cache_bytes=100_000, pairs=2000)
 
 
 def test_codec_equals_the_library(codec):
@@ -509,6 +535,17 @@ def test_codec_equals_the_library(codec):
     assert codec.encode(long) == sp.encode(long)
 
 
+def test_caches_are_bounded_by_bytes():
+    import sys
+
+    with open(pieces.default_model(), "rb") as f:
+        c = pieces.PieceCodec(f.read(), cache_bytes=200_000)
+    for i in range(3000):
+        c.encode_text("".join(chr(0x1F300 + (i * 7 + j) % 500) for j in range(60)) + f" w{i}")
+    size = lambda d: sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in d.items())
+    assert size(c.chunks) < 200_000 and size(c.chunks.old) < 200_000 and size(c.inner) < 200_000
+
+
 def test_encode_decode_rows(spark):
     ts = texts(4)
     got = {r.doc_id: r for r in pieces.encode_decode(documents(spark, ts), ids=True).collect()}

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 UNKNOWN = "und"
 _FLAG = np.uint32(1 << 31)
@@ -264,21 +265,17 @@ class CrossParser:
 def training_samples(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int, train_chars: int) -> dict[str, str]:
     """Text per language: of the rows of least hash, different texts of at most ``train_docs`` rows and ``train_chars``
     characters, from a place in each text that its hash names."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    if not counts:
-        return {}
-    # a threshold on the hash keeps about three times the rows needed, wherever they lie
-    chance = F.when(F.lit(False), 0.0)
-    for lang, n in counts.items():
-        chance = chance.when(F.col(lang_col) == lang, min(1.0, 3.0 * train_docs / n))
-    some = rows.where(F.pmod(key, F.lit(1 << 30)) <= chance * float(1 << 30))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("g"), F.xxhash64(text_col).alias("h"), F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    # ids can be null or repeated: different texts are told apart by their hash, and each stands for itself once
+    keys = rows.groupBy("g", "h").agg(F.min(F.xxhash64("i", "h")).alias("k"))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("k", "h"))
+    least = keys.withColumn("r", rank).where(F.col("r") <= train_docs).select(F.col("g").alias("g2"), F.col("h").alias("h2"), "k")
     each = max(1, train_chars // train_docs)
-    room = F.greatest(F.lit(1), F.char_length(text_col) - 4 * each + 1)
-    at = (F.pmod(F.xxhash64(text_col), room) + 1).cast("int")
-    cut = some.select(F.col(lang_col).alias("g"), key.alias("k"), F.substring(F.col(text_col), at, F.lit(4 * each)).alias("t"))
-    picked = cut.groupBy("g", "t").agg(F.min("k").alias("k")).collect()
+    room = F.greatest(F.lit(1), F.char_length("t") - 4 * each + 1)
+    at = (F.pmod(F.col("h"), room) + 1).cast("int")
+    # at most train_docs rows a language: broadcast, and their cuts are all that is collected
+    some = rows.join(F.broadcast(least), (F.col("g") == F.col("g2")) & (F.col("h") == F.col("h2")))
+    picked = some.groupBy("g", "h").agg(F.min("k").alias("k"), F.min(F.substring(F.col("t"), at, F.lit(4 * each))).alias("t")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: (r.g, r.k, r.t)):
         got = out.setdefault(r.g, [])

@@ -7,7 +7,7 @@ alone, and remembered. The ids are then recovered backwards from the whole chunk
 result exactly if all its neighbours are compatible, so the table gives what merging the whole text would.
 
 Chunks: no piece has a space mark after another character, so texts are cut before each run of space marks, and at
-characters that no piece holds; results of chunks of at most ``KEPT`` characters are cached, a bounded number of them.
+characters that no piece holds; results of chunks of at most ``KEPT`` characters are cached, up to a number of bytes.
 
 Defined cases: null is an empty text and has no ids; characters outside the model become byte pieces (the unknown id
 in a model without them); a very long chunk takes time linear in its length; equal rows get equal results.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 
 import ahocorasick
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Longer chunks are encoded each time, so that a cache of n entries holds n times as many characters at most.
+#: Longer chunks are encoded each time.
 KEPT = 256
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
@@ -75,7 +76,7 @@ def read_model(data: bytes) -> list[tuple[str, float, int]]:
 
 
 class PieceCodec:
-    def __init__(self, data: bytes, cache: int = 200_000, pairs: int = 400_000):
+    def __init__(self, data: bytes, cache_bytes: int = 64 << 20, pairs: int = 400_000):
         pieces = read_model(data)
         self.score = {p: s for p, s, t in pieces if t == _NORMAL}
         self.ids = {p: i for i, (p, _, t) in enumerate(pieces) if t == _NORMAL}
@@ -85,7 +86,7 @@ class PieceCodec:
         self.is_byte = [t == _BYTE for _, _, t in pieces]
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("a piece has a space mark after another character")
-        self.max_cache, self.max_pairs = cache, pairs
+        self.max_bytes, self.max_pairs = cache_bytes, pairs
         chars = sorted(set("".join(self.score)) | {SPACE})
         self.hard = re.compile("([^" + re.escape("".join(chars)) + "])")
         self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
@@ -105,6 +106,7 @@ class PieceCodec:
         self.pair: dict[int, bool] = {}
         self.chunks: dict[str, str] = _Chunks(self)
         self.inner: dict[str, str] = {}
+        self.inner_bytes = 0
         self.odd = False
 
     def _merge(self, s: str) -> list[str]:
@@ -132,13 +134,13 @@ class PieceCodec:
                 continue
             if j >= 0:
                 u = last[j]
-                ok = get(u << 16 | t)
+                ok = get(u << 32 | t)
                 if ok is None:
                     a, b = self.text[u], self.text[t]
                     ok = self._merge(a + b) == [a, b]
                     if len(pair) >= self.max_pairs:
                         pair.clear()
-                    pair[u << 16 | t] = ok
+                    pair[u << 32 | t] = ok
                 if not ok:
                     continue
             last[end], back[end] = t, j
@@ -182,8 +184,10 @@ class PieceCodec:
                 if self.decode_bytes(ids) != part.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
                     self.odd = True
                 elif len(part) <= KEPT:
-                    if len(inner) >= self.max_cache:
+                    self.inner_bytes += _held(part, got)
+                    if self.inner_bytes > self.max_bytes:
                         inner.clear()
+                        self.inner_bytes = _held(part, got)
                     inner[part] = got
             found.append(got)
         return ",".join(found)
@@ -250,11 +254,16 @@ def _utf8(b: bytes) -> str:
     return "".join(out)
 
 
+def _held(key: str, value: str) -> int:
+    """Bytes that an entry of a cache takes, its place in the table included."""
+    return sys.getsizeof(key) + sys.getsizeof(value) + 100
+
+
 class _Chunks(dict):
     """Cache of two generations: what is asked for again stays when the older half goes."""
 
     def __init__(self, codec: PieceCodec):
-        self.codec, self.old = codec, {}
+        self.codec, self.old, self.bytes = codec, {}, 0
 
     def __missing__(self, key: str):
         got = self.old.get(key)
@@ -266,9 +275,11 @@ class _Chunks(dict):
             self.codec.odd = odd
             if "\n" in key or len(key) > KEPT:
                 return got
-        if len(self) >= self.codec.max_cache:
+        self.bytes += _held(key, got)
+        if self.bytes > self.codec.max_bytes:
             self.old = dict(self)
             self.clear()
+            self.bytes = _held(key, got)
         self[key] = got
         return got
 
