@@ -102,3 +102,18 @@ def test_sweeps_over_overlapping_intervals(spark, large):
         want = min(mine, default=(None, None))
         assert got[k, i] == (None if want[0] is None else -want[0], want[1])
         assert n[k, i] == sum(kk == k and lo <= at <= (1000 if hi is None else hi) for kk, at, _, _ in right)
+
+
+def test_prefix_ladder_against_pairs(spark):
+    from trailmill.sources import captures as C
+
+    rnd = random.Random(4)
+    base = ["".join(rnd.choice("ab") for _ in range(n)) for n in (1, 2, 3, 5, 9, 17, 300, 700)]
+    texts = [b[: rnd.randint(0, len(b))] + rnd.choice(["", "", "x", "ab"]) for b in base * 12] + ["ü" * 5, "ü" * 4, "😀b", "😀", None, ""]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.k: r.duplicate for r in C.duplicates(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()}
+    plain = [t or "" for t in texts]
+    assert got == {i: any((u == t and j < i) or (len(u) > len(t) and u.startswith(t)) for j, u in enumerate(plain)) for i, t in enumerate(plain)}
+    assert C.duplicates(spark.createDataFrame([], "k int, t string"), "k", "t").count() == 0
+    alone = C.duplicates(spark.createDataFrame([(1, ""), (2, "")], "k int, t string"), "k", "t").collect()
+    assert {r.k: r.duplicate for r in alone} == {1: False, 2: True}

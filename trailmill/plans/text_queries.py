@@ -171,6 +171,24 @@ def parse_rendered_log(spark, d):
     return r.select("capture_id", "seq", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "level", "tag_class", "tag_method", "icon", "header_msg", F.array_join("body", "\n").alias("body"))
 
 
+@query("""WITH e AS (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events)
+SELECT day AS capture_id, row_number() OVER (PARTITION BY day ORDER BY event_id) - 1 AS seq, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms, CASE WHEN event_type = 'error' THEN '🔴' ELSE '🔵' END AS icon,
+CASE WHEN user_id % 4 > 0 THEN 'TS' || event_type END AS tag_class, CASE WHEN user_id % 4 > 0 THEN 'run:' || user_id % 9 END AS tag_method, props AS header_msg, CASE WHEN event_type = 'click' THEN 'user ' || user_id ELSE '' END AS body,
+CASE WHEN event_type = 'view' THEN CASE WHEN user_id % 2 = 0 THEN 'ENTER' ELSE 'EXIT' END END AS action FROM e""")
+def parse_rendered_ios(spark, d):
+    """The second grammar: icon and call site are optional, blank lines between records go, fences are announced."""
+    e = events(spark, d)
+    call = F.when(F.col("user_id") % 4 > 0, F.concat(F.lit("-[TS"), F.col("event_type"), F.lit(" run:"), (F.col("user_id") % 9).cast("string"), F.lit("] "))).otherwise("")
+    head = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), F.when(F.col("event_type") == "error", "🔴").otherwise("🔵"), F.lit(" "), call, F.col("props"))
+    fence = F.concat(F.lit("\n📢 "), F.when(F.col("user_id") % 2 == 0, "ENTER").otherwise("EXIT"), F.lit(" Geofence: Home"))
+    body = F.when(F.col("event_type") == "click", F.concat(F.lit("\nuser "), F.col("user_id").cast("string"), F.lit("\n\n"))).when(F.col("event_type") == "view", fence).otherwise("\n")
+    rec = e.select("day", "event_id", F.concat(head, body).alias("x"))
+    g = rec.groupBy("day").agg(F.array_join(F.array_sort(F.collect_list(F.struct("event_id", "x")))["x"], "\n").alias("text"))
+    r = P.annotate(R.assemble(g.select(F.col("day").alias("capture_id"), F.lit("ios").alias("platform"), F.lit(None).cast("int").alias("year"), "text")))
+    quiet = F.when(F.col("structs.geofence").isNull(), F.array_join("body", "\n")).otherwise("")
+    return r.select("capture_id", "seq", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "icon", "tag_class", "tag_method", "header_msg", quiet.alias("body"), F.col("structs.geofence.action").alias("action"))
+
+
 @query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS capture_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) - 1 AS seq, CAST(event_id % 90 AS DOUBLE) AS lat, -CAST(user_id % 180 AS DOUBLE) AS lon, CAST(event_id % 50 AS DOUBLE) AS acc, CAST((event_id % 100) * 1000 AS BIGINT) AS et_ms FROM events""")
 def payload_location(spark, d):
     body = F.concat(F.lit("\n  Location[fused "), (F.col("event_id") % 90).cast("string"), F.lit(".000,-"), (F.col("user_id") % 180).cast("string"), F.lit(".0 hAcc="), (F.col("event_id") % 50).cast("string"), F.lit(" et=+"), (F.col("event_id") % 100).cast("string"), F.lit("s0ms {Bundle[{k=1}]}]"))
@@ -187,9 +205,9 @@ def payload_filter(spark, d):
     return s.select("capture_id", "seq", f["decision"].alias("decision"), f["raw"].alias("raw"), f["reason"].alias("reason"))
 
 
-@query()
+@query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS capture_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) - 1 AS seq, '{"user": ' || user_id || ', "opts": {"a": [1, 2]}}' AS data, true AS truncated FROM events""")
 def config_dump(spark, d):
-    """Truncated JSON dumps: rows and unit tests only."""
+    """Truncated JSON dumps: complete keys stay."""
     body = F.concat(F.lit('\n{\n  "user": '), F.col("user_id").cast("string"), F.lit(',\n  "opts": {\n    "a": [1, 2]\n  },\n  "cut": "'))
     s = P.annotate(R.assemble(_rendered(spark, d, body)))
     c = F.col("structs.config_dump")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from ..operators import scan
+from ..operators.shared import written
 
 #: Line ends of Unicode text: CR LF, or one of the characters that end a line.
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
@@ -100,23 +102,28 @@ def with_platform(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("platform", F.coalesce("db_platform", sniffed) if "db_platform" in df.columns else sniffed)
 
 
-def duplicates(df: DataFrame, key: str, text: str, block: int = 256) -> DataFrame:
+def duplicates(df: DataFrame, key: str, text: str, place_chars: int = 64) -> DataFrame:
     """(key, duplicate): a text is a duplicate if an earlier row (by ``key``) is equal, or another text continues it.
 
-    A text that another one continues is followed by such a text in sorted order, so a sort inside groups of equal
-    beginnings finds it; texts shorter than ``block`` meet longer ones by equality of the beginning. No pair of rows is
-    compared. The empty text is the beginning of every other."""
-    t = F.col(text)
-    d = df.select(F.col(key).alias("k"), F.coalesce(t, F.lit("")).alias("t")).withColumn("h", F.sha2("t", 256)).withColumn("n", F.length("t"))
-    distinct = d.groupBy("h").agg(F.min("k").alias("k"), F.first("t").alias("t"), F.first("n").alias("n"))
-    long = distinct.where(F.col("n") >= block).withColumn("b", F.xxhash64(F.left("t", F.lit(block))))
-    w = Window.partitionBy("b").orderBy("t")
-    cont = long.select("h", F.coalesce(F.lead("t").over(w).startswith(F.col("t")), F.lit(False)).alias("c")).where("c").select("h")
-    short = distinct.where(F.col("n") < block)
-    sizes = [r[0] for r in short.select("n").distinct().collect()]  # at most ``block`` numbers
-    if sizes:
-        starts = distinct.select("h", "n", F.explode(F.array(*map(F.lit, sizes))).alias("m"), "t").where("m < n")
-        starts = starts.select("m", F.xxhash64(F.expr("left(t, m)")).alias("x")).distinct()
-        cont = cont.union(short.join(starts, (short.n == starts.m) & (F.xxhash64("t") == starts.x), "left_semi").select("h"))
-    d = d.select("k", "h").join(distinct.select("h", F.col("k").alias("first")), "h").join(cont.distinct().withColumn("cont", F.lit(True)), "h", "left")
+    A ladder: each different text has the hashes of its beginnings of 1, 2, 4, 8 … characters, and can only be continued by
+    texts that share the longest of its own. Texts of a rung that some text ends on are sorted; one that others continue is
+    followed by such a one, which is looked at character by character. The sort is cut by rung, hash and the characters
+    behind the beginning, so that a beginning which many texts share is not one task. The empty text is the beginning of
+    every other."""
+    d = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.sha2("t", 256))
+    distinct = d.groupBy("h").agg(F.min("k").alias("k"), F.first("t").alias("t"))
+    distinct = written(distinct.withColumn("n", F.length("t")), "texts")
+    rungs = F.transform(F.sequence(F.lit(0), F.floor(F.log2("n")).cast("int")), lambda i: F.pow(F.lit(2), i).cast("int"))
+    ladder = distinct.where("n > 0").select("h", "n", "t", F.explode(rungs).alias("p"))
+    ladder = written(ladder.select("h", "p", F.xxhash64(F.expr("left(t, p)")).alias("b"), (F.col("n") < 2 * F.col("p")).alias("ends")), "beginnings")
+    shared = ladder.groupBy("p", "b").agg(F.count("*").alias("m"), F.max("ends").alias("ends")).where("ends and m > 1").select("p", "b")
+    meet = ladder.join(shared, ["p", "b"]).select("h", "p", "b").join(distinct.select("h", "t"), "h")
+    behind = lambda i: F.substring(F.col("t"), F.col("p") + 1 + i * place_chars, F.lit(place_chars))
+    meet = meet.select("h", "p", "b", behind(0).alias("s0"), behind(1).alias("s1"), "t")
+    order = ["s0", "s1", "t"]
+    meet = scan.run(scan.deal(meet, ["p", "b"], order, cut=["s0", "s1"]), ["p", "b"], order, after=scan.following(F.col("t")))
+    cont = meet.where(F.col("after").startswith(F.col("t"))).select("h").distinct()
+    some = distinct.where("n > 0").limit(1).select(F.lit("").alias("t"))
+    cont = cont.union(distinct.where("n = 0").join(some, "t", "left_semi").select("h"))
+    d = d.select("k", "h").join(distinct.select("h", F.col("k").alias("first")), "h").join(cont.withColumn("cont", F.lit(True)), "h", "left")
     return d.select(F.col("k").alias(key), (F.coalesce("cont", F.lit(False)) | (F.col("k") != F.col("first"))).alias("duplicate"))
