@@ -211,16 +211,54 @@ def test_petals_and_caps(spark):
     assert [(r.v, r.n, r["rank"]) for r in capped.orderBy("rank").collect()] == [("b", 2, 1), ("a", 1, 2)]
 
 
-def test_streams_equal_batches(spark, tmp_path):
+def _streamed(spark, tmp_path, batches, make, name, mode="append"):
+    """The rows of a stream that gets ``batches`` one file at a time."""
+    src = tmp_path / f"in-{name}"
+    src.mkdir()
+    for i, rows in enumerate(batches):
+        part = str(tmp_path / f"{name}-{i}")
+        spark.createDataFrame(rows, "k int, ts timestamp").coalesce(1).write.parquet(part)
+        file = next(f for f in os.listdir(part) if f.endswith(".parquet"))
+        os.rename(f"{part}/{file}", src / f"{i:03d}.parquet")
+        os.utime(src / f"{i:03d}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    s = spark.readStream.schema("k int, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(src))
+    q = make(s).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).collect(), q
+
+
+def test_counts_of_a_stream(spark, tmp_path):
     rows = [(i % 3, T0 + timedelta(seconds=700 * i)) for i in range(40)]
-    src = str(tmp_path / "in")
-    spark.createDataFrame(rows, "k int, ts timestamp").coalesce(1).write.parquet(src)
-    s = spark.readStream.schema("k int, ts timestamp").parquet(src)
-    for name, df, mode in (("gaps", stream.stream_gaps(s, "k", "ts", "1 hour", 2000.0), "append"), ("counts", stream.windowed_counts(s, "ts", ["k"], "1 hour", "1 hour"), "complete")):
-        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination()
-    assert spark.table("gaps").count() == 37 and {r.gap_s for r in spark.table("gaps").collect()} == {2100.0}
-    assert spark.table("counts").agg(F.sum("n")).first()[0] == 40
+    got, _ = _streamed(spark, tmp_path, [rows], lambda s: stream.windowed_counts(s, "ts", ["k"], "1 hour", "1 hour"), "counts", "complete")
+    assert sum(r.n for r in got) == 40
+
+
+def test_silences_of_a_stream_equal_the_batch(spark, tmp_path):
+    stream.use_timers(spark)
+    rng = random.Random(6)
+    at = [T0 + timedelta(seconds=s) for s in sorted(rng.sample(range(200_000), 90))]
+    rows = [(i % 3, t) for i, t in enumerate(at)]
+    # out of order by less than the watermark's hour, over several micro-batches
+    dealt = sorted(rows, key=lambda r: (r[1] + timedelta(seconds=rng.randrange(1800)), r[0]))
+    batches = [dealt[i : i + 30] for i in range(0, 90, 30)] + [[(9, T0 + timedelta(days=5))], [(1, T0 + timedelta(days=1)), (9, T0 + timedelta(days=6))]]
+    got, _ = _streamed(spark, tmp_path, batches, lambda s: stream.stream_gaps(s, "k", "ts", "1 hour", 4000.0), "gaps")
+    want = []
+    for k in range(3):
+        mine = [t for kk, t in rows if kk == k]
+        want += [(k, b - a) for a, b in zip(mine, mine[1:]) if (b - a).total_seconds() >= 4000]
+    # the event of day 1 came when the watermark was at day 5: it is late and makes no silence
+    assert sorted((r.key, r.end - r.start) for r in got) == sorted(want)
+
+
+def test_state_of_a_stream_ends(spark, tmp_path):
+    stream.use_timers(spark)
+    day = timedelta(days=1)
+    batches = [[(1, T0), (2, T0)], [(3, T0 + 2 * day)], [(3, T0 + 3 * day)], [(1, T0 + 4 * day), (3, T0 + 4 * day)], [(3, T0 + 6 * day)], [(3, T0 + 7 * day)]]
+    make = lambda s: stream.stream_gaps(s, "k", "ts", "1 hour", 3600.0, forget_s=86400.0 * 1.5)
+    got, q = _streamed(spark, tmp_path, batches, make, "ended")
+    assert not [r for r in got if r.key == 1] and {r.gap_s for r in got if r.key == 3} <= {86400.0, 2 * 86400.0}
+    kept = next(p.stateOperators[0].numRowsTotal for p in reversed(q.recentProgress) if p.stateOperators)
+    assert kept <= 6  # last time, waiting times and timers of key 3 alone
 
 
 def test_entry_works_without_the_llm_subpackage(tmp_path):
