@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import argparse
-import json
 import os
 import re
 import sys
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +16,11 @@ from ..sources import captures as C
 from ..sources import payloads as P
 from ..sources import records as R
 from ..operators import sequence as S
+from ..operators.shared import written
 from . import findings as N
 from . import layers as L
 from . import enrich as E
-from . import redact, router, sinks
+from . import redact, report, router, sinks
 from .vocabulary import Entry, Meanings, classify, interpret, load_entries, load_meanings
 
 VERSION = "0.1.0"
@@ -42,20 +41,22 @@ def prepare(captures: DataFrame, large: bool = False) -> DataFrame:
 
 
 def analyze(spark: SparkSession, paths: list[str], year: int | None = None, entries: list[Entry] | None = None, excerpt: bool = False, heartbeat_s: float | None = None, rules: router.Rules | None = None, builds: dict[str, str] | None = None, meanings: Meanings | None = None, large_bytes: int = 64 << 20) -> Analysis:
-    """All findings of all captures as tables; nothing runs until a table is used, but for the records, which many
-    tables share and which are kept (on disk beyond memory). ``rules`` place and leave out markers; ``builds`` names the
+    """All findings of all captures as tables. Records, silences and classified records, which many tables share, are written
+    to the shared folder; nothing else runs until a table is used. ``rules`` place and leave out markers; ``builds`` names the
     versions of build numbers; ``meanings`` gives classified records categories and meanings of icons. If a file has more than
     ``large_bytes``, captures are dealt in segments, so that none of them is one task."""
     found = C.read_captures(spark, paths, year)
     dup = C.duplicates(found.where("kind = 'text'").select("path", "text"), "path", "text")
     found = found.join(dup, "path", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
-    m = prepare(found.where("not duplicate and kind = 'text' and platform <> 'unknown'"), C.largest_bytes(spark, paths) > large_bytes).persist(StorageLevel.MEMORY_AND_DISK)
-    seg, gap = N.segments(m), N.gaps(m)
+    m = prepare(found.where("not duplicate and kind = 'text' and platform <> 'unknown'"), C.largest_bytes(spark, paths) > large_bytes)
+    # a table in the shared folder: its readers take the columns they need, and plans begin anew behind it
+    m = written(m, "records")
+    seg, gap = N.segments(m), written(N.gaps(m), "gaps")
     cov = unk = kinds = None
     if entries:
         versioned = m.join(seg.select("capture_id", "segment", F.col("version").alias("v")), ["capture_id", "segment"], "left")
         k = classify(versioned.select("capture_id", "seq", "platform", "raw", "tag_class", "tag_method", "level", "icon", X.resolve_version(F.col("v"), builds or {}).alias("version")), entries)
-        k = interpret(k, meanings or Meanings()).persist(StorageLevel.MEMORY_AND_DISK)
+        k = written(interpret(k, meanings or Meanings()), "classified")
         cov, unk = N.coverage(k), N.unknown_examples(k)
         kinds = k.groupBy("capture_id", "category", k.klass.semantic.alias("semantic"), k.klass.family.alias("family")).agg(F.count("*").alias("n"))
     h, cfg = N.header(m), N.config(m)
@@ -126,6 +127,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--version", action="version", version=VERSION)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("trailmill").getOrCreate()
+    if spark.conf.get("spark.sql.shuffle.partitions") == "200":  # the default: a partition for each 16 MB instead
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(spark.sparkContext.defaultParallelism, -(-C.total_bytes(spark, a.files) // (16 << 20)))))
     entries: list[Entry] = []
     for v in a.vocabulary:
         platform, _, path = v.partition("=")
@@ -149,35 +152,12 @@ def main(argv: list[str] | None = None) -> int:
     for w in warnings:
         print(w, file=sys.stderr)
     res = analyze(spark, a.files, a.year, entries or None, rules=rules, meanings=meanings)
-    ids = [r[0] for r in res.tables["header"].select("capture_id").orderBy("capture_id").collect()]
     made = sinks.output_dir(a.out)
     aliases = redacted(res.records)[1] if a.redact else None
-    for i in ids:
-        folder = os.path.join(a.out, i)
-        os.makedirs(folder, exist_ok=True)
-        text = sinks.digest(res.tables, i)
-        if aliases is not None:
-            table = aliases.where(F.col("capture_id") == i).orderBy(F.desc(F.length("raw")), "raw").collect()
-            if table:
-                names = {r.raw: r.alias for r in table}
-                whole = re.compile("(?<![\\w.])(?:" + "|".join(map(re.escape, names)) + ")(?!\\w)")  # longest first, none inside a longer word or number
-                text = whole.sub(lambda hit: names[hit[0]], text)
-                with open(os.path.join(folder, "aliases.local.json"), "w", encoding="utf-8") as f:
-                    json.dump({r.alias: r.raw for r in table}, f, ensure_ascii=False, indent=1, sort_keys=True)
-        with open(os.path.join(folder, "digest.md"), "w", encoding="utf-8") as f:
-            f.write(text)
-        with open(os.path.join(folder, "digest.json"), "w", encoding="utf-8") as f:
-            doc = {k: [json.loads(x[0]) for x in sinks.json_rows(v.where(F.col("capture_id") == i)).collect()] for k, v in res.tables.items() if v is not None}
-            json.dump(doc, f, ensure_ascii=False, indent=1, sort_keys=True)
-        if a.map and sinks.worth_a_map(res.features, i):
-            doc = sinks.layer_document(res.features, i)
-            with open(os.path.join(folder, "map.html"), "w", encoding="utf-8") as f:
-                f.write(sinks.map_page(doc, i))
-            if a.locations:
-                with open(os.path.join(folder, "locations.geojson"), "w", encoding="utf-8") as f:
-                    json.dump(doc, f, ensure_ascii=False)
-    print(f"{len(ids)} captures in {a.out}" + (" (new, ignored by git)" if made else "") + "; aliases.local.json and digest.json (not redacted) are not for sharing", file=sys.stderr)
-    return 0 if ids else 1
+    report.write(res.tables, res.features, aliases, a.out, a.map, a.locations)
+    n = res.tables["header"].count()
+    print(f"{n} captures in {a.out}" + (" (new, ignored by git)" if made else "") + "; aliases.local.json and digest.json (not redacted) are not for sharing", file=sys.stderr)
+    return 0 if n else 1
 
 
 if __name__ == "__main__":

@@ -7,12 +7,11 @@ from __future__ import annotations
 
 import json
 import os
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import exprs as X
-
 #: Rows per section of the digest.
 CAPS = {"errors": 20, "warnings": 12, "segments": 30, "lane": 16, "gaps": 40, "connectivity": 10, "urls": 12, "power": 10, "heartbeats": 20, "auth": 8}
 CAVEAT = "Absence of evidence here means only that it does not appear in the capture."
@@ -74,43 +73,65 @@ def masked_config(config: DataFrame) -> DataFrame:
     return config.withColumn("value", F.when(hidden & F.col("value").isNotNull(), F.lit("«masked»")).otherwise(F.col("value")))
 
 
+@dataclass(frozen=True)
+class Section:
+    title: str
+    table: str
+    columns: list[str]
+    rows: int
+    order: list[str]  # with a minus, descending
+    level: str = "##"
+    where: str | None = None
+
+
+_GROUP = ["n", "tag_class", "tag_method", "first_ts", "last_ts", "shape"]
+SECTIONS = [
+    Section("Header", "header", ["platform", "device", "app_id", "first_ts", "last_ts", "records"], 1, ["capture_id"]),
+    Section("Configuration", "config", ["key", "value"], 40, ["key"]),
+    Section("Process lifetimes", "segments", ["segment", "first_seq", "last_seq", "version", "start", "end", "launched_headless"], CAPS["segments"], ["segment"]),
+    Section("App state", "lane", ["interval", "state", "first_seq", "last_seq", "start", "end"], CAPS["lane"], ["interval"]),
+    Section("Silences", "gaps", ["seq", "start", "gap_s", "kind"], CAPS["gaps"], ["seq"]),
+    Section("Errors", "dedup", _GROUP, CAPS["errors"], ["-n", "first_seq"], where="severity = 'error'"),
+    Section("Warnings", "dedup", _GROUP, CAPS["warnings"], ["-n", "first_seq"], where="severity = 'warning'"),
+    Section("Uploads", "http", ["post_try", "flush_try", "retries", "watch_armed", "watch_fired", "final_queue_depth"], 1, ["capture_id"]),
+    Section("Connectivity", "connectivity", ["seq", "ts", "connected", "flushes"], CAPS["connectivity"], ["seq"], "###"),
+    Section("URLs", "urls", ["rank", "url", "class", "n"], CAPS["urls"], ["rank"], "###"),
+    Section("Positions kept and sent", "parity", ["persisted", "posted", "destroyed", "task_start", "task_stop", "imbalance"], 1, ["capture_id"]),
+    Section("Pairs", "pairs", ["pair", "firsts", "seconds", "paired", "unpaired", "orphans"], 10, ["pair"]),
+    Section("Fences", "geofence", ["enter", "exit", "dwell", "spurious", "fence_add", "fence_drop", "max_registered", "availability_flaps"], 1, ["capture_id"]),
+    Section("Motion", "motion", ["median_confidence", "low_confidence", "flips", "moving_ratio", "stop_on", "stop_fired", "stop_off"], 1, ["capture_id"]),
+    Section("Authorization", "auth", ["seq", "ts", "line", "total"], CAPS["auth"], ["seq"]),
+    Section("Power", "power", ["seq", "ts", "kind", "power_hint"], CAPS["power"], ["seq"]),
+    Section("Heartbeats", "heartbeats", ["segment", "n", "median_s", "max_s"], CAPS["heartbeats"], ["segment"]),
+    Section("Duty cycle", "duty", ["span_h", "active_h", "fixes_per_h"], 1, ["capture_id"]),
+    Section("State at the end", "end_state", ["last_enabled", "last_moving", "last_connected", "last_queue_depth", "abrupt_end"], 1, ["capture_id"]),
+    Section("Anomalies", "anomalies", ["severity", "kind", "seq", "detail"], 100, ["sev_rank", "rule_ord", "seq"]),
+    Section("Coverage", "coverage", ["total", "matched", "drift", "unknown", "unknown_rate"], 1, ["capture_id"]),
+    Section("Unknown lines", "unknown", ["status", "seq", "line"], 10, ["status", "seq"]),
+    Section("Missing evidence", "missing", ["ask"], 10, ["ask"]),
+]
+
+
+def digest_text(capture_id: str, tables: list[str], rows: dict[int, list]) -> str:
+    """Markdown of one capture from the rows of each section that a table is there for."""
+    out = [f"# Capture {capture_id}", "", f"> {CAVEAT}", ""]
+    for i, s in enumerate(SECTIONS):
+        if s.table in tables:
+            out += [f"{s.level} {s.title}", "", *_table(rows.get(i, []), s.columns)]
+    return "\n".join([*out, "---", "_end of digest_", ""])
+
+
 def digest(tables: dict[str, DataFrame], capture_id: str) -> str:
-    """Markdown of one capture; the same tables give the same bytes."""
+    """Markdown of one capture; the same tables give the same bytes. ``report.write`` does so for all at once."""
     t = {k: v for k, v in tables.items() if v is not None}
     if "config" in t:
         t["config"] = masked_config(t["config"])
-    out = [f"# Capture {capture_id}", "", f"> {CAVEAT}", ""]
-
-    def section(title, name, columns, n, *order, level="##"):
-        if name in t:
-            out.extend([f"{level} {title}", "", *_table(_head(t[name], capture_id, n, *order), columns)])
-
-    section("Header", "header", ["platform", "device", "app_id", "first_ts", "last_ts", "records"], 1, "capture_id")
-    section("Configuration", "config", ["key", "value"], 40, "key")
-    section("Process lifetimes", "segments", ["segment", "first_seq", "last_seq", "version", "start", "end", "launched_headless"], CAPS["segments"], "segment")
-    section("App state", "lane", ["interval", "state", "first_seq", "last_seq", "start", "end"], CAPS["lane"], "interval")
-    section("Silences", "gaps", ["seq", "start", "gap_s", "kind"], CAPS["gaps"], "seq")
-    if "dedup" in t:
-        cols = ["n", "tag_class", "tag_method", "first_ts", "last_ts", "shape"]
-        out += ["## Errors", "", *_table(_head(t["dedup"].where("severity = 'error'"), capture_id, CAPS["errors"], F.desc("n"), "first_seq"), cols)]
-        out += ["## Warnings", "", *_table(_head(t["dedup"].where("severity = 'warning'"), capture_id, CAPS["warnings"], F.desc("n"), "first_seq"), cols)]
-    section("Uploads", "http", ["post_try", "flush_try", "retries", "watch_armed", "watch_fired", "final_queue_depth"], 1, "capture_id")
-    section("Connectivity", "connectivity", ["seq", "ts", "connected", "flushes"], CAPS["connectivity"], "seq", level="###")
-    section("URLs", "urls", ["rank", "url", "class", "n"], CAPS["urls"], "rank", level="###")
-    section("Positions kept and sent", "parity", ["persisted", "posted", "destroyed", "task_start", "task_stop", "imbalance"], 1, "capture_id")
-    section("Pairs", "pairs", ["pair", "firsts", "seconds", "paired", "unpaired", "orphans"], 10, "pair")
-    section("Fences", "geofence", ["enter", "exit", "dwell", "spurious", "fence_add", "fence_drop", "max_registered", "availability_flaps"], 1, "capture_id")
-    section("Motion", "motion", ["median_confidence", "low_confidence", "flips", "moving_ratio", "stop_on", "stop_fired", "stop_off"], 1, "capture_id")
-    section("Authorization", "auth", ["seq", "ts", "line", "total"], CAPS["auth"], "seq")
-    section("Power", "power", ["seq", "ts", "kind", "power_hint"], CAPS["power"], "seq")
-    section("Heartbeats", "heartbeats", ["segment", "n", "median_s", "max_s"], CAPS["heartbeats"], "segment")
-    section("Duty cycle", "duty", ["span_h", "active_h", "fixes_per_h"], 1, "capture_id")
-    section("State at the end", "end_state", ["last_enabled", "last_moving", "last_connected", "last_queue_depth", "abrupt_end"], 1, "capture_id")
-    section("Anomalies", "anomalies", ["severity", "kind", "seq", "detail"], 100, "sev_rank", "rule_ord", "seq")
-    section("Coverage", "coverage", ["total", "matched", "drift", "unknown", "unknown_rate"], 1, "capture_id")
-    section("Unknown lines", "unknown", ["status", "seq", "line"], 10, "status", "seq")
-    section("Missing evidence", "missing", ["ask"], 10, "ask")
-    return "\n".join([*out, "---", "_end of digest_", ""])
+    rows = {}
+    for i, s in enumerate(SECTIONS):
+        if s.table in t:
+            order = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in s.order]
+            rows[i] = _head(t[s.table] if s.where is None else t[s.table].where(s.where), capture_id, s.rows, *order)
+    return digest_text(capture_id, list(t), rows)
 
 
 _PAGE = """<!doctype html><meta charset="utf-8"><title>__TITLE__</title>
@@ -120,13 +141,13 @@ _PAGE = """<!doctype html><meta charset="utf-8"><title>__TITLE__</title>
 <script>
 const D=JSON.parse(document.getElementById('d').textContent),S=document.getElementById('m'),B=[1e9,1e9,-1e9,-1e9],N='http://www.w3.org/2000/svg';
 const P=c=>[(c[0]+180)/360,.5-Math.log(Math.tan(Math.PI/4+c[1]*Math.PI/360))/(2*Math.PI)];
-const each=(g,f)=>g.type=='Point'?f(g.coordinates):g.coordinates.forEach(f);
+const R=g=>g.type=='Polygon'?g.coordinates[0]:g.coordinates,each=(g,f)=>g.type=='Point'?f(g.coordinates):R(g).forEach(f);
 for(const l in D)D[l].features.forEach(x=>each(x.geometry,c=>{const p=P(c);B[0]=Math.min(B[0],p[0]);B[1]=Math.min(B[1],p[1]);B[2]=Math.max(B[2],p[0]);B[3]=Math.max(B[3],p[1])}));
 const k=960/Math.max(B[2]-B[0],B[3]-B[1],1e-9),Q=c=>{const p=P(c);return[20+(p[0]-B[0])*k,20+(p[1]-B[1])*k]};
 Object.keys(D).forEach((l,i)=>{const g=document.createElementNS(N,'g'),h=`hsl(${i*47},70%,45%)`;S.append(g);
 D[l].features.forEach(x=>{const t=x.geometry.type=='Point',e=document.createElementNS(N,t?'circle':'polyline');
 if(t){const p=Q(x.geometry.coordinates);e.setAttribute('cx',p[0]);e.setAttribute('cy',p[1]);e.setAttribute('r',4);e.setAttribute('fill',h)}
-else{e.setAttribute('points',x.geometry.coordinates.map(Q).join(' '));e.setAttribute('fill','none');e.setAttribute('stroke',h)}
+else{e.setAttribute('points',R(x.geometry).map(Q).join(' '));e.setAttribute('fill','none');e.setAttribute('stroke',h)}
 const n=document.createElementNS(N,'title');n.textContent=JSON.stringify(x.properties,null,1);e.append(n);g.append(e)});
 const b=document.createElement('label'),c=document.createElement('input');c.type='checkbox';c.checked=D[l].features.length<=120;g.style.display=c.checked?'':'none';
 c.onchange=()=>g.style.display=c.checked?'':'none';b.append(c,` ${l} (${D[l].features.length})`);b.style.color=h;document.getElementById('s').append(b)});
@@ -134,11 +155,15 @@ c.onchange=()=>g.style.display=c.checked?'':'none';b.append(c,` ${l} (${D[l].fea
 """
 
 
+def page_parts(title: str) -> tuple[str, str]:
+    """What stands before and behind the data in a page that loads nothing from elsewhere."""
+    head, tail = _PAGE.split("__DATA__")
+    return head.replace("__TITLE__", title.replace("&", "&amp;").replace("<", "&lt;")), tail
+
+
 def map_page(layers: dict, title: str) -> str:
-    """A page that loads nothing from elsewhere."""
-    data = json.dumps(layers, ensure_ascii=False).replace("</", "<\\/")
-    safe = title.replace("&", "&amp;").replace("<", "&lt;")
-    return _PAGE.replace("__TITLE__", safe).replace("__DATA__", data)
+    head, tail = page_parts(title)
+    return head + json.dumps(layers, ensure_ascii=False).replace("</", "<\\/") + tail
 
 
 def output_dir(path: str) -> bool:
@@ -154,11 +179,3 @@ def output_dir(path: str) -> bool:
 def worth_a_map(features: DataFrame, capture_id: str) -> bool:
     f = features.where(F.col("capture_id") == capture_id)
     return bool(f.where("layer = 'track'").limit(1).count()) or f.where("layer = 'fixes'").limit(5).count() >= 5
-
-
-def cut_lines(lines: list[str], n: int) -> list[str]:
-    return lines if len(lines) <= n else [*lines[:n], f"+{len(lines) - n} more lines"]
-
-
-def iso(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: X.iso_text(F.col(c)) for c in columns})

@@ -78,6 +78,10 @@ def largest_bytes(spark: SparkSession, paths: list[str]) -> int:
     return spark.read.format("binaryFile").load(paths).agg(F.max("length")).first()[0] or 0
 
 
+def total_bytes(spark: SparkSession, paths: list[str]) -> int:
+    return spark.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0] or 0
+
+
 def text_lines(text: Column) -> Column:
     """Array of lines; an end of line at the end of the text adds none."""
     lines = F.split(text, LINE_END, -1)
