@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialize
+
 UNKNOWN = "und"
 _FLAG = np.uint32(1 << 31)
 _LETTERS: list[np.ndarray] = []
@@ -267,9 +269,14 @@ def training_samples(labelled: DataFrame, id_col: str, text_col: str, lang_col:
     characters, from a place in each text that its hash names."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("g"), F.xxhash64(text_col).alias("h"), F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
     # ids can be null or repeated: different texts are told apart by their hash, and each stands for itself once
-    keys = rows.groupBy("g", "h").agg(F.min(F.xxhash64("i", "h")).alias("k"))
+    keys = materialize(rows.groupBy("g", "h").agg(F.pmod(F.min(F.xxhash64("i", "h")), F.lit(1 << 30)).alias("k")), "language-texts")
+    # a threshold leaves a few times the texts needed of each language, so the ranks are of few rows
+    chance = F.lit(0.0)
+    for lang, n in keys.groupBy("g").count().collect():
+        chance = F.when(F.col("g") == lang, min(1.0, (3.0 * train_docs + 100) / n)).otherwise(chance)
     rank = F.row_number().over(Window.partitionBy("g").orderBy("k", "h"))
-    least = keys.withColumn("r", rank).where(F.col("r") <= train_docs).select(F.col("g").alias("g2"), F.col("h").alias("h2"), "k")
+    few = keys.where(F.col("k") <= chance * float(1 << 30))
+    least = few.withColumn("r", rank).where(F.col("r") <= train_docs).select(F.col("g").alias("g2"), F.col("h").alias("h2"), "k")
     each = max(1, train_chars // train_docs)
     room = F.greatest(F.lit(1), F.char_length("t") - 4 * each + 1)
     at = (F.pmod(F.col("h"), room) + 1).cast("int")
