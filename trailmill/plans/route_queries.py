@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..sources import payloads as P
 from ..sources import records as R
-from . import enrich, findings, router
+from . import enrich, findings, pyramid, router
 from .event_queries import events
 
 Q: dict = {}
@@ -208,3 +208,25 @@ def config_settings(spark, d):
     given = {"a": F.concat(F.lit("v"), "m"), "x.a": F.lit("hidden"), "x.y.b": F.lit("deeper"), "x.b": F.lit("deep")}
     pairs = F.create_map(*(c for k, v in given.items() for c in (F.lit(k), v)))
     return findings.settings(e.select("capture_id", F.explode(pairs)), a="a", b="b")
+
+
+_WORLD = "(SELECT user_id % 3 AS grp, event_type AS layer, event_id AS seq, CAST(event_id % 1700 AS DOUBLE) / 20 - 42 AS lat, CAST((event_id * 7) % 3000 AS DOUBLE) / 10 - 150 AS lon, user_id % 5 = 0 AS own FROM events)"
+_TOP, _LEAST = 8, 150
+
+
+@query(f"""WITH e AS {_WORLD},
+p AS (SELECT *, CAST(floor((lon + 180) / 360 * {256 << _TOP} * 16) AS BIGINT) AS x, CAST(floor((0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * {256 << _TOP} * 16) AS BIGINT) AS y,
+  count(*) OVER (PARTITION BY grp, layer) AS total FROM e),
+z AS (SELECT p.*, CAST(r.zoom AS INTEGER) AS zoom, CAST(1 << CAST({_TOP} - r.zoom AS INTEGER) AS BIGINT) AS k FROM p, range(0, {_TOP + 1}) r(zoom)),
+c AS (SELECT *, count(*) OVER cell AS m, sum(x) OVER cell AS sx, sum(y) OVER cell AS sy, min(seq) OVER cell AS first FROM z WINDOW cell AS (PARTITION BY grp, layer, zoom, x // (1024 * k), y // (1024 * k))),
+a AS (SELECT *, CASE WHEN own THEN -seq ELSE (x + 144 * k) // (288 * k) END AS px, CASE WHEN own THEN -seq ELSE (y + 144 * k) // (288 * k) END AS py FROM c WHERE total <= {_LEAST} OR m = 1),
+g AS (SELECT *, count(*) OVER w AS n, sum(x) OVER w AS wx, sum(y) OVER w AS wy, row_number() OVER (PARTITION BY grp, zoom, px, py ORDER BY seq) - 1 AS i FROM a WINDOW w AS (PARTITION BY grp, zoom, px, py))
+SELECT grp, zoom, 'cluster' AS role, layer, seq, m AS n, CAST(NULL AS INTEGER) AS petal, CAST(sx AS DOUBLE) / m / (16.0 * k) AS x, CAST(sy AS DOUBLE) / m / (16.0 * k) AS y FROM c WHERE total > {_LEAST} AND m > 1 AND seq = first
+UNION ALL SELECT grp, zoom, CASE WHEN n = 1 THEN 'marker' WHEN n <= 8 THEN 'petal' ELSE 'disc' END, layer, seq, n, CASE WHEN n BETWEEN 2 AND 8 THEN CAST(i AS INTEGER) END, CAST(wx AS DOUBLE) / n / (16.0 * k), CAST(wy AS DOUBLE) / n / (16.0 * k) FROM g WHERE n <= 8 OR i = 0""")
+def zoom_pyramid(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    m = e.select(
+        (F.col("user_id") % 3).alias("grp"), F.col("event_type").alias("layer"), F.col("event_id").alias("seq"), ((F.col("event_id") % 1700).cast("double") / 20 - 42).alias("lat"),
+        (((F.col("event_id") * 7) % 3000).cast("double") / 10 - 150).alias("lon"), (F.col("user_id") % 5 == 0).alias("own"),
+    )
+    return pyramid.pyramid(m, ["grp"], "layer", "lat", "lon", "seq", F.lit(0), F.col("own"), top=_TOP, least=_LEAST)
