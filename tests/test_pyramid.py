@@ -1,3 +1,4 @@
+import json
 import math
 import random
 from collections import defaultdict
@@ -83,3 +84,14 @@ def test_levels_count_all_markers(spark):
     got = result(spark, rows)
     for zoom in range(TOP + 1):
         assert sum(1 if r[2] == "petal" else r[5] for r in got if r[1] == zoom) == 500
+
+
+def test_features_of_a_map(spark):
+    rows = [("c", "http", i, "Point", "[10.0,50.0]", '{"offset_clock":2}') for i in range(3)] + [("c", "fixes", 9, "Point", "[10.0,50.0]", "{}"), ("c", "track", 9, "LineString", "[[10.0,50.0],[10.1,50.0]]", "{}")]
+    d = Y.of_features(spark.createDataFrame(rows, "capture_id string, layer string, seq bigint, geometry string, coordinates string, props string"), 3, 5)
+    got = d.collect()
+    assert {r.layer for r in got} == {"@03", "@04", "@05"} and len(got) == 12
+    at = [json.loads(r.props) | {"at": json.loads(r.coordinates)} for r in got if r.layer == "@05"]
+    assert sorted((p["role"], p["layer"], p["seq"], p.get("petal")) for p in at if p["role"] == "petal") == [("petal", "http", i, i) for i in range(3)]
+    assert [p["layer"] for p in at if p["role"] == "marker"] == ["fixes"]
+    assert all(abs(p["at"][0] - 10) < 0.01 and abs(p["at"][1] - 50) < 0.01 for p in at)

@@ -129,6 +129,13 @@ def duration_text(seconds: Column) -> Column:
     )
 
 
+def first_lines(text: Column, n: int) -> Column:
+    """The first ``n`` lines, and how many more there are; line breaks at the end don't count."""
+    lines = F.split(F.regexp_replace(text, "[\\r\\n]+$", ""), "\r\n|\r|\n")
+    more = F.size(lines) - n
+    return F.when(more <= 0, text).otherwise(F.concat(F.array_join(F.slice(lines, 1, n), "\n"), F.lit("\n… (+"), more.cast("string"), F.lit(" more lines)")))
+
+
 def alias_letters(n: Column) -> Column:
     """1 -> A, 26 -> Z, 27 -> AA: bijective base 26, for n up to 475254."""
     a = (n - 1) % 26

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def dedup_groups(df: DataFrame, keys: list[str], order: str, ts: str, raw: str, state: str | None = None, by: list[str] | None = None) -> DataFrame:
+def dedup_groups(df: DataFrame, keys: list[str], order: str, ts: str, raw: str, state: str | None = None, by: list[str] | None = None, sites: str | None = None) -> DataFrame:
     """Groups of equal ``keys``: count, time of the first and last row in ``order``, the first row's text and, if given,
-    counts per state as a map."""
+    counts per state as a map and the distinct values of the array ``sites`` as they come first."""
     by = by or []
     g = df.groupBy(*by, *keys).agg(
         F.count("*").alias("n"), F.min_by(ts, order).alias("first_ts"), F.max_by(ts, order).alias("last_ts"),
@@ -17,23 +19,29 @@ def dedup_groups(df: DataFrame, keys: list[str], order: str, ts: str, raw: str,
     )
     if state:
         per = df.groupBy(*by, *keys, state).agg(F.count("*").alias("c"))
-        per = per.groupBy(*by, *keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(state), F.col("c"))))).alias("by_state"))
-        same = [g[k].eqNullSafe(per[k]) for k in [*by, *keys]]
-        cond = same[0]
-        for c in same[1:]:
-            cond = cond & c
-        g = g.join(per, cond, "left").select(*(g[c] for c in g.columns), "by_state")
+        g = _beside(g, per.groupBy(*by, *keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(state), F.col("c"))))).alias("by_state")), [*by, *keys])
+    if sites:
+        per = df.select(*by, *keys, order, F.posexplode(sites).alias("i", "site")).groupBy(*by, *keys, "site").agg(F.min(F.struct(order, "i")).alias("at"))
+        g = _beside(g, per.groupBy(*by, *keys).agg(F.array_sort(F.collect_list(F.struct("at", "site")))["site"].alias("sites")), [*by, *keys])
+        g = g.withColumn("sites", F.coalesce("sites", F.array().cast("array<string>")))
     return g
 
 
+def _beside(g: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """``g`` with the other columns of ``side``; null keys are equal."""
+    same = [g[k].eqNullSafe(side[k]) for k in keys]
+    return g.join(side, reduce(Column.__and__, same), "left").select(*(g[c] for c in g.columns), *(side[c] for c in side.columns if c not in keys))
+
+
 def histogram(df: DataFrame, by: list[str], value: Column, name: str = "value") -> DataFrame:
     return df.select(*by, value.alias(name)).where(F.col(name).isNotNull()).groupBy(*by, name).agg(F.count("*").alias("n"))
 
 
-def matches_histogram(df: DataFrame, by: list[str], text: Column, pattern: str, group: int = 1) -> DataFrame:
-    """Counts of all matches in all rows, by the matched text."""
-    hits = df.select(*by, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).alias("value"))
-    return hits.groupBy(*by, "value").agg(F.count("*").alias("n"))
+def matches_histogram(df: DataFrame, by: list[str], text: Column, pattern: str, group: int = 1, order: str | None = None) -> DataFrame:
+    """Counts of all matches in all rows, by the matched text; with ``order``, also ``first``, where each comes first."""
+    hits = df.select(*by, F.lit(0).alias("__o") if order is None else F.col(order).alias("__o"), F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).alias("__i", "value"))
+    g = hits.groupBy(*by, "value")
+    return g.agg(F.count("*").alias("n")) if order is None else g.agg(F.count("*").alias("n"), F.min(F.struct("__o", "__i")).alias("first"))
 
 
 def capped_counts(df: DataFrame, by: list[str], value: str, position: list[str], cap: int = 20) -> DataFrame:
@@ -60,6 +68,18 @@ def two_sided_cap(df: DataFrame, by: list[str], order: list[str], head: int, tai
     return d.where((F.col("total") <= head + tail) | (F.col("__a") <= head) | (F.col("__a") > F.col("total") - tail)).drop("__a")
 
 
+def both_ends(df: DataFrame, by: list[str], order: list[Column], back: list[Column], head: int, tail: int) -> DataFrame:
+    """As ``two_sided_cap``, for groups of any size: two ranked limits, which are cut before the exchange, and counts. ``back`` is
+    ``order`` reversed; adds ``nth``, from 1. Keys aren't null."""
+    most = head + tail
+    first = df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("nth") <= most)
+    last = df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*back))).where(F.col("__r") <= tail)
+    n = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    first = first.join(n, by).where((F.col("__n") <= most) | (F.col("nth") <= head)).drop("__n")
+    last = last.join(n, by).where(F.col("__n") > most).withColumn("nth", (F.col("__n") - F.col("__r") + 1).cast("int"))
+    return first.unionByName(last.select(*first.columns))
+
+
 def rule_chain(rules: list[tuple[Column, object]]) -> Column:
     """The value of the first rule that holds; null if none does."""
     return F.coalesce(*(F.when(F.coalesce(cond, F.lit(False)), value if isinstance(value, Column) else F.lit(value)) for cond, value in rules))

@@ -21,7 +21,7 @@ from . import findings as N
 from . import layers as L
 from . import enrich as E
 from . import redact, report, router, sinks
-from .vocabulary import Entry, Meanings, classify, interpret, load_entries, load_meanings
+from .vocabulary import Entry, Meanings, classify, harvest_versions, interpret, load_entries, load_meanings, load_sources, overlay
 
 VERSION = "0.1.0"
 
@@ -40,10 +40,10 @@ def prepare(captures: DataFrame, large: bool = False) -> DataFrame:
     return N.with_state(N.with_segments(m))
 
 
-def analyze(spark: SparkSession, paths: list[str], year: int | None = None, entries: list[Entry] | None = None, excerpt: bool = False, heartbeat_s: float | None = None, rules: router.Rules | None = None, builds: dict[str, str] | None = None, meanings: Meanings | None = None, large_bytes: int = 64 << 20) -> Analysis:
+def analyze(spark: SparkSession, paths: list[str], year: int | None = None, entries: list[Entry] | None = None, excerpt: bool = False, heartbeat_s: float | None = None, rules: router.Rules | None = None, builds: dict[str, str] | None = None, meanings: Meanings | None = None, large_bytes: int = 64 << 20, harvested: dict[str, str] | None = None) -> Analysis:
     """All findings of all captures as tables. Records, silences and classified records, which many tables share, are written
     to the shared folder; nothing else runs until a table is used. ``rules`` place and leave out markers; ``builds`` names the
-    versions of build numbers; ``meanings`` gives classified records categories and meanings of icons. If a file has more than
+    versions of build numbers; ``meanings`` gives classified records categories and meanings of icons; ``harvested`` says of each platform at which release the lines of sources were taken. If a file has more than
     ``large_bytes``, captures are dealt in segments, so that none of them is one task."""
     found = C.read_captures(spark, paths, year)
     dup = C.duplicates(found.where("kind = 'text'").select("path", "text"), "path", "text")
@@ -59,9 +59,9 @@ def analyze(spark: SparkSession, paths: list[str], year: int | None = None, entr
         k = written(interpret(k, meanings or Meanings()), "classified")
         cov, unk = N.coverage(k), N.unknown_examples(k)
         kinds = k.groupBy("capture_id", "category", k.klass.semantic.alias("semantic"), k.klass.family.alias("family")).agg(F.count("*").alias("n"))
-    h, cfg = N.header(m), N.config(m)
+    h, cfg, groups = N.header(m), N.config(m), N.dedup(m, k if entries else None)
     tables = {
-        "header": h, "config": cfg, "segments": seg, "gaps": gap, "lane": S.lane_intervals(m, ["capture_id"], "seq", "ts"), "dedup": N.dedup(m), "pairs": N.pairs(m), "parity": N.parity(m, cfg),
+        "header": h, "config": cfg, "segments": seg, "gaps": gap, "lane": S.lane_intervals(m, ["capture_id"], "seq", "ts"), "dedup": groups, "pairs": N.pairs(m), "parity": N.parity(m, cfg),
         "http": N.http_health(m), "status": N.status_histogram(m), "connectivity": N.connectivity(m), "urls": N.url_report(m), "geofence": N.geofence_health(m), "motion": N.motion_health(m, cfg=cfg),
         "activity": N.activity_histogram(m), "power": N.power_events(m), "heartbeats": N.heartbeats(m, heartbeat_s, cfg), "duty": N.duty_cycle(m, gap), "auth": N.auth_timeline(m), "end_state": N.end_state(m),
         "coverage": cov, "unknown": unk, "categories": kinds, "anomalies": N.anomalies(m, gap, cov, heartbeat_s, excerpt, cfg), "missing": N.missing_evidence(h, cfg, seg), "sessions": L.sessions(L.fixes(m), gap, m),
@@ -70,6 +70,8 @@ def analyze(spark: SparkSession, paths: list[str], year: int | None = None, entr
         "launches": E.launches(m), "fence_evidence": E.fence_evidence(m), "deliveries": E.event_pairs(m), "upload_outcomes": E.upload_outcomes(m), "notable_config": E.notable_config(cfg),
         "log_level": E.effective_level(cfg, m), "opening": E.opening_window(m, tables["sessions"]),
     }
+    if entries and harvested:
+        tables["source_notes"] = N.source_notes(groups, h, harvested)
     tables["layer_counts"] = router.window_counts(L.placed_events(m, L.fixes(m), rules), tables["opening"])
     return Analysis(found, m, tables, L.features(m, gap, rules))
 
@@ -122,6 +124,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--redact", action=argparse.BooleanOptionalAction, default=True)
     p.add_argument("--year", type=int)
     p.add_argument("--vocabulary", action="append", default=[], metavar="PLATFORM=FILE")
+    p.add_argument("--sources", action="append", default=[], metavar="PLATFORM=FILE", help="file with the source lines of a vocabulary's entries")
     p.add_argument("--meanings", help="file with categories, hints and meanings of icons")
     p.add_argument("--rules", help="file with rules for the map's layers")
     p.add_argument("--version", action="version", version=VERSION)
@@ -130,10 +133,18 @@ def main(argv: list[str] | None = None) -> int:
     if spark.conf.get("spark.sql.shuffle.partitions") == "200":  # the default: a partition for each 16 MB instead
         spark.conf.set("spark.sql.shuffle.partitions", str(max(spark.sparkContext.defaultParallelism, -(-C.total_bytes(spark, a.files) // (16 << 20)))))
     entries: list[Entry] = []
+    harvested: dict[str, str] = {}
     for v in a.vocabulary:
         platform, _, path = v.partition("=")
         more, warnings = load_entries(path, platform)
         entries += more
+        harvested |= harvest_versions(path, platform)
+        for w in warnings:
+            print(w, file=sys.stderr)
+    for v in a.sources:
+        platform, _, path = v.partition("=")
+        lines, warnings = load_sources(path)
+        overlay([e for e in entries if e.platform == platform], lines)
         for w in warnings:
             print(w, file=sys.stderr)
     if a.slice:
@@ -151,7 +162,7 @@ def main(argv: list[str] | None = None) -> int:
     meanings, warnings = load_meanings(a.meanings) if a.meanings else (None, [])
     for w in warnings:
         print(w, file=sys.stderr)
-    res = analyze(spark, a.files, a.year, entries or None, rules=rules, meanings=meanings)
+    res = analyze(spark, a.files, a.year, entries or None, rules=rules, meanings=meanings, harvested=harvested)
     made = sinks.output_dir(a.out)
     aliases = redacted(res.records)[1] if a.redact else None
     report.write(res.tables, res.features, aliases, a.out, a.map, a.locations)

@@ -137,10 +137,23 @@ def gaps(m: DataFrame, at_least: float = GAP_S) -> DataFrame:
     return g.select("capture_id", "seq", "start", F.col("ts").alias("end"), "gap_s", S.classify_gap(F.col("look_death"), F.col("look_alarm"), F.col("platform")).alias("kind"))
 
 
-def dedup(m: DataFrame) -> DataFrame:
-    """Warning and error groups by site, severity and shape."""
+def dedup(m: DataFrame, k: DataFrame | None = None) -> DataFrame:
+    """Warning and error groups by site, severity and shape; with classified records ``k``, the sites that wrote them."""
     d = m.where(F.col("severity").isNotNull())
-    return A.dedup_groups(d, ["tag_class", "tag_method", "severity", "shape"], "seq", "ts", "raw", "state", by=BY)
+    none = F.array().cast("array<string>")
+    d = d.withColumn("sites", none) if k is None else d.join(k.select("capture_id", "seq", F.coalesce("klass.sites", none).alias("sites")), ["capture_id", "seq"], "left")
+    return A.dedup_groups(d, ["tag_class", "tag_method", "severity", "shape"], "seq", "ts", "raw", "state", by=BY, sites="sites")
+
+
+def source_notes(groups: DataFrame, h: DataFrame, harvested: dict[str, str]) -> DataFrame:
+    """(capture_id, note): at which release the lines of the shown sites are right; for captures that show a line of a file
+    only. ``harvested`` has that release of each platform; a platform that isn't in it gets all."""
+    lined = groups.where(F.exists("sites", lambda s: s.rlike("/.*:[0-9]+$"))).select("capture_id").distinct()
+    each = [f"{k} {v}" for k, v in sorted(harvested.items())]
+    at = A.rule_chain([(F.lower("platform") == k.lower(), f"{k} {v}") for k, v in sorted(harvested.items())] + [(F.lit(True), " / ".join(each))])
+    own = F.when(F.size("versions") > 0, F.concat(F.lit(" This capture is of "), F.array_join("versions", " / "), F.lit("."))).otherwise("")
+    d = h.join(lined, "capture_id", "left_semi")
+    return d.select("capture_id", F.concat(F.lit("Lines of sources are right as of **"), at, F.lit("**."), own, F.lit(" In another release, look for the message near them.")).alias("note"))
 
 
 def pairs(m: DataFrame) -> DataFrame:
@@ -180,7 +193,7 @@ def http_health(m: DataFrame) -> DataFrame:
 
 
 def status_histogram(m: DataFrame) -> DataFrame:
-    return A.matches_histogram(m, BY, F.col("raw"), r"Response: (\d+)")
+    return A.matches_histogram(m, BY, F.col("raw"), r"Response: (\d+)", order="seq")
 
 
 def connectivity(m: DataFrame) -> DataFrame:

@@ -121,12 +121,12 @@ def features(m: DataFrame, gap_table: DataFrame, rules: router.Rules | None = No
     span = g.where(F.col("at_lat").isNotNull() & F.col("next_lat").isNotNull() & ((F.col("at_lat") != F.col("next_lat")) | (F.col("at_lon") != F.col("next_lon"))))
     ends = F.to_json(F.array(F.array(F.round("at_lon", 6), F.round("at_lat", 6)), F.array(F.round("next_lon", 6), F.round("next_lat", 6))))
     parts.append(span.select("capture_id", F.lit("gaps").alias("layer"), "seq", F.lit("LineString").alias("geometry"), ends.alias("coordinates"), props(t=iso("ts"), role=F.lit("gap-span"), gap_s=F.col("gap_s"), kind=F.col("kind")).alias("props")))
-    b = m.where("banner").select("capture_id", "seq", "ts", "version", "headless_boot")
+    b = E.launches(m)
     b = J.nearest(J.neighbours(b, f, BY, "ts", ["seq"], ["lat", "lon"]), "ts", ["lat", "lon"]).withColumn("lat", F.col("near_lat")).withColumn("lon", F.col("near_lon")).where(F.col("lat").isNotNull())
-    parts.append(b.select("capture_id", F.lit("launch").alias("layer"), "seq", F.lit("Point").alias("geometry"), point().alias("coordinates"), props(t=iso("ts"), version=F.col("version"), anchor_dt_s=F.col("signed_s")).alias("props")))
+    parts.append(b.select("capture_id", F.lit("launch").alias("layer"), "seq", F.lit("Point").alias("geometry"), point().alias("coordinates"), props(t=iso("ts"), **{k: F.col(k) for k in ["version", "build", "app_id", "device", "headless"]}, truncated=F.when(F.col("truncated"), True), anchor_dt_s=F.col("signed_s")).alias("props")))
     placed = placed_events(m, fix, rules)
-    mk = markers(placed, rules)
-    parts.append(mk.select("capture_id", "layer", F.col("first_seq").alias("seq"), F.lit("Point").alias("geometry"), point().alias("coordinates"), props(count=F.col("n"), times=F.transform("times", X.iso_text), last=X.iso_text(F.col("last_ts")), text=F.col("text"), severity=F.col("severity"), placement=F.col("placement"), anchor_dt_s=F.col("dt_s"), icon=F.col("icon"), tint=F.col("tint"), moving=F.col("pace"), offset_clock=F.col("clock"), folded=F.col("extra")).alias("props")))
+    mk = E.compact(markers(placed, rules).withColumnRenamed("n", "count"))
+    parts.append(mk.select("capture_id", "layer", F.col("first_seq").alias("seq"), F.lit("Point").alias("geometry"), point().alias("coordinates"), props(count=F.col("count"), times=F.transform("times", X.iso_text), last=X.iso_text(F.col("last_ts")), text=F.col("text"), severity=F.col("severity"), placement=F.col("placement"), anchor_dt_s=F.col("dt_s"), icon=F.col("icon"), tint=F.col("tint"), moving=F.col("pace"), offset_clock=F.col("clock"), folded=F.col("extra")).alias("props")))
     stands = placed.where(~F.coalesce("pace", F.lit(True)) & (F.col("layer") == "motionchange") & router.attribute(rules or router.Rules(), F.col("platform"), F.col("layer"), F.col("raw"), "stationary_region"))
     ring = stands.join(E.stationary_radius(m), BY)
     parts.append(ring.select("capture_id", "layer", "seq", F.lit("Polygon").alias("geometry"), F.to_json(F.array(X.circle("lat", "lon", "radius_m"))).alias("coordinates"), props(t=iso("ts"), role=F.lit("stationary-region"), radius_m=F.col("radius_m"), stated=F.col("stated")).alias("props")))

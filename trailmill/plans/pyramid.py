@@ -31,6 +31,24 @@ def world(lat: Column, lon: Column, top: int) -> tuple[Column, Column]:
     return whole(x), whole(y)
 
 
+def position(x: Column, y: Column, zoom: Column) -> tuple[Column, Column]:
+    """(lat, lon) of a pixel at a zoom level."""
+    size = 256 * F.pow(F.lit(2.0), zoom)
+    return F.degrees(F.atan(F.sinh((0.5 - y / size) * (2 * 3.141592653589793)))), x / size * 360 - 180
+
+
+def of_features(features: DataFrame, bottom: int = 3, top: int = 18) -> DataFrame:
+    """The pyramid of a map's point features, as features of a layer '@<zoom>' for each zoom level."""
+    prop = lambda k: F.get_json_object("props", f"$.{k}")
+    at = F.from_json("coordinates", "array<double>")
+    own = (F.col("layer") == "fixes") | F.coalesce(prop("placement") == "own", F.lit(False))
+    m = features.where("geometry = 'Point'").select("capture_id", "layer", "seq", F.get(at, F.lit(1)).alias("lat"), F.get(at, F.lit(0)).alias("lon"), F.coalesce(prop("offset_clock").cast("int"), F.lit(12)).alias("clock"), own.alias("own"))
+    p = pyramid(m, ["capture_id"], "layer", "lat", "lon", "seq", F.col("clock"), F.col("own"), bottom=bottom, top=top)
+    lat, lon = position(F.col("x"), F.col("y"), F.col("zoom"))
+    props = F.to_json(F.struct("role", "layer", "seq", F.when(F.col("n") > 1, F.col("n")).alias("n"), "petal"))
+    return p.select("capture_id", F.format_string("@%02d", "zoom").alias("layer"), "seq", F.lit("Point").alias("geometry"), F.to_json(F.array(F.round(lon, 6), F.round(lat, 6))).alias("coordinates"), props.alias("props"))
+
+
 def _salted(df: DataFrame, totals: DataFrame, keys: list[str], salt: Column) -> DataFrame:
     """``df`` with its key's total; a hot key's rows go to several tasks."""
     spread = totals.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -15,10 +15,9 @@ from itertools import groupby
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-from pyspark.sql.window import Window
 
-from ..operators.shared import shared_dir
-from . import sinks
+from ..operators.shared import shared_dir, written
+from . import pyramid, sinks
 
 #: Files in the order in which a capture's rows come: its aliases are known before anything that they replace.
 ALIASES, DIGEST, TABLES, MAP, GEOJSON = range(5)
@@ -40,18 +39,7 @@ def _json(df: DataFrame, columns: list[str]):
 
 
 def digest_rows(tables: dict[str, DataFrame]) -> list[DataFrame]:
-    """Each section's first rows of each capture: ranks, not a sort of the whole."""
-    out = []
-    for i, s in enumerate(sinks.SECTIONS):
-        if tables.get(s.table) is None:
-            continue
-        t = tables[s.table] if s.where is None else tables[s.table].where(s.where)
-        if s.table == "config":
-            t = sinks.masked_config(t)
-        order = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in s.order]
-        t = t.withColumn("nth", F.row_number().over(Window.partitionBy("capture_id").orderBy(*order))).where(F.col("nth") <= s.rows)
-        out.append(_row(t, DIGEST, F.lit(i), F.lit(s.title), F.col("nth"), _json(t, s.columns)))
-    return out
+    return [_row(t, DIGEST, F.lit(i), F.lit(sinks.SECTIONS[i].title), F.col("nth"), _json(t, sinks.SECTIONS[i].columns)) for i, t in sinks.section_rows(tables)]
 
 
 def table_rows(tables: dict[str, DataFrame]) -> list[DataFrame]:
@@ -59,10 +47,10 @@ def table_rows(tables: dict[str, DataFrame]) -> list[DataFrame]:
     return [_row(v, TABLES, F.lit(i), F.lit(k), F.lit(0), F.to_json(F.struct("*"), {"ignoreNullFields": "false"})) for i, (k, v) in enumerate(given)]
 
 
-def feature_rows(features: DataFrame, file: int) -> DataFrame:
-    """Features of captures that are worth a map: those with a track or at least five fixes."""
+def feature_rows(features: DataFrame, file: int, shown: DataFrame | None = None) -> DataFrame:
+    """Features, or those of ``shown``, of captures that are worth a map: those with a track or at least five fixes."""
     worth = features.groupBy("capture_id").agg(F.count_if(F.col("layer") == "track").alias("tracks"), F.count_if(F.col("layer") == "fixes").alias("fixes")).where("tracks > 0 or fixes >= 5")
-    f = sinks.geojson(features).join(worth.select("capture_id"), "capture_id", "left_semi")
+    f = sinks.geojson(features if shown is None else shown).join(worth.select("capture_id"), "capture_id", "left_semi")
     return _row(f, file, F.lit(0), F.col("layer"), F.col("seq"), F.col("feature"))
 
 
@@ -74,8 +62,10 @@ def alias_rows(aliases: DataFrame) -> DataFrame:
 def write(tables: dict[str, DataFrame], features: DataFrame, aliases: DataFrame | None, path: str, page: bool = True, locations: bool = False) -> None:
     """All documents under ``path``, a folder per capture; it has to be one that all executors write to."""
     parts = [*digest_rows(tables), *table_rows(tables)]
+    if page:
+        features = written(features, "features")
     parts += [alias_rows(aliases)] if aliases is not None else []
-    parts += [feature_rows(features, MAP)] if page else []
+    parts += [feature_rows(features, MAP), feature_rows(features, MAP, pyramid.of_features(features))] if page else []
     parts += [feature_rows(features, GEOJSON)] if page and locations else []
     # some parts at a time, as one plan of all would be too large to optimise
     spark = features.sparkSession
@@ -120,7 +110,7 @@ class _Writer(DataSourceWriter):
         return WriterCommitMessage()
 
     def _digest(self, capture, rows, aliases):
-        by = {i: [json.loads(r.body) for r in g] for i, g in groupby(rows, key=lambda r: r.part)}
+        by = {i: [(r.nth, json.loads(r.body)) for r in g] for i, g in groupby(rows, key=lambda r: r.part)}
         text = sinks.digest_text(capture, self.tables, by)
         if aliases:
             whole = re.compile("(?<![\\w.])(?:" + "|".join(map(re.escape, aliases)) + ")(?!\\w)")

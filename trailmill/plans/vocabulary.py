@@ -61,7 +61,7 @@ def version_key(v: str | None) -> tuple[int, ...] | None:
 
 
 def newest_version(versions: list[str]) -> str | None:
-    known = [v for v in versions if v != "HEAD" and version_key(v)]
+    known = [v for v in versions if v.upper() != "HEAD" and version_key(v)]
     return max(known, key=version_key, default=None)
 
 
@@ -112,21 +112,43 @@ def qualifies(text: str | None) -> bool:
     return bool(text) and (len(text.strip()) >= MIN_ANCHOR or bool(_EMOJI.search(text)))
 
 
-def load_entries(path: str, platform: str) -> tuple[list[Entry], list[str]]:
-    """Entries and warnings; a missing or invalid file gives none and says so."""
+def _data(path: str) -> tuple[object, list[str]]:
+    """What a JSON or YAML file holds, and warnings; None for a missing or invalid one."""
     try:
         with open(path, encoding="utf-8") as f:
             text = f.read()
         if path.endswith(".json"):
-            data = json.loads(text)
-        else:
-            import yaml
+            return json.loads(text), []
+        import yaml
 
-            data = yaml.safe_load(text)
-    except (OSError, ValueError) as e:
-        return [], [f"{path}: {e}"]
+        return yaml.safe_load(text), []
     except Exception as e:  # a YAML error has no common base with the others
-        return [], [f"{path}: {e}"]
+        return None, [f"{path}: {e}"]
+
+
+def harvest_versions(path: str, platform: str) -> dict[str, str]:
+    """{platform: newest release that the file's entries were taken from}, as its ``meta`` says; empty if it doesn't."""
+    data, _ = _data(path)
+    meta = data.get("meta") if isinstance(data, dict) else None
+    refs = meta.get("harvested_refs") if isinstance(meta, dict) else None
+    newest = newest_version([str(x) for x in refs]) if isinstance(refs, (dict, list)) else None
+    return {str(meta.get("platform") or platform): newest} if newest else {}
+
+
+def load_sources(path: str) -> tuple[dict[str, list[str]], list[str]]:
+    """{entry id: source references} of a file, and warnings."""
+    data, warnings = _data(path)
+    found = data.get("sources") if isinstance(data, dict) else None
+    if not isinstance(found, dict):
+        return {}, warnings or [f"{path}: no sources"]
+    return {str(k): [str(x) for x in (v if isinstance(v, list) else [v])] for k, v in found.items() if v}, warnings
+
+
+def load_entries(path: str, platform: str) -> tuple[list[Entry], list[str]]:
+    """Entries and warnings; a missing or invalid file gives none and says so."""
+    data, warnings = _data(path)
+    if warnings:
+        return [], warnings
     rows = data.get("entries", []) if isinstance(data, dict) else data or []
     out, warn = [], []
     for r in rows:
