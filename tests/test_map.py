@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmill.functions import exprs as X
 from trailmill.operators import sequence as S
+from trailmill.operators.shared import written
 from trailmill.plans import enrich, findings, layers, router
 from trailmill.sources import payloads as P
 from trailmill.sources import records as R
@@ -102,7 +103,7 @@ def test_map_has_one_circle_per_standstill_and_stamped_fixes(spark):
         (1, "INFO", "Loc m", "Location[fused 1.0,2.0 hAcc=5]"), (2, "DEBUG", "HeadlessEventTx fire", "💀⚡️ location"), (20, "INFO", "Loc m", "Location[fused 1.1,2.1 hAcc=5]"),
         (21, "INFO", "T m", "motionchange: false"), (30, "INFO", "T m", "isMoving: true changePace"), (31, "INFO", "T m", "stationary region radius=80m"),
     ]
-    m = findings.with_state(findings.with_segments(android(spark, lines)))
+    m = written(findings.with_state(findings.with_segments(android(spark, lines))), "records")
     rules = router.Rules(rules=[{"match": "motionchange: false", "layer": "motionchange", "stationary_region": True}])
     rows = layers.features(m, findings.gaps(m), rules).collect()
     import json
