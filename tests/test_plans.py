@@ -36,7 +36,7 @@ def test_expressions(spark):
     assert got == {
         "shape": "id «id» took # ms at #", "lan": "private-lan", "clear": "cleartext-http", "https": "https-public", "other": "other", "host172": "cleartext-http", "ms": 171_616_428, "none": None,
         "a": "A", "z": "Z", "aa": "AA", "zz": "ZZ", "aaa": "AAA", "v": True, "v2": False, "vn": True, "bad": False, "ok": True, "s1": None, "s2": "error", "s3": "error", "b": 7, "bn": -1,
-        "d1": "89 s", "d2": "90 min", "d3": "1.5 h", "dirn": False, "urls": ["http://a/b", "https://c/d"], "step": 600,
+        "d1": "89 s", "d2": "90.0 min", "d3": "1.5 h", "dirn": False, "urls": ["http://a/b", "https://c/d"], "step": 600,
     }
 
 

@@ -120,11 +120,11 @@ def number(text: Column) -> Column:
 
 
 def duration_text(seconds: Column) -> Column:
-    """'42 s' below 90 s, '17 min' below 90 min, else '3.4 h'."""
+    """'42 s' below 90 s, '17.2 min' below 90 min, else '3.4 h'."""
     seconds = seconds.cast("double")
     return (
         F.when(seconds < 90, F.concat(F.format_string("%.0f", seconds), F.lit(" s")))
-        .when(seconds < 5400, F.concat(F.format_string("%.0f", seconds / 60), F.lit(" min")))
+        .when(seconds < 5400, F.concat(F.format_string("%.1f", seconds / 60), F.lit(" min")))
         .otherwise(F.concat(F.format_string("%.1f", seconds / 3600), F.lit(" h")))
     )
 

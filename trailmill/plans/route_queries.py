@@ -141,7 +141,7 @@ def build_version(spark, d):
     return events(spark, d).select("event_id", X.resolve_version(given, {"100": "4.5"}).alias("version"))
 
 
-@query("""WITH s AS (SELECT event_id, event_id % 20000 + 0.25 AS s FROM events) SELECT event_id, CASE WHEN s < 90 THEN printf('%.0f', s) || ' s' WHEN s < 5400 THEN printf('%.0f', s / 60) || ' min' ELSE printf('%.1f', s / 3600) || ' h' END AS said FROM s""")
+@query("""WITH s AS (SELECT event_id, event_id % 20000 + 0.25 AS s FROM events) SELECT event_id, CASE WHEN s < 90 THEN printf('%.0f', s) || ' s' WHEN s < 5400 THEN printf('%.1f', s / 60) || ' min' ELSE printf('%.1f', s / 3600) || ' h' END AS said FROM s""")
 def duration_words(spark, d):
     return events(spark, d).select("event_id", X.duration_text(F.col("event_id") % 20000 + F.lit(0.25)).alias("said"))
 
