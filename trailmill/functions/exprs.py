@@ -137,16 +137,15 @@ def first_lines(text: Column, n: int) -> Column:
 
 
 def alias_letters(n: Column) -> Column:
-    """1 -> A, 26 -> Z, 27 -> AA: bijective base 26, for n up to 475254."""
-    a = (n - 1) % 26
-    b = F.floor((n - 1) / 26)
-    c = F.floor((b - 1) / 26)
-    letter = lambda x: F.char((F.lit(65) + x).cast("bigint"))
-    one = letter(a)
-    two = F.concat(letter((b - 1) % 26), one)
-    three = F.concat(letter(F.floor(c - 1) % 26), two)
-    four = F.concat(letter((F.floor((c - 1) / 26) - 1) % 26), three)
-    return F.when(n <= 26, one).when(n <= 702, two).when(n <= 18278, three).otherwise(four)
+    """1 -> A, 26 -> Z, 27 -> AA: bijective base 26, for every positive bigint."""
+    # the letters are the digits, padded, of a number's place among names of its length
+    shorter = [sum(26**i for i in range(1, k)) for k in range(1, 15)]
+    digits, letters = "0123456789ABCDEFGHIJKLMNOP", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    named = [F.translate(F.lpad(F.conv((n.cast("bigint") - 1 - s).cast("string"), 10, 26), k, "0"), digits, letters) for k, s in enumerate(shorter, 1)]
+    out = named[-1]
+    for one, most in reversed(list(zip(named, shorter[1:]))):
+        out = F.when(n <= most, one).otherwise(out)
+    return out
 
 
 def balanced(raw: Column) -> Column:

@@ -7,6 +7,7 @@ replaced only where it stands as a whole; a match without an alias becomes '<PRE
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,14 +94,14 @@ def found(df: DataFrame, text: str, allowed: list[str] = ALLOWED) -> DataFrame:
     return d.withColumn("hits", hits).drop(*(f"__t{n}" for n in range(len(PASSES) + 1)))
 
 
-def _numbered(registered: DataFrame, by: list[str]) -> DataFrame:
+def _numbered(registered: DataFrame, by: list[str], letters: Callable[[Column], Column]) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(*by, "kind").orderBy("value"))
-    return registered.distinct().select(*by, "kind", F.col("value").alias("key"), F.col("value").alias("raw"), _alias(n).alias("alias"))
+    return registered.distinct().select(*by, "kind", F.col("value").alias("key"), F.col("value").alias("raw"), _alias(n, letters).alias("alias"))
 
 
-def _alias(n: Column) -> Column:
+def _alias(n: Column, letters: Callable[[Column], Column]) -> Column:
     prefix = F.create_map(*(F.lit(x) for kv in PREFIX.items() for x in kv))
-    return F.concat(prefix[F.col("kind")], F.lit("-"), alias_letters(n))
+    return F.concat(prefix[F.col("kind")], F.lit("-"), letters(n))
 
 
 def _exact(df: DataFrame, names: DataFrame, by: list[str], text: str) -> DataFrame:
@@ -116,9 +117,10 @@ def _exact(df: DataFrame, names: DataFrame, by: list[str], text: str) -> DataFra
     return df.join(lists, by, "left").withColumn("__text", F.aggregate(F.coalesce("__names", none), F.col(text), step)).drop("__names")
 
 
-def alias_table(df: DataFrame, by: list[str], order: list[str], text: str, registered: DataFrame | None = None, allowed: list[str] = ALLOWED, large: int = 1_000_000) -> DataFrame:
-    """(by, kind, key, raw, alias). ``registered`` (by, kind, value) comes first in its kind, in order of value."""
-    names = None if registered is None else _numbered(registered, by)
+def alias_table(df: DataFrame, by: list[str], order: list[str], text: str, registered: DataFrame | None = None, allowed: list[str] = ALLOWED, large: int = 1_000_000, letters: Callable[[Column], Column] = alias_letters) -> DataFrame:
+    """(by, kind, key, raw, alias). ``registered`` (by, kind, value) comes first in its kind, in order of value. ``letters``
+    makes a name of a number."""
+    names = None if registered is None else _numbered(registered, by, letters)
     d = df.withColumn("__text", F.col(text)) if names is None else _exact(df, names, by, text)
     hits = found(d, "__text", allowed).select(*by, F.struct(*order).alias("at"), F.inline("hits")).select(*by, "kind", "key", "raw", F.struct("at", "pass", "pos").alias("at"))
     first = hits.groupBy(*by, "kind", "key", "raw").agg(F.min("at").alias("at"))
@@ -127,7 +129,7 @@ def alias_table(df: DataFrame, by: list[str], order: list[str], text: str, regis
     at = keys.select(*by, "kind", "key", "raws", *(F.col(f"at.{a}").alias(f"__at{i}") for i, a in enumerate(("at", "pass", "pos"))))
     place = ["__at0", "__at1", "__at2", "key"]
     at = scan.run(scan.deal_if_large(at, [*by, "kind"], place, large), [*by, "kind"], place, __n=scan.total(F.lit(1)))
-    out = at.select(*by, "kind", "key", F.explode("raws").alias("raw"), _alias(F.col("__n")).alias("alias"))
+    out = at.select(*by, "kind", "key", F.explode("raws").alias("raw"), _alias(F.col("__n"), letters).alias("alias"))
     return out if names is None else out.unionByName(names)
 
 
