@@ -125,6 +125,21 @@ def test_duplicates(spark):
     assert got == want
 
 
+def test_duplicates_meet_by_beginnings_in_segments(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    base = ["".join(rng.choice("ab é") for _ in range(n)) for n in (40, 300, 1000, 5000)]
+    texts = [t[: rng.randint(0, len(t))] + rng.choice(["", "", "x", "yy"]) + t[rng.randint(0, len(t)) :] * rng.randint(0, 1) for t in base for _ in range(40)]
+    texts += [t[:cut] for t in base for cut in (1, 16, 31, 32, 33, 63, 64, len(t))]
+    dealt = []
+    monkeypatch.setattr(C.scan, "written", lambda df, tag, f=C.scan.written: dealt.append(f(df, tag)) or dealt[-1])
+    got = {r.k: r.duplicate for r in C.duplicates(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", segment_bytes=20_000, common=30).collect()}
+    assert got == {k: any(u == t and j < k or len(u) > len(t) and u.startswith(t) for j, u in enumerate(texts)) for k, t in enumerate(texts)}
+    assert dealt[0].where("length(t) > 2 * p").count() == 0
+    assert dealt[0].select(C.scan.segment_column(["s0", "s1", "t"])).distinct().count() > 3
+
+
 def test_line_ends(spark):
     d = C.explode_lines(spark.createDataFrame([("a\r\nb\rc\x0bd\x85e f\n\n",)], "text string"))
     assert [r.line for r in d.orderBy("line_no").collect()] == ["a", "b", "c", "d", "e", "f", ""]

@@ -33,10 +33,11 @@ def segment_of(df: DataFrame, order: list[str]) -> str | None:
     return name if name in df.columns else None
 
 
-def deal(df: DataFrame, by: list[str], order: list[str], rows: int = 1_000_000, cut: list[str] | None = None) -> DataFrame:
-    """``df`` in segments of about ``rows`` rows by ``by`` and ``order``; rows of equal ``by`` and ``order`` share one. Where the
-    last columns of ``order`` are large, ``cut`` names the first ones that decide alone: their values are sampled."""
-    n = max(1, -(-df.count() // rows))
+def deal(df: DataFrame, by: list[str], order: list[str], rows: int = 1_000_000, cut: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """``df`` in segments of about ``rows`` rows, or ``parts`` segments, by ``by`` and ``order``; rows of equal ``by`` and
+    ``order`` share one. Where the last columns of ``order`` are large, ``cut`` names the first ones that decide alone: their
+    values are sampled."""
+    n = max(1, -(-df.count() // rows) if parts is None else parts)
     plain = df.select(*[c for c in df.columns if not c.startswith("__segment_")])
     return written(plain.repartitionByRange(n, *by, *(order if cut is None else cut)).withColumn(segment_column(order), F.spark_partition_id()), "segments")
 
