@@ -261,3 +261,30 @@ def test_running_sums(spark):
         want[s] = sums[g]
     assert {r.s: int(r.t) for r in got} == want
     assert mixing.running(df.where(F.lit(False)), [], ["v"], {"t": "v"}).count() == 0
+
+
+def test_members_behind_a_member_are_not_copied_with_it(monkeypatch):
+    from trailmill.llm import warc
+
+    make, left = warc.zlib.decompressobj, []
+
+    class Counted:
+        def __init__(self, bits):
+            self.d = make(bits)
+            self.decompress = self.d.decompress
+
+        eof = property(lambda self: self.d.eof)
+
+        @property
+        def unused_data(self):
+            left.append(len(self.d.unused_data))
+            return self.d.unused_data
+
+    bodies = [bytes([i % 251]) * (i * 37) for i in range(300)] + [random.Random(1).randbytes(50_000)]
+    members = [warc.gzip_member(b) for b in bodies]
+    starts = [sum(map(len, members[:i])) for i in range(len(members))]
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counted)
+    assert list(warc.gunzip(b"".join(members))) == list(zip(starts, bodies))
+    assert max(left) <= 8192
+    *_, (at, cut) = warc.gunzip(b"".join(members)[:-10])
+    assert at == starts[-1] and bodies[-1].startswith(cut)

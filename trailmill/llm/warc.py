@@ -40,6 +40,8 @@ FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
+#: Bytes that a decompressor gets at once.
+PIECE = 4096
 ROW = "X-Source-Row"
 ROW_OF = "WARC-X-Refers-To-Row"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -60,14 +62,15 @@ def gunzip(data: bytes):
     if data[:2] != b"\x1f\x8b":
         yield 0, data
         return
-    at = 0
+    view, at = memoryview(data), 0
     while at < len(data):
-        d = zlib.decompressobj(31)
-        out = d.decompress(data[at:] if at == 0 and len(data) < 1 << 16 else memoryview(data)[at:])
-        yield at, out
-        at = len(data) - len(d.unused_data)
-        if not d.unused_data:
-            return
+        d, parts, end = zlib.decompressobj(31), [], at
+        # a little at a time: what is left over behind a member is copied
+        while not d.eof and end < len(data):
+            parts.append(d.decompress(view[end : end + PIECE]))
+            end = min(len(data), end + PIECE)
+        yield at, b"".join(parts)
+        at = end - len(d.unused_data)
 
 
 @dataclass
