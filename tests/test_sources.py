@@ -134,12 +134,19 @@ def test_duplicates_meet_by_beginnings_in_segments(spark, monkeypatch):
     texts += [t[:cut] for t in base for cut in (1, 16, 31, 32, 33, 63, 64, len(t))]
     dealt = []
     monkeypatch.setattr(C.scan, "written", lambda df, tag, f=C.scan.written: dealt.append(f(df, tag)) or dealt[-1])
-    got = {r.k: r.duplicate for r in C.duplicates(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", segment_bytes=20_000, common=30).collect()}
+    got = {r.k: r.duplicate for r in C.duplicates(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", segment_bytes=20_000, row_bytes=100, common=30).collect()}
     assert got == {k: any(u == t and j < k or len(u) > len(t) and u.startswith(t) for j, u in enumerate(texts)) for k, t in enumerate(texts)}
     assert dealt[0].where("length(t) > 2 * p").count() == 0
     assert dealt[0].select(C.scan.segment_column(["s0", "s1", "t"])).distinct().count() > 3
 
 
+def test_heavy_rows_are_dealt_by_weight(spark):
+    d = spark.range(100).select(C.F.lit(0).alias("c"), "id", C.F.when(C.F.col("id") >= 90, 100).otherwise(1).alias("w"))
+    got = C.scan.deal(d, ["c"], ["id"], parts=10, weight=C.F.col("w"))
+    assert sorted(map(tuple, got.select("c", "id", "w").collect())) == sorted(map(tuple, d.collect()))
+    assert got.where("w = 100").select(C.scan.segment_column(["id"])).distinct().count() >= 5
+
+
 def test_line_ends(spark):
     d = C.explode_lines(spark.createDataFrame([("a\r\nb\rc\x0bd\x85e f\n\n",)], "text string"))
     assert [r.line for r in d.orderBy("line_no").collect()] == ["a", "b", "c", "d", "e", "f", ""]

@@ -33,13 +33,22 @@ def segment_of(df: DataFrame, order: list[str]) -> str | None:
     return name if name in df.columns else None
 
 
-def deal(df: DataFrame, by: list[str], order: list[str], rows: int = 1_000_000, cut: list[str] | None = None, parts: int | None = None) -> DataFrame:
+def deal(df: DataFrame, by: list[str], order: list[str], rows: int = 1_000_000, cut: list[str] | None = None, parts: int | None = None, weight: Column | None = None) -> DataFrame:
     """``df`` in segments of about ``rows`` rows, or ``parts`` segments, by ``by`` and ``order``; rows of equal ``by`` and
     ``order`` share one. Where the last columns of ``order`` are large, ``cut`` names the first ones that decide alone: their
-    values are sampled."""
+    values are sampled. A row of ``weight`` w counts as w rows where the cuts are made."""
     n = max(1, -(-df.count() // rows) if parts is None else parts)
     plain = df.select(*[c for c in df.columns if not c.startswith("__segment_")])
-    return written(plain.repartitionByRange(n, *by, *(order if cut is None else cut)).withColumn(segment_column(order), F.spark_partition_id()), "segments")
+    keys = [*by, *(order if cut is None else cut)]
+    if weight is None:
+        cuts = plain.repartitionByRange(n, *keys)
+    else:
+        # further rows of the same keys, without the other columns, that end behind the cuts
+        nth = plain.withColumn("__nth", F.explode(F.sequence(F.lit(1), weight.cast("int"))))
+        nth = nth.select("__nth", *(F.col(c) if c in keys else F.when(F.col("__nth") == 1, F.col(c)).alias(c) for c in plain.columns))
+        # a condition that the optimizer leaves behind the cuts
+        cuts = nth.repartitionByRange(n, *keys).where(F.when(F.spark_partition_id() >= 0, F.col("__nth")) == 1).drop("__nth")
+    return written(cuts.withColumn(segment_column(order), F.spark_partition_id()), "segments")
 
 
 def deal_if_large(df: DataFrame, by: list[str], order: list[str], rows: int = 1_000_000) -> DataFrame:

@@ -106,14 +106,14 @@ def with_platform(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("platform", F.coalesce("db_platform", sniffed) if "db_platform" in df.columns else sniffed)
 
 
-def duplicates(df: DataFrame, key: str, text: str, place_chars: int = 64, segment_bytes: int = 32 << 20, common: int = 100_000) -> DataFrame:
+def duplicates(df: DataFrame, key: str, text: str, place_chars: int = 64, segment_bytes: int = 32 << 20, row_bytes: int = 2048, common: int = 100_000) -> DataFrame:
     """(key, duplicate): a text is a duplicate if an earlier row (by ``key``) is equal, or another text continues it.
 
     A ladder: each different text has the hashes of its beginnings of 1, 2, 4, 8 … characters, and can only be continued by
     texts that share the longest of its own. Texts of a rung that some text ends on are sorted; one that others continue is
     followed by such a one, which is looked at character by character. A text that ends on a rung is shorter than the next,
     so texts meet there by their beginnings of that length. The sort is cut by rung, hash and the characters behind the
-    beginning, so that a beginning which many texts share is not one task, in segments of about ``segment_bytes``.
+    beginning, so that a beginning which many texts share is not one task, in segments of about ``segment_bytes``; a row counts as ``row_bytes`` at least.
     Beginnings of more than ``common`` texts, which are few, go to all tasks. The empty text is the beginning of every other."""
     d = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.sha2("t", 256))
     distinct = d.groupBy("h").agg(F.min("k").alias("k"), F.first("t").alias("t"))
@@ -129,10 +129,11 @@ def duplicates(df: DataFrame, key: str, text: str, place_chars: int = 64, segmen
     meet = meet.select("h", "p", "b").join(distinct.select("h", "t"), "h")
     behind = lambda i: F.substring(F.col("t"), F.col("p") + 1 + i * place_chars, F.lit(place_chars))
     meet = written(meet.select("h", "p", "b", F.expr("left(t, 2 * p)").alias("t"), (F.length("t") < 2 * F.col("p")).alias("ends")), "meetings")
-    size = meet.agg(F.sum(F.octet_length("t") + 2 * place_chars + 64)).first()[0] or 0
+    weight = F.ceil((F.octet_length("t") + 1) / F.lit(row_bytes))
+    parts = -(-(meet.agg(F.sum(weight)).first()[0] or 0) * row_bytes // segment_bytes)
     meet = meet.select("h", "p", "b", behind(0).alias("s0"), behind(1).alias("s1"), "t", "ends")
     order = ["s0", "s1", "t"]
-    meet = scan.run(scan.deal(meet, ["p", "b"], order, cut=["s0", "s1"], parts=-(-size // segment_bytes)), ["p", "b"], order, after=scan.following(F.col("t")))
+    meet = scan.run(scan.deal(meet, ["p", "b"], order, cut=["s0", "s1"], parts=parts, weight=weight), ["p", "b"], order, after=scan.following(F.col("t")))
     cont = meet.where(F.col("ends") & F.col("after").startswith(F.col("t"))).select("h").distinct()
     some = distinct.where("n > 0").limit(1).select(F.lit("").alias("t"))
     cont = cont.union(distinct.where("n = 0").join(some, "t", "left_semi").select("h"))
