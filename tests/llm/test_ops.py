@@ -1,14 +1,17 @@
 """The operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and other
 columns with clashing names."""
 
+import base64
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -338,6 +341,55 @@ def test_training_order_against_a_plain_permutation(spark, tmp_path):
     assert all(r.shard == r.slot // 50 and r.byte_offset == r.slot % 50 * (training_order.HEAD_SIZE + 32) for r in got)
 
 
+def test_faster_pattern_cuts_the_same_pieces():
+    import public_tokenizers
+    import tiktoken
+
+    with open(training_order.default_ranks(), "rb") as f:
+        ranks = f.read()
+    table = {base64.b64decode(t): int(r) for t, r in (line.split() for line in ranks.splitlines())}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    encode, _ = training_order.encoder(ranks)
+    assert public_tokenizers.PATTERN in training_order.FASTER
+    rnd = random.Random(4)
+    odd = [" ", " ", "\n", "\r\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "'", "'s", "'ll", "'LL", "'re", "a", "été", "日本", "e\u0301", "1", "²", "٣", "!", "--", "🙂", "_"]
+    for _ in range(20_000):
+        t = "".join(rnd.choice(odd) for _ in range(rnd.randint(0, 12)))
+        assert encode(t) == plain(t), repr(t)
+
+
+@pytest.mark.parametrize("lost", [False, True])
+def test_training_order_deals_what_it_counted(spark, tmp_path, monkeypatch, lost):
+    """The second pass takes the sequences of the first, not the texts; where a kept file is lost, the texts."""
+    ts = [t for t in texts(9) if t]
+    documents(spark, ts).coalesce(1).write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in").select("doc_id", "text")
+    monkeypatch.setattr(training_order, "new_path", lambda spark, tag: f"file://{tmp_path}/{tag}")
+    kept, seen = f"{tmp_path}/sequences", f"{tmp_path}/seen"
+
+    def between(batches):
+        for b in batches:
+            if os.path.isdir(kept):
+                files = os.listdir(kept)
+                with open(seen, "w") as f:
+                    f.write(str(len(files)))
+                if lost:
+                    for x in files:
+                        os.remove(f"{kept}/{x}")
+                else:
+                    b = pa.RecordBatch.from_arrays([b.column(0), pa.array(["?"] * b.num_rows)], names=["doc_id", "text"])
+            yield b
+
+    got = training_order.write_shards(docs.mapInArrow(between, docs.schema), f"file://{tmp_path}/out", length=16, shard_records=50)[0].collect()
+    with open(seen) as f:
+        assert f.read() == "1"
+    assert os.listdir(kept) == []
+    with open(training_order.default_ranks(), "rb") as f:
+        encode, eos = training_order.encoder(f.read())
+    want = {(d, k): np.array(ids[lo : lo + 16], "<u2").tobytes() for d, t in enumerate(ts) for ids in [[*encode(t), eos]] for k, lo in enumerate(range(0, len(ids), 16))}
+    assert {(i, k): x for m in got for _, i, k, x in training_order.read_records(m.path, 16)} == want
+
+
 # 5 -----------------------------------------------------------------------------------------------------------------
 
 

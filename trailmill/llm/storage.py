@@ -42,3 +42,17 @@ def read_file(uri: str, start: int = 0, size: int | None = None) -> bytes:
     with there.open_input_file(path) as f:
         f.seek(start)
         return f.read() if size is None else f.read(size)
+
+
+def delete_file(uri: str) -> None:
+    """Delete it if it is there."""
+    try:
+        if (path := _local(uri)) is not None:
+            os.remove(path)
+            return
+        from pyarrow import fs
+
+        there, path = fs.FileSystem.from_uri(uri)
+        there.delete_file(path)
+    except FileNotFoundError:
+        pass
